@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from placemill.llm import exact_dedup, mixing, quality, sentencepieces, simhash
+from placemill.llm import exact_dedup, interpolation, mixing, quality, sentencepieces, simhash, warc
 from placemill.llm.common import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -31,6 +31,14 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.digest_rows(warc.round_trip(read_table(spark, sf_dir, "pages")))
+
+
+def op6_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return interpolation.score(read_table(spark, sf_dir, "documents"))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.assign(read_table(spark, sf_dir, "documents"))
 
@@ -44,10 +52,12 @@ def queries() -> dict[str, Query]:
         "op1_sentencepiece": op1_sentencepiece,
         "op2_simhash": op2_simhash,
         "op4_quality": op4_quality,
+        "op5_warc": op5_warc,
+        "op6_interpolation": op6_interpolation,
         "op7_exact_dedup": op7_exact_dedup,
         "op10_mixing": op10_mixing,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_exact_dedup": exact_dedup.ORACLE_SQL}
+    return {"op5_warc": warc.ORACLE_SQL, "op7_exact_dedup": exact_dedup.ORACLE_SQL}
