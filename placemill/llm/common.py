@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,6 +43,19 @@ def with_text(docs: DataFrame, *keep: str) -> DataFrame:
     return docs.select(*keep, F.coalesce(F.col("text"), F.lit("")).alias("text"))
 
 
+def parts(batch: pa.RecordBatch, rows: int, size: int, column: int = 1) -> Iterator[pa.RecordBatch]:
+    """Slices of an Arrow batch of at most ``rows`` rows whose text column has about ``size`` bytes, one row at least."""
+    lens = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+    at = 0
+    while at < batch.num_rows:
+        n, total = 0, 0
+        while at + n < batch.num_rows and n < rows and (n == 0 or total + lens[at + n] <= size):
+            total += int(lens[at + n])
+            n += 1
+        yield batch.slice(at, n)
+        at += n
+
+
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """``edges(a, b)`` of longs -> ``(node, component)``: the smallest node reachable; only nodes on edges.
 

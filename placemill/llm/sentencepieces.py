@@ -4,9 +4,9 @@ A text becomes symbols, and an agenda of adjacent pairs that are pieces, highest
 leftmost among equals, merges them until no pair is a piece. Characters without a piece fall back to
 bytes. The vocabulary is read from the model file's own fields, so nothing is trained and nothing copied.
 
-No piece of such a vocabulary has the space mark after another character, so no merge crosses from one
-word into the next and the agenda may run word by word. That is tested on the pieces when the
-model is loaded; a vocabulary that fails it is encoded text by text. Each distinct word of a worker is run once and
+No piece of such a vocabulary has the space mark after another character, or a comma after a letter, so no merge crosses such
+a place and the agenda may run stretch by stretch. The places are taken from the pieces when the model is loaded; a vocabulary with
+inner marks is encoded text by text. Each distinct word of a worker is run once and
 compared with the sentencepiece library, ids and decoded text, one call for the new words of an Arrow
 batch; a difference raises.
 
@@ -17,21 +17,23 @@ repeated rows and ties need nothing special; an empty table gives no rows; other
 from __future__ import annotations
 
 import hashlib
-import heapq
+import re
 from collections.abc import Iterator
 from functools import lru_cache
+from heapq import heapify, heappop, heappush
+from operator import add
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from placemill.llm.common import with_text
+from placemill.llm.common import parts, with_text
 
 MARK = "▁"
 #: Words that a worker remembers; beyond it the memory starts anew, results stay the same.
 REMEMBERED = 600_000
-#: Longer words are not remembered, as they seldom recur.
-LONG_WORD = 64
+#: Texts taken together, by number and by characters.
+TOGETHER, TOGETHER_CHARS = 1000, 4_000_000
 
 
 class Agenda:
@@ -45,44 +47,47 @@ class Agenda:
         self.pieces = [self.library.id_to_piece(i) for i in range(n)]
         special = [self.library.is_control(i) or self.library.is_unknown(i) or self.library.is_unused(i) for i in range(n)]
         self.byte = {int(p[3:-1], 16): i for i, p in enumerate(self.pieces) if self.library.is_byte(i)}
+        self.bytes = {i: b for b, i in self.byte.items()}
         self.unknown = self.library.unk_id()
         self.ids = {p: i for i, p in enumerate(self.pieces) if not special[i] and not self.library.is_byte(i)}
         self.scores = {p: self.library.get_score(i) for p, i in self.ids.items()}
         self.special = special
-        self.by_word = all(MARK not in p.lstrip(MARK) for p in self.ids)
+        self.cut = self._cut()
         self.known: dict[str, tuple[str, int, str]] = {}
 
     def merge(self, symbols: str) -> list[int]:
         """Ids of one stretch of text whose spaces are marks."""
-        parts: list[str | None] = list(symbols)
-        before, after = list(range(-1, len(parts) - 1)), [*range(1, len(parts)), -1]
-        scores, agenda = self.scores, []
-
-        def offer(i: int, j: int) -> None:
-            if i >= 0 and j >= 0 and (s := scores.get(pair := parts[i] + parts[j])) is not None:
-                heapq.heappush(agenda, (-s, i, j, pair))
-
-        for k in range(len(parts) - 1):
-            offer(k, k + 1)
+        if (whole := self.ids.get(symbols)) is not None and len(symbols) == 1:
+            return [whole]
+        scores, parts = self.scores, list(symbols)
+        n = len(parts)
+        agenda = [(-scores[p], i, i + 1, p) for i, p in enumerate(map(add, parts, parts[1:])) if p in scores]
+        if agenda:
+            before, after = list(range(-1, n - 1)), [*range(1, n), -1]
+            heapify(agenda)
         while agenda:
-            _, i, j, pair = heapq.heappop(agenda)
-            if parts[i] is None or parts[j] is None or parts[i] + parts[j] != pair or after[i] != j:
-                continue
-            parts[i], parts[j], after[i] = pair, None, after[j]
-            if after[j] >= 0:
-                before[after[j]] = i
-            offer(before[i], i)
-            offer(i, after[i])
+            _, i, j, pair = heappop(agenda)
+            if after[i] != j or parts[i] + parts[j] != pair:
+                continue  # one of the two has merged since
+            k = after[i] = after[j]
+            parts[i], parts[j], after[j] = pair, "", -2
+            if k >= 0:
+                before[k] = i
+                if (p := pair + parts[k]) in scores:
+                    heappush(agenda, (-scores[p], i, k, p))
+            h = before[i]
+            if h >= 0 and (p := parts[h] + pair) in scores:
+                heappush(agenda, (-scores[p], h, i, p))
         out: list[int] = []
         for p in parts:
-            if p is None:
-                continue
-            if (known := self.ids.get(p)) is not None:
-                out.append(known)
-            elif self.byte:
-                out += [self.byte[b] for b in p.encode()]
-            else:
-                out.append(self.unknown)
+            if p:
+                known = self.ids.get(p)
+                if known is not None:
+                    out.append(known)
+                elif self.byte:
+                    out += [self.byte[x] for x in p.encode()]
+                else:
+                    out.append(self.unknown)
         return out
 
     def unmerge(self, ids: list[int]) -> str:
@@ -90,8 +95,8 @@ class Agenda:
         out, held = [], bytearray()
         for i in ids:
             p = self.pieces[i]
-            if self.library.is_byte(i):
-                held.append(int(p[3:-1], 16))
+            if i in self.bytes:
+                held.append(self.bytes[i])
                 continue
             if held:
                 out.append(held.decode("utf-8", "replace"))
@@ -100,52 +105,52 @@ class Agenda:
         out.append(held.decode("utf-8", "replace"))
         return "".join(out)
 
-    @staticmethod
-    def words(text: str) -> list[str]:
-        """Stretches that begin with a space after another character; their join is the text, a leading space added."""
-        head, *rest = f" {text}".replace(MARK, " ").split(" ")
-        out, run = [], ""
-        for part in rest:
-            run += " "
-            if part:
-                out.append(run + part)
-                run = ""
-        if run:
-            out.append(run)
-        return out
+    def _cut(self) -> re.Pattern[str] | None:
+        """Where no piece reaches across: before a space after another character, around characters of no longer
+        piece, and between a character and a sign that in no piece follows any but signs. None if pieces hold inner marks."""
+        inner = [(p[i], p[i + 1]) for p in self.ids for i in range(len(p) - 1)]
+        if any(b == MARK != a for a, b in inner):
+            return None
+        joined = {c for pair in inner for c in pair}
+        alone = {chr(c) for c in range(128) if chr(c) != " "} - joined
+        signs = {c for c in joined if not c.isalpha() and c != MARK}
+        while wrong := {b for a, b in inner if b in signs and a != MARK and a not in signs}:
+            signs -= wrong
+        a, s = (re.escape("".join(sorted(x))) for x in (alone, signs))
+        return re.compile(f" *[^ {a}{s}]+| *[{s}][^ {a}]*|[{a}]| +" if a and s else " *[^ ]+| +")
+
+    def words(self, text: str) -> list[str]:
+        """Stretches that merge on their own; their join is the text, a leading space added and marks as spaces."""
+        return self.cut.findall(f" {text}".replace(MARK, " "))
 
     def learn(self, words: set[str]) -> dict[str, tuple[str, int, str]]:
         """Ids joined by commas, their number and decoded text of each word; checked against the library."""
         fresh = list(words)
         ours = [self.merge(w.replace(" ", MARK)) for w in fresh]
-        # the library adds a space in front, so it is given each word without its own first one
-        theirs = self.library.encode([w[1:] for w in fresh], num_threads=1)
-        if " " in words:  # a text's last space, which the library drops from an empty text only
-            theirs[fresh.index(" ")] = self.library.encode("a ")[len(self.library.encode("a")) :]
+        # the library adds a space in front: a word with one is given without it, others after a line end, which merges with nothing
+        lead = self.library.encode("\n")
+        if not fresh:
+            return {}
+        theirs = self.library.encode([w[1:] if w[0] == " " != w else "\n" + w for w in fresh], num_threads=1)
         decoded = [self.unmerge(ids) for ids in ours]
-        for w, a, b in zip(fresh, ours, theirs, strict=True):
-            if a != b:
-                raise ValueError(f"agenda and library differ on {w[:80]!r}: {a[:20]} and {b[:20]}")
-        for w, d, t in zip(fresh, decoded, self.library.decode(theirs, num_threads=1), strict=True):
-            if d[1:] != t:
-                raise ValueError(f"decoded {w[:80]!r}: {d[:80]!r} and {t[:80]!r}")
+        texts = self.library.decode(theirs, num_threads=1)
+        for w, a, b, d, t in zip(fresh, ours, theirs, decoded, texts, strict=True):
+            if (a, d[1:]) != (b, t) if w[0] == " " != w else (lead + a, "\n" + d) != (b, t):
+                raise ValueError(f"agenda and library differ on {w[:80]!r}: {a[:20]} and {b[:20]}, {d[:80]!r} and {t[:80]!r}")
         return {w: (",".join(map(str, a)), len(a), d) for w, a, d in zip(fresh, ours, decoded, strict=True)}
 
     def digests(self, texts: list[str]) -> tuple[list[int], list[str], list[str]]:
         """Number of ids, SHA-256 of the ids and of the decoded text, for each text."""
         known = self.known
+        split = [[] if not t else self.words(t) if self.cut else [f" {t}".replace(MARK, " ")] for t in texts]
+        fresh = self.learn(set().union(*split).difference(known))
+        if len(known) + len(fresh) > REMEMBERED:
+            fresh |= {w: known[w] for words in split for w in words if w in known}
+            known.clear()
+        known.update(fresh)
         counts, id_hashes, text_hashes = [], [], []
-        for text in texts:
-            words = [] if not text else self.words(text) if self.by_word else [f" {text}".replace(MARK, " ")]
-            try:
-                found = [known[w] for w in words]
-            except KeyError:
-                new = {w for w in words if w not in known}
-                learned = self.learn(new)
-                if len(known) + len(learned) > REMEMBERED:
-                    known.clear()
-                known.update((w, v) for w, v in learned.items() if len(w) <= LONG_WORD)
-                found = [learned.get(w) or known.get(w) or self.learn({w})[w] for w in words]
+        for words in split:
+            found = [known[w] for w in words]
             counts.append(sum([f[1] for f in found]))
             id_hashes.append(hashlib.sha256(",".join([f[0] for f in found]).encode()).hexdigest())
             text_hashes.append(hashlib.sha256("".join([f[2] for f in found])[1:].encode()).hexdigest())
@@ -154,7 +159,7 @@ class Agenda:
     def encode(self, text: str) -> list[int]:
         if not text:
             return []
-        words = self.words(text) if self.by_word else [f" {text}".replace(MARK, " ")]
+        words = self.words(text) if self.cut else [f" {text}".replace(MARK, " ")]
         return [i for w in words for i in self.merge(w.replace(" ", MARK))]
 
     def decode(self, ids: list[int]) -> str:
@@ -185,8 +190,7 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
     def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = agenda(path)
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
+            for part in parts(batch, TOGETHER, TOGETHER_CHARS):
                 n, ids, decoded = model.digests(part.column(1).to_pylist())
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(ids), pa.array(decoded)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
