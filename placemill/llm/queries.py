@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from placemill.llm import exact_dedup, interpolation, mixing, quality, sentencepieces, simhash, warc
+from placemill.llm import exact_dedup, interpolation, mixing, quality, sentencepieces, simhash, toxicity, warc, wrappers
 from placemill.llm.common import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -43,6 +43,14 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.assign(read_table(spark, sf_dir, "documents"))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
+def op9_wrappers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wrappers.extract(read_table(spark, sf_dir, "pages"))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source", F.col("copies"))
 
@@ -55,6 +63,8 @@ def queries() -> dict[str, Query]:
         "op5_warc": op5_warc,
         "op6_interpolation": op6_interpolation,
         "op7_exact_dedup": op7_exact_dedup,
+        "op8_toxicity": op8_toxicity,
+        "op9_wrappers": op9_wrappers,
         "op10_mixing": op10_mixing,
     }
 
