@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from placemill.llm import exact_dedup, interpolation, mixing, quality, sentencepieces, simhash, toxicity, warc, wrappers
+from placemill.llm import exact_dedup, interpolation, media, mixing, quality, sentencepieces, simhash, toxicity, warc, wrappers
 from placemill.llm.common import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -27,6 +27,10 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.assign(read_table(spark, sf_dir, "documents"))
 
 
+def op3_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.decode(media.encode(read_table(spark, sf_dir, "documents")))
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
@@ -59,6 +63,7 @@ def queries() -> dict[str, Query]:
     return {
         "op1_sentencepiece": op1_sentencepiece,
         "op2_simhash": op2_simhash,
+        "op3_media": op3_media,
         "op4_quality": op4_quality,
         "op5_warc": op5_warc,
         "op6_interpolation": op6_interpolation,
