@@ -31,7 +31,7 @@ from placemill.llm.common import parts, with_text
 
 MARK = "▁"
 #: Words that a worker remembers; beyond it the memory starts anew, results stay the same.
-REMEMBERED = 600_000
+REMEMBERED = 300000
 #: Texts taken together, by number and by characters.
 TOGETHER, TOGETHER_CHARS = 1000, 4_000_000
 
@@ -137,7 +137,8 @@ class Agenda:
         for w, a, b, d, t in zip(fresh, ours, theirs, decoded, texts, strict=True):
             if (a, d[1:]) != (b, t) if w[0] == " " != w else (lead + a, "\n" + d) != (b, t):
                 raise ValueError(f"agenda and library differ on {w[:80]!r}: {a[:20]} and {b[:20]}, {d[:80]!r} and {t[:80]!r}")
-        return {w: (",".join(map(str, a)), len(a), d) for w, a, d in zip(fresh, ours, decoded, strict=True)}
+        # the decoded text is mostly the word itself, which is then held once
+        return {w: (",".join(map(str, a)), len(a), w if w == d else d) for w, a, d in zip(fresh, ours, decoded, strict=True)}
 
     def digests(self, texts: list[str]) -> tuple[list[int], list[str], list[str]]:
         """Number of ids, SHA-256 of the ids and of the decoded text, for each text."""
