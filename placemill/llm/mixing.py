@@ -129,7 +129,10 @@ def mix(docs: DataFrame, seed: int = 17, fan_in: int = FAN_IN) -> DataFrame:
 
 
 def mixed(docs: DataFrame, seed: int = 17) -> DataFrame:
-    """``docs`` with each row as often as the mix takes it; rows that share a doc_id share the count."""
-    plan = mix(docs, seed).groupBy("doc_id").agg(F.max("copies").cast("int").alias("__copies")).filter("__copies > 0").withColumnRenamed("doc_id", "__id")
+    """``docs`` with each row as often as the mix takes it; rows that share a doc_id share the count.
+
+    Nearly every document stays, so the plan is as long as ``docs`` and never broadcast, whatever its size; doc_ids spread over all tasks.
+    """
+    plan = mix(docs, seed).groupBy("doc_id").agg(F.max("copies").cast("int").alias("__copies")).filter("__copies > 0").withColumnRenamed("doc_id", "__id").hint("merge")
     joined = docs.join(plan, F.col("doc_id").eqNullSafe(F.col("__id")))
     return joined.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(docs.columns)
