@@ -30,10 +30,10 @@ from pyspark.sql import functions as F
 from placemill.llm.common import parts, with_text
 
 MARK = "▁"
-#: Words that a worker remembers; beyond it the memory starts anew, results stay the same.
+#: Stretches that a worker remembers; beyond it the memory starts anew, results stay the same.
 REMEMBERED = 300000
 #: Texts taken together, by number and by characters.
-TOGETHER, TOGETHER_CHARS = 1000, 4_000_000
+TOGETHER, TOGETHER_CHARS = 300, 1_000_000
 
 
 class Agenda:
