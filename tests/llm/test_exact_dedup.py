@@ -1,0 +1,81 @@
+import hashlib
+import random
+import re
+
+import duckdb
+import pytest
+
+from placemill.llm import exact_dedup
+from tests.llm.helpers import documents, empty, odd
+
+
+def brute(rows):
+    """Expected (doc_id, keep_id, size, sha) of each row."""
+    groups = {}
+    for i, t in rows:
+        key = re.sub(r"[\x20\x09-\x0D]", "", t or "")
+        groups.setdefault(key, []).append((-len(t or ""), i is not None, i or 0, i))
+    out = []
+    for key, members in groups.items():
+        keep = min(members)[3]
+        out += [(m[3], keep, len(members), hashlib.sha256(key.encode()).hexdigest()) for m in members]
+    return sorted(out, key=repr)
+
+
+def got(df):
+    return sorted(((r.doc_id, r.keep_id, r.group_size, r.text_sha256) for r in df.collect()), key=repr)
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_random_texts(spark, seed):
+    rnd = random.Random(seed)
+    rows = [(i, "".join(rnd.choice("ab \t\n") for _ in range(rnd.randint(0, 5)))) for i in range(400)]
+    assert got(exact_dedup.assign(documents(spark, rows))) == brute(rows)
+
+
+def test_odd_rows(spark):
+    df = odd(spark)
+    rows = [(r.doc_id, r.text) for r in df.collect()]
+    assert got(exact_dedup.assign(df)) == brute(rows)
+
+
+def test_repeated_rows_keep_one(spark):
+    found = exact_dedup.assign(documents(spark, [(1, "a b"), (1, "ab"), (1, "a b"), (2, "ab")])).collect()
+    assert sum(r.kept for r in found) == 1 and all(r.keep_id == 1 and r.group_size == 4 for r in found)
+
+
+def test_one_hot_text(spark):
+    rows = [(i, "same text" if i % 2 else f"own {i}") for i in range(3000)]
+    found = exact_dedup.assign(documents(spark, rows)).collect()
+    assert sum(r.kept for r in found) == 1501 and {r.group_size for r in found} == {1, 1500}
+
+
+def test_keep_first(spark):
+    df = odd(spark)
+    kept = exact_dedup.keep_first(df)
+    assert kept.columns == df.columns
+    want = {(a, s) for a, k, _, s in brute([(r.doc_id, r.text) for r in df.collect()]) if a == k}
+    have = [(r.doc_id, hashlib.sha256(re.sub(r"[\x20\x09-\x0D]", "", r.text or "").encode()).hexdigest()) for r in kept.collect()]
+    assert len(have) == len(want) and set(have) == want
+
+
+def test_empty_table(spark):
+    assert exact_dedup.assign(empty(spark)).count() == 0
+    assert exact_dedup.keep_first(empty(spark)).count() == 0
+
+
+def test_native_plan(spark):
+    plan = exact_dedup.assign(odd(spark))._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_filter_passes_rows_straight(spark):
+    digests = exact_dedup._digests(documents(spark, [(i, f"text {i}") for i in range(1000)]))
+    flagged = exact_dedup.repeated_blocks(digests, exact_dedup.block_count(1000)).count()
+    assert flagged < 0.1 * exact_dedup.block_count(1000)
+
+
+def test_sql_agrees(spark, small):
+    documents = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text").toPandas()  # noqa: F841
+    want = sorted((r[0], r[1], r[2], r[4]) for r in duckdb.sql(exact_dedup.ORACLE_SQL.replace("SELECT doc_id, keep_id", "SELECT doc_id, keep_id", 1)).fetchall())
+    assert sorted(got(exact_dedup.assign(spark.read.parquet(f"{small}/documents.parquet")))) == want
