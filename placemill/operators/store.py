@@ -8,6 +8,7 @@ from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from placemill.functions.geo import map_cell
 from placemill.operators.dedupe import last_per_id, stored_id
@@ -235,8 +236,9 @@ class PlaceStore:
         version = self.version
         if version:
             return with_columns_added(self.spark.read.parquet(f"{self.path}/{version}"), EMAIL_STATE)
-        fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in ENRICHED_SCHEMA)
-        return self.spark.createDataFrame([], f"id string, {fields}, first_seen long, last_seen long, email_checked_at long, email_attempts long, email_retry_at long")
+        own = [T.StructField("id", T.StringType())]
+        state = [T.StructField(c, T.LongType()) for c in ("first_seen", "last_seen", *EMAIL_STATE)]
+        return self.spark.createDataFrame([], T.StructType(own + ENRICHED_SCHEMA.fields + state))
 
     def write(self, places: DataFrame) -> str:
         version = f"v-{uuid.uuid4().hex}"
