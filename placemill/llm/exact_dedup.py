@@ -80,7 +80,8 @@ def assign(docs: DataFrame) -> DataFrame:
     at = digests.withColumn("block", _address(F.col("sha"), blocks)[0])
     clear = at.join(found, "block", "left_anti").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "sha")
     suspects = at.join(found, "block", "left_semi")
-    settled = suspects.join(_keepers(suspects), "sha").select("doc_id", "keep_id", "group_size", (F.col("row") == F.col("keep_row")).alias("kept"), "sha")
+    # written apart, so that the join has a shuffle of its own, whose hot partitions Spark can split
+    settled = suspects.join(written(_keepers(suspects), "keepers"), "sha").select("doc_id", "keep_id", "group_size", (F.col("row") == F.col("keep_row")).alias("kept"), "sha")
     return clear.union(settled).select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("sha")).alias("text_sha256"))
 
 
