@@ -66,7 +66,7 @@ def test_pipeline(spark, tmp_path):
     good = set(range(120)) | {160, 161, 162}
     assert set(kept["quality"]) == good
     assert sorted(kept["exact_dedup"]) == list(range(120))
-    label = {r.doc_id: r.component_id for r in simhash.assign(docs.filter(F.col("doc_id") < 120)).collect()}
+    label = {r.doc_id: r.component_id for r in simhash.assign(docs.filter(F.col("doc_id") < 120), words=pipeline.NEAR_WORDS).collect()}
     assert sorted(kept["simhash"]) == sorted(i for i, c in label.items() if i == c)
     plan = {r.doc_id: r.copies for r in mixing.mix(docs.join(spark.createDataFrame([(i,) for i in kept["simhash"]], "doc_id long"), "doc_id", "left_semi")).collect()}
     assert sorted(kept["mixing"]) == sorted(i for i, n in plan.items() for _ in range(n))
