@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from placemill.functions import geo as G
@@ -16,7 +16,10 @@ from placemill.functions.urls import canonical, domain_of, fallback_urls, site_t
 from placemill.operators import catalog, coverage, dedupe, enrich, store
 from placemill.operators.filters import PlaceFilter, QuickFilter
 from placemill.plans.adapters import PASSES_SQL, PLACES_SQL, cities, passes, place_hits, places, table
+from placemill.schema import as_places, with_columns_added
+from placemill.sources import captures, tables
 from placemill.sources.sinks import csv_line, used_columns
+from placemill.streaming.enrichment import settle_batch
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -523,11 +526,140 @@ def number_text(spark: SparkSession, d: str) -> DataFrame:
     return places(spark, d).filter("rating is not null and rating <> floor(rating)").select("id", number_text_of(F.col("rating")).alias("rating_text"))
 
 
-@query(None)
+@query("SELECT p_partkey, CASE WHEN regexp_matches(t, 'e.*g') THEN CAST(length(regexp_extract(t, 'e[^g]*g')) AS INTEGER) END AS span FROM (SELECT p_partkey, replace(lower(p_name), ' ', '') AS t FROM part)", "")
 def subsequence_spans(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "part").select("p_partkey", subsequence_span(F.lit("eg"), F.lower(F.replace("p_name", F.lit(" "), F.lit("")))).alias("span"))
 
 
+# Captured payloads, built from the tables so that SQL knows what they hold
+
+
+def _element(values: dict[int, Column], size: int) -> Column:
+    """JSON text of an array with the given elements and nulls elsewhere."""
+    out, at = [F.lit("[")], 0
+    for k in sorted(values):
+        out += [F.lit("null," * (k - at)), values[k], F.lit("," if k < size - 1 else "")]
+        at = k + 1
+    rest = size - at
+    out.append(F.lit(",".join(["null"] * rest) + "]"))
+    return F.concat(*out)
+
+
+def _quoted(c: Column) -> Column:
+    return F.coalesce(F.concat(F.lit('"'), c, F.lit('"')), F.lit("null"))
+
+
+def captured(spark: SparkSession, d: str) -> DataFrame:
+    """One page a nation: page, query, body."""
+    k = F.substring("id", 5, 20).cast("long")
+    number = lambda c: F.coalesce(c.cast("string"), F.lit("null"))
+    address = _element({0: _element({0: F.lit('"X"')}, 1), 1: _element({0: _quoted(F.col("category")), 3: _quoted(F.col("city")), 5: _quoted(F.col("state"))}, 7)}, 3)
+    ratings = _element({7: number(F.col("rating")), 8: F.when(k % 2 == 0, _quoted(F.col("reviews").cast("string"))).otherwise(number(F.col("reviews")))}, 9)
+    short = _element({7: number(F.col("rating"))}, 8)
+    fields = {
+        4: F.when(F.col("city") == "NATION_1", short).otherwise(ratings), 7: _element({0: _quoted(F.concat(F.lit("https://www.google.com/url?q="), F.url_encode("site")))}, 1), 9: _element({2: number(F.col("latitude")), 3: number(F.col("longitude"))}, 4),
+        10: _quoted(F.when(k % 4 != 0, F.concat(F.lit("0x1:0x"), F.lower(F.hex(k))))), 11: _quoted(F.when(k % 4 != 0, F.col("name"))), 13: F.concat(F.lit("["), _quoted(F.col("category")), F.lit(', 7, "Second", "Third"]')), 78: _quoted(F.when(k % 8 != 0, F.concat(F.lit("P"), k.cast("string")))),
+        88: _element({0: _quoted(F.col("business_status"))}, 1), 175: _element({3: F.concat(F.lit("[1,null,"), number(F.col("reviews")), F.lit("]"))}, 4), 178: _element({0: _element({0: _quoted(F.col("phone"))}, 1)}, 1), 183: address,
+        203: F.concat(F.lit('[[["Monday",0,0,[["9-12"],["1-5"]]],["Sunday",0,0,[]],["Friday",0,0,[["'), k.cast("string"), F.lit('"]]]]]')),
+    }
+    items = places(spark, d).select(F.col("city").alias("page"), _element({14: _element(fields, 204)}, 15).alias("item"))
+    pages = items.groupBy("page").agg(F.array_join(F.array_sort(F.collect_list("item")), ",").alias("items"))
+    return pages.select("page", F.lit("found by").alias("query"), F.concat(F.lit(")]}'\n[[null,[[1],"), F.col("items"), F.lit("]]]")).alias("body"))
+
+
+_K = "CAST(substr(id, 5) AS BIGINT)"
+
+
+@query(
+    f"SELECT 'found by' AS query, city AS page, CASE WHEN {_K} % 4 <> 0 THEN name END AS name, CASE WHEN {_K} % 4 <> 0 THEN CAST({_K} AS VARCHAR) END AS cid, CASE WHEN {_K} % 8 <> 0 THEN concat('P', CAST({_K} AS VARCHAR)) END AS place_id, category, 'Second, Third' AS subtypes, city, state, latitude, longitude, rating, "
+    f"CASE WHEN city <> 'NATION_1' THEN reviews END AS reviews, nullif(phone, '') AS phone, site, business_status, concat('Monday: 9-12,1-5|Friday: ', CAST({_K} AS VARCHAR)) AS working_hours_old_format, coalesce(reviews, 0) AS threes FROM places WHERE {_K} % 8 <> 0"
+)
+def parsed_places(spark: SparkSession, d: str) -> DataFrame:
+    found, _ = captures.parse_pages(captured(spark, d), "page")
+    return found.select("query", "page", "name", "cid", "place_id", "category", "subtypes", "city", "state", "latitude", "longitude", "rating", "reviews", "phone", "site", "business_status", "working_hours_old_format", F.col("reviews_per_score.3").alias("threes"))
+
+
+@query(f"SELECT city AS page, count(*) AS nodes, city = 'NATION_1' AS degraded, count(*) FILTER (WHERE {_K} % 8 = 0) AS skipped FROM places GROUP BY city")
+def parsed_pages(spark: SparkSession, d: str) -> DataFrame:
+    return captures.parse_pages(captured(spark, d), "page")[1]
+
+
+@query("SELECT n_name AS query, CAST(n_nationkey AS DOUBLE) AS west, CAST(n_regionkey AS DOUBLE) AS south, n_nationkey + 0.5 AS east, n_regionkey + 0.25 AS north, CASE WHEN n_regionkey = 0 THEN 0.0 ELSE CAST(n_regionkey AS DOUBLE) END AS importance FROM nation WHERE n_nationkey % 5 <> 4", "")
+def geocodes(spark: SparkSession, d: str) -> DataFrame:
+    n, r = F.col("n_nationkey"), F.col("n_regionkey")
+    text = lambda c: c.cast("string")
+    four = F.array(text(r), text(r + F.lit(0.25)), text(n), text(n + F.lit(0.5)))
+    raw = table(spark, d, "nation").select(F.col("n_name").alias("query"), F.explode(F.array(F.lit(0), F.lit(1))).alias("ord"), F.lit("x").alias("display_name"), F.lit("city").alias("type"), F.when(n % 5 == 4, F.slice(four, 1, 3)).otherwise(four).alias("boundingbox"), F.when(r > 0, r.cast("double")).alias("importance"))
+    return tables.best_geocode(tables.geocoded(raw)).select("query", "box.*", "importance")
+
+
+@query("SELECT concat('XX/', CAST(r_regionkey AS VARCHAR)) AS region, r_name AS region_name FROM region WHERE r_regionkey IN (SELECT n_regionkey FROM nation)", "")
+def gazetteer_regions(spark: SparkSession, d: str) -> DataFrame:
+    c = cities(spark, d)
+    named = catalog.regions_of(c, "XX").select(F.concat_ws("/", "country", "region").alias("region"), "region_name")
+    return catalog.all_regions(c).select("region").join(named, "region")
+
+
+@query("SELECT n_name AS city, concat(n_name, ', ', CAST(n_regionkey AS VARCHAR)) AS label FROM nation", "")
+def labels_of_cities(spark: SparkSession, d: str) -> DataFrame:
+    return cities(spark, d).select("city", catalog.label(F.col("city"), F.col("region")).alias("label"))
+
+
+@query("SELECT id, name, CAST(NULL AS VARCHAR) AS us_state, CAST(NULL AS BIGINT) AS photos_count FROM places")
+def empty_columns(spark: SparkSession, d: str) -> DataFrame:
+    p = places(spark, d)
+    return with_columns_added(as_places(p).select("name", "us_state", "photos_count").limit(0).unionByName(p, allowMissingColumns=True), {"photos_count": "long"}).select("id", "name", "us_state", "photos_count")
+
+
+@query("SELECT id, name, site FROM places WHERE id IN (SELECT concat('cid:', CAST(o_custkey AS VARCHAR)) FROM orders WHERE o_orderkey % 7 = 0)")
+def work_list(spark: SparkSession, d: str) -> DataFrame:
+    work = table(spark, d, "orders").filter("o_orderkey % 7 = 0").select(F.concat(F.lit("cid:"), F.col("o_custkey").cast("string")).alias("id"))
+    return enrich.with_rows(work, places(spark, d)).select("id", "name", "site")
+
+
+@query(
+    "SELECT k, least(greatest(1, ceil(wkm / 12)), 1000) * greatest(1, ceil(hkm / 12)) AS parts, round(wkm * hkm, 4) AS area FROM (SELECT k, " + f"{_HAV.format('(s + n) / 2', 'w', '(s + n) / 2', 'e')} / 1000 AS wkm, {_HAV.format('s', 'w', 'n', 'w')} / 1000 AS hkm FROM b)",
+    "b AS (SELECT n_nationkey AS k, -123.0 AS w, 40 + n_nationkey * 0.5 AS s, -123.0 + 0.1 * (n_nationkey + 1) AS e, 40 + n_nationkey * 0.5 + 0.15 AS n FROM nation)",
+)
+def grid_parts(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("n_nationkey")
+    south = F.lit(40) + k * F.lit(0.5)
+    boxes = table(spark, d, "nation").select(k.alias("k"), G.box(F.lit(-123.0), south, F.lit(-123.0) + F.lit(0.1) * (k + 1), south + F.lit(0.15)).alias("b"))
+    parts = boxes.select("k", F.explode(G.grid_split(F.col("b"))).alias("p"), F.round(G.swept_km2(F.col("b")), 4).alias("area"))
+    return parts.groupBy("k", "area").agg(F.count("*").cast("double").alias("parts"))
+
+
+@query("SELECT n_name AS city, CASE WHEN p >= 250000 THEN 22 WHEN p >= 100000 THEN 16 WHEN p >= 30000 THEN 11 ELSE 7 END AS radius, round(lat - CASE WHEN p >= 250000 THEN 22 WHEN p >= 100000 THEN 16 WHEN p >= 30000 THEN 11 ELSE 7 END / 111.0, 6) AS south, round(lng + CASE WHEN p >= 250000 THEN 22 WHEN p >= 100000 THEN 16 WHEN p >= 30000 THEN 11 ELSE 7 END / (111 * cos(radians(lat))), 6) AS east FROM (SELECT n_name, n_nationkey * 15000 AS p, 40 + n_nationkey * 0.07 AS lat, -100 + n_nationkey * 0.09 AS lng FROM nation)", "")
+def seed_radii(spark: SparkSession, d: str) -> DataFrame:
+    population = F.col("ord") * 15000
+    b = G.box_around(F.col("lat"), F.col("lng"), population)
+    return cities(spark, d).select("city", G.radius_km(population).alias("radius"), F.round(b.south, 6).alias("south"), F.round(b.east, 6).alias("east"))
+
+
+@query("SELECT id, lower(email_1) AS email FROM places WHERE email_1 IS NOT NULL")
+def protected_emails(spark: SparkSession, d: str) -> DataFrame:
+    """Addresses behind a key of zero, which leaves them as plain hexadecimal."""
+    p = places(spark, d).filter("email_1 is not null")
+    html = F.concat(F.lit('<span data-cfemail="00'), F.hex("email_1"), F.lit('"></span>'))
+    return p.select("id", F.explode(emails_in(html, F.col("site"))).alias("email"))
+
+
+@query("SELECT id, concat('https://facebook.com/p', substr(id, 5)) AS facebook, CASE WHEN reviews % 2 = 0 THEN concat('https://x.com/', substr(id, 5), 'x') END AS twitter FROM places")
+def social_profiles(spark: SparkSession, d: str) -> DataFrame:
+    k = F.substring("id", 5, 20)
+    link = lambda *parts: F.concat(F.lit('<a href="'), *parts, F.lit('">'))
+    html = F.concat(link(F.lit("https://facebook.com/sharer/x")), link(F.lit("//www.facebook.com/p"), k, F.lit("/?ref=1#x")), F.when(F.col("reviews") % 2 == 0, link(F.lit("http://x.com/"), k, F.lit("x"))).otherwise(link(F.lit("https://x.com/share?y=1"))))
+    return places(spark, d).select("id", socials_in(F.coalesce(html, link(F.lit("https://facebook.com/p"), k))).alias("s")).select("id", "s.facebook", "s.twitter")
+
+
+@query(f", due AS (SELECT id FROM places WHERE {_WAITS} AND (email_retry_at IS NULL OR email_retry_at <= {BASE_MS + 60000}) ORDER BY first_seen, id LIMIT 40) SELECT id, CASE WHEN id IN (SELECT id FROM due) THEN {BASE_MS + 60000} ELSE email_checked_at END AS email_checked_at, email_attempts FROM places")
+def enrichment_batch(spark: SparkSession, d: str) -> DataFrame:
+    """One micro-batch of the stream over the store."""
+    pages = places(spark, d).filter("site is not null").select("id", F.lit("<p>no address here</p>").alias("html"), F.col("site").alias("final_url"), F.lit("ok").alias("outcome"))
+    after, _ = settle_batch(places(spark, d).withColumns({c: F.lit(None).cast("string") for c in ("email_2", "email_3", "facebook", "instagram", "linkedin", "twitter", "youtube", "tiktok")}), pages, BASE_MS + 60000, limit=40)
+    return after.select("id", "email_checked_at", "email_attempts")
+
+
 # Identity
 
 
@@ -536,9 +668,17 @@ def dedupe_hits(spark: SparkSession, d: str) -> DataFrame:
     return dedupe.dedupe(place_hits(spark, d)).select("seq", "kept")
 
 
+_HITS = "h AS (SELECT event_id AS seq, CASE WHEN event_id % 7 <> 0 THEN CAST(user_id*61 + event_id % 61 AS VARCHAR) END AS cid, CASE WHEN event_id % 3 = 0 THEN concat('P', CAST(user_id*61 + event_id % 61 + event_id % 2 AS VARCHAR)) END AS place_id, CASE WHEN event_id % 5 <> 0 THEN event_type END AS name, 49 + (user_id*61 + event_id % 61) / 1000.0::DOUBLE AS lat, -123 - (user_id*61 + event_id % 61) / 1000.0::DOUBLE AS lng FROM events)"
+
+
+@query("SELECT seq, unnest(list_filter([concat('cid:' || cid), 'pid:' || place_id, CASE WHEN seq % 4 <> 0 THEN 'geo:' || regexp_replace(lower(name), '[^a-z0-9]', '', 'g') || '@' || printf('%.4f', lat) || ',' || printf('%.4f', lng) END], lambda x: x IS NOT NULL AND x <> '')) AS key FROM h", _HITS)
+def identity_keys(spark: SparkSession, d: str) -> DataFrame:
+    return place_hits(spark, d).select("seq", F.explode(dedupe.identity_keys()).alias("key"))
+
+
 @query(
     "SELECT seq, CASE WHEN cid IS NOT NULL THEN concat('cid:', cid) WHEN place_id IS NOT NULL THEN concat('pid:', place_id) WHEN name IS NOT NULL AND seq % 4 <> 0 THEN 'geo' ELSE 'anon' END AS id FROM h",
-    "h AS (SELECT event_id AS seq, CASE WHEN event_id % 7 <> 0 THEN CAST(user_id*61 + event_id % 61 AS VARCHAR) END AS cid, CASE WHEN event_id % 3 = 0 THEN concat('P', CAST(user_id*61 + event_id % 61 + event_id % 2 AS VARCHAR)) END AS place_id, CASE WHEN event_id % 5 <> 0 THEN event_type END AS name FROM events)",
+    _HITS,
 )
 def stored_ids(spark: SparkSession, d: str) -> DataFrame:
     found = place_hits(spark, d).select("seq", dedupe.stored_id().alias("id"))
