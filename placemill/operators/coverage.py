@@ -175,7 +175,7 @@ def unit_key(region: Column, number: Column, term: Column, box: Column) -> Colum
 
 def units(terms: DataFrame, boxes: DataFrame, region: str, number: int) -> DataFrame:
     """Every term in every box, terms first. The product is the work itself, and both sides are small."""
-    both = terms.select("term", F.col("ord").alias("term_ord")).crossJoin(F.broadcast(boxes.select("box_ord", "box")))
+    both = terms.select("term", F.col("ord").alias("term_ord")).crossJoin(boxes.select("box_ord", "box"))
     return both.select(unit_key(F.lit(region), F.lit(number), F.col("term"), F.col("box_ord")).alias("key"), "term", "term_ord", "box_ord", "box").orderBy("term_ord", "box_ord")
 
 
@@ -203,7 +203,7 @@ def queue(regions: DataFrame, passes: DataFrame, vertical: str) -> DataFrame:
 
 def board(regions: DataFrame, verticals: DataFrame, passes: DataFrame, running: DataFrame) -> DataFrame:
     """Each vertical in each region with its passes and whether it runs now."""
-    every = verticals.select("vertical").crossJoin(F.broadcast(regions.select("region", "ord")))
+    every = verticals.select("vertical").crossJoin(regions.select("region", "ord"))
     now = running.select("region", "vertical").distinct().withColumn("running", F.lit(True))
     return every.join(coverage(passes), ["region", "vertical"], "left").join(now, ["region", "vertical"], "left").select("vertical", "region", "ord", F.coalesce("passes", F.lit(0)).alias("passes"), "last_completed", F.coalesce("running", F.lit(False)).alias("running"))
 
