@@ -367,7 +367,7 @@ def infer(pages: DataFrame) -> DataFrame:
 
 def extract(pages: DataFrame) -> DataFrame:
     """One row per row of ``pages``: page_id, url, text, n_chars."""
-    rows = pages.select("page_id", "url", host_of(F.col("url")).alias("host"), F.coalesce(F.col("html"), F.lit("")).alias("html"))
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), host_of(F.col("url")).alias("host"), F.coalesce(F.col("html"), F.lit("")).alias("html"))
     rules = written(infer(rows), "wrappers").select(F.col("host").alias("w_host"), "inside", "outside")
     size = rules.agg(F.coalesce(F.sum(F.length("w_host") + F.expr("aggregate(inside, 0L, (a, x) -> a + length(x)) + aggregate(outside, 0L, (a, x) -> a + length(x))")), F.lit(0))).first()[0]
     joined = rows.join(F.broadcast(rules) if size <= BROADCAST_BYTES else rules, F.col("host") == F.col("w_host")).select("page_id", "url", "html", "inside", "outside")
