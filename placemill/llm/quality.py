@@ -17,7 +17,9 @@ each; an empty table gives no rows; extra columns are ignored by ``score`` and k
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
+from operator import eq
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +40,7 @@ for _k, _c in enumerate(_CLASSES, 1):
     _CLASS_OF[list(_c)] = _k
 _CLASS_OF[128:] = len(_CLASSES) + 1
 _N_CLASSES = len(_CLASSES) + 2
+N_SHAPE = 13
 
 
 def features(text: str) -> np.ndarray:
@@ -46,30 +49,38 @@ def features(text: str) -> np.ndarray:
     hist = np.bincount(_CLASS_OF[np.frombuffer(raw, np.uint8)], minlength=_N_CLASSES)
     words, lines = text.split(), text.split("\n")
     n = max(1, len(words))
+    again = sum(map(eq, words, words[1:]))  # words that follow themselves
+    most = max(Counter(words).values(), default=0)
     shape = [
         1.0, np.log1p(len(words)) / 10, len(raw) / n / 10, len(set(words)) / n, len(set(lines)) / len(lines),
-        sum(map(str.isupper, words)) / n, sum([len(w) == 1 for w in words]) / n, sum(map(str.isalpha, words)) / n, np.log1p(n / len(lines)) / 5,
+        sum(map(str.isupper, words)) / n, sum([len(w) == 1 for w in words]) / n, sum(map(str.isalpha, words)) / n, np.log1p(n / len(lines)) / 5, again / n, np.sqrt(again / n), most / n, (len(words) - len(set(zip(words, words[1:])))) / n,
     ]
     return np.concatenate([shape, np.sqrt(hist / max(1, len(raw)))])
 
 
 def fit(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, rounds: int = 40) -> np.ndarray:
-    """Logistic regression by damped Newton steps, classes weighted evenly."""
+    """Logistic regression on standardised features by damped Newton steps, classes weighted evenly; weights for the features as they are."""
     if len(y) == 0 or y.min() == y.max():
-        w = np.zeros(x.shape[1] if x.ndim == 2 else 9 + _N_CLASSES)
+        w = np.zeros(x.shape[1] if x.ndim == 2 else N_SHAPE + _N_CLASSES)
         rate = (y.sum() + 1) / (len(y) + 2) if len(y) else 0.5
         w[0] = np.log(rate / (1 - rate))
         return w
+    centre, spread = x.mean(axis=0), x.std(axis=0)
+    centre[0], spread[0] = 0.0, 1.0  # the constant
+    used = spread > 1e-9
+    z = np.where(used, (x - centre) / np.where(used, spread, 1), 0.0)
     weight = np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean()))
     w = np.zeros(x.shape[1])
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        h = (x * (weight * np.maximum(p * (1 - p), 1e-6))[:, None]).T @ x / len(y) + ridge * np.eye(len(w))
-        step = np.linalg.solve(h, x.T @ (weight * (y - p)) / len(y) - ridge * w)
+        p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
+        h = (z * (weight * np.maximum(p * (1 - p), 1e-6))[:, None]).T @ z / len(y) + ridge * np.eye(len(w))
+        step = np.linalg.solve(h, z.T @ (weight * (y - p)) / len(y) - ridge * w)
         w += step * min(1.0, 4.0 / max(1e-9, np.abs(step).max()))
         if np.abs(step).max() < 1e-6:
             break
-    return w
+    plain = np.where(used, w / np.where(used, spread, 1), 0.0)
+    plain[0] = w[0] - (plain[1:] * centre[1:]).sum()
+    return plain
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, label: str, rows: int, fold: Column) -> DataFrame:
