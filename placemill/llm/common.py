@@ -11,12 +11,15 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from placemill import ship
+
 #: ASCII white space as every contract here names it: ``[\x20\x09-\x0D]``; a word is a run of other characters.
 ASCII_SPACE = " \t\n\x0b\x0c\r"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -40,6 +43,7 @@ def written(df: DataFrame, tag: str) -> DataFrame:
 
 def with_text(docs: DataFrame, *keep: str) -> DataFrame:
     """Only the named columns and ``text`` with null as empty, so other columns can't clash."""
+    ship(docs.sparkSession)
     return docs.select(*keep, F.coalesce(F.col("text"), F.lit("")).alias("text"))
 
 
