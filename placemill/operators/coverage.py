@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from placemill.functions import geo
-from placemill.operators.dedupe import settled
+from placemill.storage import written
 
 # Fixed values.
 MIN_CELL_M, MAX_CELL_M, MAX_DEPTH = 700.0, 60_000.0, 9
@@ -111,7 +111,7 @@ def cover(cells: DataFrame, search: Callable[[DataFrame], DataFrame], max_depth:
     for _ in range(max_depth + 1):
         ok = ~F.coalesce("failed", F.lit(False))
         split = ok & should_split(F.col("depth"), F.col("box"), F.col("saturated"), max_depth, min_cell, max_cell)
-        done = settled(search(level).withColumn("split", split).withColumn("truncated", ok & ~F.col("split") & F.coalesce("saturated", F.lit(False))), "cells")
+        done = written(search(level).withColumn("split", split).withColumn("truncated", ok & ~F.col("split") & F.coalesce("saturated", F.lit(False))), "cells")
         out = done if out is None else out.union(done)
         again = done.filter("split")
         if again.isEmpty():

@@ -342,11 +342,18 @@ def contacts_of_pages(spark: SparkSession, d: str) -> DataFrame:
     return enrich.enrich(p.select(F.col("page_id").cast("string").alias("id"), F.col("url").alias("site")), seen)
 
 
-@query(None)
+@query("SELECT page_id, " + ", ".join(f"CAST(NULL AS VARCHAR) AS {p}" for p in "facebook instagram linkedin twitter youtube tiktok".split()) + " FROM pages", "")
 def socials_of_pages(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "pages").select("page_id", socials_in(F.col("html")).alias("s")).select("page_id", "s.*")
 
 
+@query("SELECT CAST(page_id AS VARCHAR) AS id, CASE WHEN page_id % 5 = 0 THEN 'no_site' WHEN page_id % 5 = 1 THEN 'timeout' WHEN page_id % 5 = 2 THEN 'unreachable' ELSE 'ok' END AS outcome FROM pages", "")
+def enrichment_outcomes(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("page_id") % 5
+    p = table(spark, d, "pages").select(F.col("page_id").cast("string").alias("id"), F.when(k != 0, F.col("url")).alias("site"), F.when(k != 1, "ok").otherwise("timeout").alias("outcome"), F.when(k > 2, F.col("html")).alias("html"), F.col("url").alias("final_url"))
+    return enrich.enrich(p.select("id", "site"), p.select("id", "html", "final_url", "outcome")).select("id", "outcome")
+
+
 _OUTCOMES = ", o AS (SELECT id, CASE WHEN reviews % 4 = 0 THEN 'timeout' WHEN reviews % 4 = 1 THEN 'unreachable' WHEN site IS NULL THEN 'no_site' ELSE 'ok' END AS outcome FROM places)"
 
 
@@ -467,9 +474,12 @@ def category_scores(spark: SparkSession, d: str) -> DataFrame:
     return scored.filter("score > 0")
 
 
-@query(None)
+@query(
+    f"SELECT name, round(CAST(score AS DOUBLE), 6) AS score FROM (SELECT name, CASE WHEN norm = q THEN 1000.0 WHEN starts_with(norm, q) THEN 800 - brevity WHEN list_bool_or(list_transform(words, lambda w: starts_with(w, q))) THEN 600 - brevity WHEN contains(norm, q) THEN 400 - brevity WHEN dist <= 1 THEN 300 - dist * 40 - length(norm) * 0.1 WHEN regexp_matches(joined, 'a.*g.*e.*t') THEN 150 - length(regexp_extract(joined, 'a[^g]*g[^e]*e[^t]*t')) ELSE 0 END AS score FROM (SELECT *, replace(norm, ' ', '') AS joined, len(words) * 10 + length(norm) * 0.5 AS brevity, list_min(list_transform(words, lambda w: levenshtein(q, w))) AS dist FROM (SELECT DISTINCT 'aget' AS q, p_name AS name, {_NORM} AS norm, string_split({_NORM}, ' ') AS words FROM part))) WHERE score > 0 ORDER BY score DESC, name LIMIT 12",
+    "one AS (SELECT 1)",
+)
 def category_search(spark: SparkSession, d: str) -> DataFrame:
-    return catalog.search_categories(_entries(spark, d), "hotring")
+    return catalog.search_categories(_entries(spark, d), "Aget").select("name", F.round("score", 6).alias("score"))
 
 
 @query("SELECT n_name AS city, CAST(n_regionkey AS VARCHAR) AS region FROM (SELECT n_name, n_regionkey, n_nationkey, CASE WHEN starts_with(lower(n_name), 'on_1') THEN 1000000 ELSE 0 END + coalesce(p, 0) AS score FROM nation LEFT JOIN (SELECT c_nationkey, count(*) AS p FROM customer GROUP BY 1) ON c_nationkey = n_nationkey WHERE contains(lower(n_name), 'on_1') ORDER BY score DESC, n_nationkey LIMIT 8)", "")
@@ -662,13 +672,25 @@ def enrichment_batch(spark: SparkSession, d: str) -> DataFrame:
 
 # Identity
 
+_HITS = "h AS (SELECT event_id AS seq, CASE WHEN event_id % 7 <> 0 THEN CAST(user_id*61 + event_id % 61 AS VARCHAR) END AS cid, CASE WHEN event_id % 3 = 0 THEN concat('P', CAST(user_id*61 + event_id % 61 + event_id % 2 AS VARCHAR)) END AS place_id, CASE WHEN event_id % 5 <> 0 THEN event_type END AS name, 49 + (user_id*61 + event_id % 61) / 1000.0::DOUBLE AS lat, -123 - (user_id*61 + event_id % 61) / 1000.0::DOUBLE AS lng FROM events)"
 
-@query(None)
+
+def _greedy(rounds: int = 12) -> str:
+    """The greedy rule in rounds: first of all its keys is kept, sharing a key with a kept one is a duplicate; what stays open is null."""
+    parts = ["p0 AS MATERIALIZED (SELECT seq, unnest(list_filter(['cid:' || cid, 'pid:' || place_id, CASE WHEN seq % 4 <> 0 THEN 'geo:' || regexp_replace(lower(name), '[^a-z0-9]', '', 'g') || '@' || printf('%.4f', lat) || ',' || printf('%.4f', lng) END], lambda x: x IS NOT NULL)) AS key FROM h)"]
+    for i in range(rounds):
+        parts.append(f"k{i} AS MATERIALIZED (SELECT seq FROM (SELECT seq, seq = min(seq) OVER (PARTITION BY key) AS first FROM p{i}) GROUP BY seq HAVING bool_and(first))")
+        parts.append(f"l{i} AS MATERIALIZED (SELECT DISTINCT seq FROM p{i} WHERE key IN (SELECT key FROM p{i} WHERE seq IN (SELECT seq FROM k{i})) AND seq NOT IN (SELECT seq FROM k{i}))")
+        parts.append(f"p{i + 1} AS MATERIALIZED (SELECT * FROM p{i} WHERE seq NOT IN (SELECT seq FROM k{i}) AND seq NOT IN (SELECT seq FROM l{i}))")
+    kept = " UNION ALL ".join(f"SELECT seq FROM k{i}" for i in range(rounds))
+    return f", {', '.join(parts)} SELECT seq, CASE WHEN seq IN (SELECT seq FROM p{rounds}) THEN NULL ELSE seq IN ({kept}) OR seq NOT IN (SELECT seq FROM p0) END AS kept FROM h"
+
+
+@query(_greedy(), _HITS)
 def dedupe_hits(spark: SparkSession, d: str) -> DataFrame:
     return dedupe.dedupe(place_hits(spark, d)).select("seq", "kept")
 
 
-_HITS = "h AS (SELECT event_id AS seq, CASE WHEN event_id % 7 <> 0 THEN CAST(user_id*61 + event_id % 61 AS VARCHAR) END AS cid, CASE WHEN event_id % 3 = 0 THEN concat('P', CAST(user_id*61 + event_id % 61 + event_id % 2 AS VARCHAR)) END AS place_id, CASE WHEN event_id % 5 <> 0 THEN event_type END AS name, 49 + (user_id*61 + event_id % 61) / 1000.0::DOUBLE AS lat, -123 - (user_id*61 + event_id % 61) / 1000.0::DOUBLE AS lng FROM events)"
 
 
 @query("SELECT seq, unnest(list_filter([concat('cid:' || cid), 'pid:' || place_id, CASE WHEN seq % 4 <> 0 THEN 'geo:' || regexp_replace(lower(name), '[^a-z0-9]', '', 'g') || '@' || printf('%.4f', lat) || ',' || printf('%.4f', lng) END], lambda x: x IS NOT NULL AND x <> '')) AS key FROM h", _HITS)
