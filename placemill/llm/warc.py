@@ -14,9 +14,9 @@ line ends in a url are percent-encoded.
 
 from __future__ import annotations
 
-import gzip
 import hashlib
 import uuid
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from placemill.llm.common import shared_dir, written
 
 MIN_SHARED = 100
-#: Records an archive holds, which bounds the memory that reading one takes.
+#: Records an archive holds. Reading one takes its compressed bytes and one record of memory.
 RECORDS_PER_FILE = 12_000
 CRLF = "\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -81,38 +81,70 @@ def write(pages: DataFrame, path: str) -> None:
     archive_lines(pages).write.option("lineSep", CRLF + CRLF).option("compression", "gzip").option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
 
 
-def parse(data: bytes) -> Iterator[tuple[dict[str, str], memoryview]]:
-    """Headers, names in lower case, and block of each record of an archive without compression."""
+def unpacked(data: bytes, chunk: int = 1 << 20) -> Iterator[bytes]:
+    """An archive's bytes in pieces; gzip members, one or many, are decompressed as they come."""
+    if data[:2] != b"\x1f\x8b":
+        yield data
+        return
     view, at = memoryview(data), 0
-    while at < len(data):
-        end = data.find(b"\r\n\r\n", at)
-        if end < 0 or not data.startswith(b"WARC/", at):
-            raise ValueError(f"no WARC record at byte {at}")
-        head = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in data[at:end].decode("utf-8", "replace").split("\r\n")[1:])}
-        start = end + 4
-        stop = start + int(head["content-length"])
-        if stop > len(data):
-            raise ValueError(f"record at byte {at} is cut short")
-        yield head, view[start:stop]
-        at = stop
-        while data[at : at + 2] == b"\r\n":
-            at += 2
+    while at < len(view):
+        member = zlib.decompressobj(31)
+        while not member.eof:
+            part = member.unconsumed_tail
+            if not part:
+                if at >= len(view):
+                    raise ValueError("a gzip member is cut short")
+                part = view[at : at + (1 << 16)]
+                at += len(part)
+            if piece := member.decompress(part, chunk):
+                yield piece
+        at -= len(member.unused_data)
+
+
+def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
+    """Headers, names in lower case, and block of each record of an archive; one record is in memory at a time."""
+    buffer, pieces = bytearray(), unpacked(data)
+
+    def fill(size: int) -> bool:
+        """Whether the buffer has so many bytes, if need be after reading on."""
+        while len(buffer) < size:
+            piece = next(pieces, None)
+            if piece is None:
+                return False
+            buffer.extend(piece)
+        return True
+
+    while fill(1):
+        if fill(2) and buffer[:2] == b"\r\n":
+            del buffer[:2]
+            continue
+        end = buffer.find(b"\r\n\r\n")
+        while end < 0 and fill(len(buffer) + 1):
+            end = buffer.find(b"\r\n\r\n")
+        if end < 0 or not buffer.startswith(b"WARC/"):
+            raise ValueError(f"no WARC record at {bytes(buffer[:40])!r}")
+        head = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in buffer[:end].decode("utf-8", "replace").split("\r\n")[1:])}
+        start, size = end + 4, int(head["content-length"])
+        if not fill(start + size):
+            raise ValueError(f"record {head.get('warc-record-id')} is cut short")
+        yield head, bytes(buffer[start : start + size])
+        del buffer[: start + size]
 
 
 RECORD_SCHEMA = "record_id string, type string, concurrent_to string, refers_to string, target_uri string, date string, digest string, payload_bytes long, fields map<string,string>, payload binary"
 _RECORD_ARROW = pa.schema([(n, pa.string()) for n in ("record_id", "type", "concurrent_to", "refers_to", "target_uri", "date", "digest")] + [("payload_bytes", pa.int64()), ("fields", pa.map_(pa.string(), pa.string())), ("payload", pa.binary())])
 
 
-def _row(head: dict[str, str], block: memoryview, keep_payload: bool) -> dict:
+def _row(head: dict[str, str], block: bytes, keep_payload: bool) -> dict:
     kind = head.get("warc-type", "")
     payload, fields = block, {}
     if "application/http" in head.get("content-type", ""):
-        http, _, rest = bytes(block).partition(b"\r\n\r\n")
+        http, _, rest = block.partition(b"\r\n\r\n")
         first, *lines = http.decode("utf-8", "replace").split("\r\n")
         fields = {"": first} | {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines)}
         payload = rest
     elif head.get("content-type", "") == "application/warc-fields":
-        fields = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in bytes(block).decode("utf-8", "replace").split("\r\n") if x)}
+        fields = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in block.decode("utf-8", "replace").split("\r\n") if x)}
     revisit = kind == "revisit"
     said = head.get("warc-payload-digest", "").removeprefix("sha256:")
     digest = said if revisit else hashlib.sha256(payload).hexdigest()
@@ -121,7 +153,7 @@ def _row(head: dict[str, str], block: memoryview, keep_payload: bool) -> dict:
     return {
         "record_id": head.get("warc-record-id"), "type": kind, "concurrent_to": head.get("warc-concurrent-to"), "refers_to": head.get("warc-refers-to"),
         "target_uri": head.get("warc-target-uri"), "date": head.get("warc-date"), "digest": digest,
-        "payload_bytes": int(fields.get("content-length", 0)) if revisit else len(payload), "fields": list(fields.items()), "payload": bytes(payload) if keep_payload and not revisit else None,
+        "payload_bytes": int(fields.get("content-length", 0)) if revisit else len(payload), "fields": list(fields.items()), "payload": payload if keep_payload and not revisit else None,
     }
 
 
@@ -133,7 +165,7 @@ def read(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
             for content in batch.column(0):
                 data = content.as_py()
                 rows, held = [], 0
-                for head, block in parse(gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data):
+                for head, block in parse(data):
                     rows.append(_row(head, block, payloads))
                     held += len(block) if payloads else 0
                     if len(rows) >= 4000 or held > 8_000_000:
