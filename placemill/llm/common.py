@@ -1,9 +1,7 @@
-"""What the operators of this subpackage share: the shared folder, written tables, connected components."""
+"""What the operators of this subpackage share: tables in and out, Arrow slices, connected components."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -12,6 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from placemill import ship
+from placemill.storage import shared_dir, written
+
+__all__ = ["ASCII_SPACE", "WORD", "connected_components", "parts", "read_table", "shared_dir", "with_text", "written"]
 
 #: ASCII white space as every contract here names it: ``[\x20\x09-\x0D]``; a word is a run of other characters.
 ASCII_SPACE = " \t\n\x0b\x0c\r"
@@ -23,24 +24,6 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: the cluster's, or one of our own where it names none."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not folder:
-        folder = f"file://{tempfile.mkdtemp(prefix='placemill-')}"
-        spark.sparkContext.setCheckpointDir(folder)
-    return folder
-
-
-def written(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it back: lineage ends here, so a lost
-    executor costs only the tasks it ran, and each later use reads the same rows."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/placemill/{tag}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def with_text(docs: DataFrame, *keep: str) -> DataFrame:
     """Only the named columns and ``text`` with null as empty, so other columns can't clash."""
     ship(docs.sparkSession)
