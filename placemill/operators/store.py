@@ -210,23 +210,33 @@ class PlaceStore:
         self._path = lambda p: jvm.org.apache.hadoop.fs.Path(p)
         self._fs = self._path(self.path).getFileSystem(spark._jsc.hadoopConfiguration())
 
+    def _numbers(self, name: str) -> list[int]:
+        """Numbers of the copies of a small file, rising."""
+        folder = self._path(self.path)
+        if not self._fs.exists(folder):
+            return []
+        names = [s.getPath().getName() for s in self._fs.listStatus(folder)]
+        return sorted(int(n.rsplit(".", 1)[1]) for n in names if n.startswith(f"{name}.") and n.rsplit(".", 1)[1].isdigit())
+
     def _read_text(self, name: str) -> str | None:
-        at = self._path(f"{self.path}/{name}")
-        if not self._fs.exists(at):
-            return None
-        return self.spark.read.option("wholetext", True).text(f"{self.path}/{name}").first()[0]
+        numbers = self._numbers(name)
+        return self.spark.read.option("wholetext", True).text(f"{self.path}/{name}.{numbers[-1]}").first()[0] if numbers else None
 
     def _write_text(self, name: str, text: str) -> None:
-        """To a new file, then renamed over the old one."""
-        fresh = self._path(f"{self.path}/_{name}-{uuid.uuid4().hex}")
+        """A new copy with the next number, made apart and renamed into place, so readers find the old or the new one at any time.
+
+        Another writer that took the number first makes this fail.
+        """
         self._fs.mkdirs(self._path(self.path))
+        numbers = self._numbers(name)
+        fresh, target = self._path(f"{self.path}/_{name}-{uuid.uuid4().hex}"), self._path(f"{self.path}/{name}.{numbers[-1] + 1 if numbers else 0}")
         out = self._fs.create(fresh)
         out.write(bytearray(text.encode()))
         out.close()
-        target = self._path(f"{self.path}/{name}")
-        self._fs.delete(target, False)
-        if not self._fs.rename(fresh, target):
-            raise OSError(f"{target} can't be replaced")
+        if self._fs.exists(target) or not self._fs.rename(fresh, target):
+            raise OSError(f"{target} was written by another")
+        for n in numbers[:-1]:  # the one before stays for readers that have just listed it
+            self._fs.delete(self._path(f"{self.path}/{name}.{n}"), False)
 
     @property
     def version(self) -> str | None:
