@@ -50,18 +50,21 @@ class Agenda:
         self.bytes = {i: b for b, i in self.byte.items()}
         self.unknown = self.library.unk_id()
         self.ids = {p: i for i, p in enumerate(self.pieces) if not special[i] and not self.library.is_byte(i)}
-        self.scores = {p: self.library.get_score(i) for p, i in self.ids.items()}
+        self.rank = {p: -self.library.get_score(i) for p, i in self.ids.items()}
         self.special = special
         self.cut = self._cut()
-        self.known: dict[str, tuple[str, int, str]] = {}
+        self.shown = [p.replace(MARK, " ") for p in self.pieces]
+        self.rare = {i for i in range(n) if special[i]} | set(self.bytes)
+        self.known: dict[str, str] = {}
+        self.odd: dict[str, str] = {}
 
     def merge(self, symbols: str) -> list[int]:
         """Ids of one stretch of text whose spaces are marks."""
         if (whole := self.ids.get(symbols)) is not None and len(symbols) == 1:
             return [whole]
-        scores, parts = self.scores, list(symbols)
+        rank, parts = self.rank.get, list(symbols)
         n = len(parts)
-        agenda = [(-scores[p], i, i + 1, p) for i, p in enumerate(map(add, parts, parts[1:])) if p in scores]
+        agenda = [(r, i, i + 1, p) for i, p in enumerate(map(add, parts, parts[1:])) if (r := rank(p)) is not None]
         if agenda:
             before, after = list(range(-1, n - 1)), [*range(1, n), -1]
             heapify(agenda)
@@ -73,11 +76,11 @@ class Agenda:
             parts[i], parts[j], after[j] = pair, "", -2
             if k >= 0:
                 before[k] = i
-                if (p := pair + parts[k]) in scores:
-                    heappush(agenda, (-scores[p], i, k, p))
+                if (r := rank(p := pair + parts[k])) is not None:
+                    heappush(agenda, (r, i, k, p))
             h = before[i]
-            if h >= 0 and (p := parts[h] + pair) in scores:
-                heappush(agenda, (-scores[p], h, i, p))
+            if h >= 0 and (r := rank(p := parts[h] + pair)) is not None:
+                heappush(agenda, (r, h, i, p))
         out: list[int] = []
         for p in parts:
             if p:
@@ -92,6 +95,8 @@ class Agenda:
 
     def unmerge(self, ids: list[int]) -> str:
         """Text of ids that follow other ids: byte pieces are gathered to characters, marks are spaces."""
+        if self.rare.isdisjoint(ids):
+            return "".join([self.shown[i] for i in ids])
         out, held = [], bytearray()
         for i in ids:
             p = self.pieces[i]
@@ -123,8 +128,9 @@ class Agenda:
         """Stretches that merge on their own; their join is the text, a leading space added and marks as spaces."""
         return self.cut.findall(f" {text}".replace(MARK, " "))
 
-    def learn(self, words: set[str]) -> dict[str, tuple[str, int, str]]:
-        """Ids joined by commas, their number and decoded text of each word; checked against the library."""
+    def learn(self, words: set[str]) -> dict[str, str]:
+        """Ids joined by commas of each stretch; ids and decoded text are checked against the library. Stretches that do not decode to
+        themselves are noted in ``odd``."""
         fresh = list(words)
         ours = [self.merge(w.replace(" ", MARK)) for w in fresh]
         # the library adds a space in front: a word with one is given without it, others after a line end, which merges with nothing
@@ -137,8 +143,8 @@ class Agenda:
         for w, a, b, d, t in zip(fresh, ours, theirs, decoded, texts, strict=True):
             if (a, d[1:]) != (b, t) if w[0] == " " != w else (lead + a, "\n" + d) != (b, t):
                 raise ValueError(f"agenda and library differ on {w[:80]!r}: {a[:20]} and {b[:20]}, {d[:80]!r} and {t[:80]!r}")
-        # the decoded text is mostly the word itself, which is then held once
-        return {w: (",".join(map(str, a)), len(a), w if w == d else d) for w, a, d in zip(fresh, ours, decoded, strict=True)}
+        self.odd.update((w, d) for w, d in zip(fresh, decoded, strict=True) if w != d)
+        return {w: ",".join(map(str, a)) for w, a in zip(fresh, ours, strict=True)}
 
     def digests(self, texts: list[str]) -> tuple[list[int], list[str], list[str]]:
         """Number of ids, SHA-256 of the ids and of the decoded text, for each text."""
@@ -148,13 +154,16 @@ class Agenda:
         if len(known) + len(fresh) > REMEMBERED:
             fresh |= {w: known[w] for words in split for w in words if w in known}
             known.clear()
+            self.odd = {w: d for w, d in self.odd.items() if w in fresh}
         known.update(fresh)
         counts, id_hashes, text_hashes = [], [], []
+        odd = self.odd
         for words in split:
-            found = [known[w] for w in words]
-            counts.append(sum([f[1] for f in found]))
-            id_hashes.append(hashlib.sha256(",".join([f[0] for f in found]).encode()).hexdigest())
-            text_hashes.append(hashlib.sha256("".join([f[2] for f in found])[1:].encode()).hexdigest())
+            ids = ",".join([known[w] for w in words])
+            decoded = "".join([odd.get(w, w) for w in words] if odd else words)
+            counts.append(ids.count(",") + 1 if words else 0)
+            id_hashes.append(hashlib.sha256(ids.encode()).hexdigest())
+            text_hashes.append(hashlib.sha256(decoded[1:].encode()).hexdigest())
         return counts, id_hashes, text_hashes
 
     def encode(self, text: str) -> list[int]:
