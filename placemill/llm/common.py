@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import gc
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 from placemill import ship
 from placemill.storage import shared_dir, written
 
-__all__ = ["ASCII_SPACE", "WORD", "connected_components", "parts", "read_table", "shared_dir", "with_text", "written"]
+__all__ = ["ASCII_SPACE", "WORD", "connected_components", "parts", "read_table", "shared_dir", "tidy", "with_text", "written"]
 
 #: ASCII white space as every contract here names it: ``[\x20\x09-\x0D]``; a word is a run of other characters.
 ASCII_SPACE = " \t\n\x0b\x0c\r"
@@ -43,6 +44,23 @@ def parts(batch: pa.RecordBatch, rows: int, size: int, column: int = 1) -> Itera
         at += n
 
 
+def tidy(fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The same batches; Arrow's unused memory goes back after each and all that is free at the end, as workers outlive tasks."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def one_by_one() -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield batch
+                del batch
+                pa.default_memory_pool().release_unused()
+
+        yield from fn(one_by_one())
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+
+    return wrapped
+
+
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """``edges(a, b)`` of longs -> ``(node, component)``: the smallest node reachable; only nodes on edges.
 

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from placemill.llm.common import with_text, written
+from placemill.llm.common import tidy, with_text, written
 
 FIT_ROWS = 20_000
 #: Kept at this probability of good quality and above: clean documents must not be lost for a doubt.
@@ -100,7 +100,7 @@ def _model(docs: DataFrame, labels: DataFrame, rows: int) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(x, pa.list_(pa.float64())), batch.column(2)], names=["id", "x", "y"])
 
     fold = F.pmod(F.crc32(F.col("__id").cast("string")), F.lit(3)) != 1
-    got = training_rows(docs, labels, "quality", rows, fold).mapInArrow(fn, "id long, x array<double>, y int").toArrow().sort_by("id")
+    got = training_rows(docs, labels, "quality", rows, fold).mapInArrow(tidy(fn), "id long, x array<double>, y int").toArrow().sort_by("id")
     y = got.column("y").to_numpy().astype(float)
     return fit(np.array(got.column("x").to_pylist(), float), y)
 
@@ -116,7 +116,7 @@ def evidence(docs: DataFrame, weights: np.ndarray, *keep: str) -> DataFrame:
 
     kept = with_text(docs, *keep)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields[:-1])
-    return kept.mapInArrow(fn, f"{schema}, logit double")
+    return kept.mapInArrow(tidy(fn), f"{schema}, logit double")
 
 
 def _strength(groups: DataFrame, centre: Column) -> Column:

@@ -27,10 +27,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from placemill.llm.common import parts, with_text
+from placemill.llm.common import parts, tidy, with_text
 
 MARK = "▁"
-#: Stretches that a worker remembers; beyond it the memory starts anew, results stay the same.
+#: Rank of a pair that is no piece, and up to how many symbols a stretch's agenda is scanned.
+NEVER, SCANNED = float("inf"), 48
+#: Stretches that a worker remembers; beyond it those met once are forgotten, results stay the same.
 REMEMBERED = 300000
 #: Texts taken together, by number and by characters.
 TOGETHER, TOGETHER_CHARS = 300, 1_000_000
@@ -57,11 +59,44 @@ class Agenda:
         self.rare = {i for i in range(n) if special[i]} | set(self.bytes)
         self.known: dict[str, str] = {}
         self.odd: dict[str, str] = {}
+        self.met_again: set[str] = set()
 
     def merge(self, symbols: str) -> list[int]:
-        """Ids of one stretch of text whose spaces are marks."""
-        if (whole := self.ids.get(symbols)) is not None and len(symbols) == 1:
-            return [whole]
+        """Ids of one stretch of text whose spaces are marks.
+
+        The agenda of a short stretch is the list of its pairs' ranks itself, in which the best and leftmost is found by a scan; that of a
+        long one is a heap.
+        """
+        if len(symbols) > SCANNED:
+            return self._merge_long(symbols)
+        rank, parts = self.rank.get, list(symbols)
+        agenda = [rank(p, NEVER) for p in map(add, parts, parts[1:])]
+        while agenda and (best := min(agenda)) < NEVER:
+            i = agenda.index(best)
+            parts[i] += parts.pop(i + 1)
+            del agenda[i]
+            if i < len(agenda):
+                agenda[i] = rank(parts[i] + parts[i + 1], NEVER)
+            if i:
+                agenda[i - 1] = rank(parts[i - 1] + parts[i], NEVER)
+        return self._ids(parts)
+
+    def _ids(self, parts: list[str]) -> list[int]:
+        """Ids of merged symbols; those without a piece by their bytes."""
+        try:
+            return [self.ids[p] for p in parts]
+        except KeyError:
+            out: list[int] = []
+            for p in parts:
+                if (known := self.ids.get(p)) is not None:
+                    out.append(known)
+                elif self.byte:
+                    out += [self.byte[x] for x in p.encode()]
+                else:
+                    out.append(self.unknown)
+            return out
+
+    def _merge_long(self, symbols: str) -> list[int]:
         rank, parts = self.rank.get, list(symbols)
         n = len(parts)
         agenda = [(r, i, i + 1, p) for i, p in enumerate(map(add, parts, parts[1:])) if (r := rank(p)) is not None]
@@ -81,17 +116,7 @@ class Agenda:
             h = before[i]
             if h >= 0 and (r := rank(p := parts[h] + pair)) is not None:
                 heappush(agenda, (r, h, i, p))
-        out: list[int] = []
-        for p in parts:
-            if p:
-                known = self.ids.get(p)
-                if known is not None:
-                    out.append(known)
-                elif self.byte:
-                    out += [self.byte[x] for x in p.encode()]
-                else:
-                    out.append(self.unknown)
-        return out
+        return self._ids([p for p in parts if p])
 
     def unmerge(self, ids: list[int]) -> str:
         """Text of ids that follow other ids: byte pieces are gathered to characters, marks are spaces."""
@@ -150,11 +175,18 @@ class Agenda:
         """Number of ids, SHA-256 of the ids and of the decoded text, for each text."""
         known = self.known
         split = [[] if not t else self.words(t) if self.cut else [f" {t}".replace(MARK, " ")] for t in texts]
-        fresh = self.learn(set().union(*split).difference(known))
-        if len(known) + len(fresh) > REMEMBERED:
-            fresh |= {w: known[w] for words in split for w in words if w in known}
+        distinct = set().union(*split)
+        missing = distinct.difference(known)
+        met_again = distinct.difference(missing)
+        self.met_again |= met_again
+        fresh = self.learn(missing)
+        if len(known) + len(fresh) > REMEMBERED:  # what was met once goes first, all goes if that is not enough
+            fresh |= {w: known[w] for w in met_again}
+            kept = {w: known[w] for w in self.met_again} if len(self.met_again) <= REMEMBERED // 2 else {}
             known.clear()
-            self.odd = {w: d for w, d in self.odd.items() if w in fresh}
+            known.update(kept)
+            self.met_again.clear()
+            self.odd = {w: d for w, d in self.odd.items() if w in kept or w in fresh}
         known.update(fresh)
         counts, id_hashes, text_hashes = [], [], []
         odd = self.odd
@@ -166,6 +198,10 @@ class Agenda:
             text_hashes.append(hashlib.sha256(decoded[1:].encode()).hexdigest())
         return counts, id_hashes, text_hashes
 
+    def forget(self) -> None:
+        """Between tasks a worker holds no stretches: other operators share its memory."""
+        self.known, self.odd, self.met_again = {}, {}, set()
+
     def encode(self, text: str) -> list[int]:
         if not text:
             return []
@@ -191,7 +227,7 @@ def encode_column(docs: DataFrame, path: str) -> DataFrame:
             ids = [model.encode(t) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array([model.decode(x) for x in ids])], names=["doc_id", "ids", "decoded"])
 
-    return with_text(docs.withColumn("doc_id", F.col("doc_id").cast("long")), "doc_id").mapInArrow(fn, "doc_id long, ids array<int>, decoded string")
+    return with_text(docs.withColumn("doc_id", F.col("doc_id").cast("long")), "doc_id").mapInArrow(tidy(fn), "doc_id long, ids array<int>, decoded string")
 
 
 def digests(docs: DataFrame, path: str) -> DataFrame:
@@ -203,5 +239,6 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
             for part in parts(batch, TOGETHER, TOGETHER_CHARS):
                 n, ids, decoded = model.digests(part.column(1).to_pylist())
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(ids), pa.array(decoded)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        model.forget()
 
-    return with_text(docs.withColumn("doc_id", F.col("doc_id").cast("long")), "doc_id").mapInArrow(fn, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return with_text(docs.withColumn("doc_id", F.col("doc_id").cast("long")), "doc_id").mapInArrow(tidy(fn), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
