@@ -33,6 +33,7 @@ FIT_ROWS = 20_000
 THRESHOLD = 0.5
 SITE_WEIGHT = 0.5
 MAX_STRENGTH = 1000.0
+CLIP = 3.0
 
 _CLASSES = [b"abcdefghijklmnopqrstuvwxyz", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b" ", b"\n", b"\t\r\x0b\x0c", b".", b",", b"!", b"?", b"|", b"#", b"%", b"$", b"&", b"*", b"@", b"<>", b"{}[]()", b"/\\", b"=+-_", b"\"'`", b";:", b"~^"]
 _CLASS_OF = np.zeros(256, np.uint8)
@@ -58,17 +59,31 @@ def features(text: str) -> np.ndarray:
     return np.concatenate([shape, np.sqrt(hist / max(1, len(raw)))])
 
 
-def fit(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, rounds: int = 40) -> np.ndarray:
-    """Logistic regression on standardised features by damped Newton steps, classes weighted evenly; weights for the features as they are."""
+class Regression:
+    """Weights over standardised features, each held within CLIP deviations: what training rows never showed decides nothing alone."""
+
+    def __init__(self, centre: np.ndarray, spread: np.ndarray, weights: np.ndarray):
+        self.centre, self.spread, self.weights = centre, spread, weights
+
+    def standard(self, x: np.ndarray) -> np.ndarray:
+        used = self.spread > 1e-9
+        return np.where(used, np.clip((x - self.centre) / np.where(used, self.spread, 1), -CLIP, CLIP), 0.0)
+
+    def logit(self, x: np.ndarray) -> np.ndarray:
+        return self.standard(x) @ self.weights
+
+
+def fit(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, rounds: int = 40) -> Regression:
+    """Logistic regression by damped Newton steps, classes weighted evenly."""
+    size = x.shape[1] if x.ndim == 2 else N_SHAPE + _N_CLASSES
+    one = np.eye(1, size)[0]
     if len(y) == 0 or y.min() == y.max():
-        w = np.zeros(x.shape[1] if x.ndim == 2 else N_SHAPE + _N_CLASSES)
         rate = (y.sum() + 1) / (len(y) + 2) if len(y) else 0.5
-        w[0] = np.log(rate / (1 - rate))
-        return w
+        return Regression(0 * one, one, one * np.log(rate / (1 - rate)))
     centre, spread = x.mean(axis=0), x.std(axis=0)
     centre[0], spread[0] = 0.0, 1.0  # the constant
-    used = spread > 1e-9
-    z = np.where(used, (x - centre) / np.where(used, spread, 1), 0.0)
+    model = Regression(centre, spread, np.zeros(size))
+    z = model.standard(x)
     weight = np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean()))
     w = np.zeros(x.shape[1])
     for _ in range(rounds):
@@ -78,9 +93,8 @@ def fit(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, rounds: int = 40) ->
         w += step * min(1.0, 4.0 / max(1e-9, np.abs(step).max()))
         if np.abs(step).max() < 1e-6:
             break
-    plain = np.where(used, w / np.where(used, spread, 1), 0.0)
-    plain[0] = w[0] - (plain[1:] * centre[1:]).sum()
-    return plain
+    model.weights = w
+    return model
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, label: str, rows: int, fold: Column) -> DataFrame:
@@ -93,7 +107,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, rows: int, fol
     return with_text(docs, "doc_id").join(F.broadcast(chosen), F.col("doc_id") == F.col("__id")).select("doc_id", "text", "y")
 
 
-def _model(docs: DataFrame, labels: DataFrame, rows: int) -> np.ndarray:
+def _model(docs: DataFrame, labels: DataFrame, rows: int) -> Regression:
     def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = [features(t) for t in batch.column(1).to_pylist()]
@@ -105,13 +119,13 @@ def _model(docs: DataFrame, labels: DataFrame, rows: int) -> np.ndarray:
     return fit(np.array(got.column("x").to_pylist(), float), y)
 
 
-def evidence(docs: DataFrame, weights: np.ndarray, *keep: str) -> DataFrame:
+def evidence(docs: DataFrame, model: Regression, *keep: str) -> DataFrame:
     """The named columns and ``logit``, each document's own log odds."""
 
     def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(batch.num_columns - 1)
-            logits = [float(np.clip(features(t.as_py()) @ weights, -12, 12)) for t in texts]
+            logits = [float(np.clip(model.logit(features(t.as_py())), -12, 12)) for t in texts]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(logits, pa.float64())], names=[*keep, "logit"])
 
     kept = with_text(docs, *keep)
@@ -157,9 +171,9 @@ def posteriors(scored: DataFrame, site_weight: float = SITE_WEIGHT) -> DataFrame
 
 def score(docs: DataFrame, labels: DataFrame, site: str = "source", path: str = "lang", threshold: float = THRESHOLD, rows: int = FIT_ROWS) -> DataFrame:
     """One row per row of ``docs``: doc_id, site, path, doc_score, site_posterior, path_posterior, score, kept."""
-    weights = _model(docs, labels, rows)
+    model = _model(docs, labels, rows)
     named = docs.select("doc_id", F.col(site).alias("site"), F.col(path).alias("path"), "text")
-    scored = written(evidence(named, weights, "doc_id", "site", "path"), "evidence")
+    scored = written(evidence(named, model, "doc_id", "site", "path"), "evidence")
     return posteriors(scored).withColumn("kept", F.col("score") >= threshold)
 
 
