@@ -45,6 +45,10 @@ _OUT_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising adsbygoogle adslot banner banners breadcrumb breadcrumbs comment comments commentlist consent cookie cookies copyright disclaimer disqus footer gdpr legal login menu modal nav navbar navigation newsletter "
     "notice notices notification pager pagination popup promo promotion promoted recommended related replies respond search share sharing sidebar signup skip social sponsor sponsored subscribe subscription toolbar topbar widget".split()
 )
+#: Words that name a subject as often as a part of the page; in an article the slot's text decides.
+_SUBJECTS = frozenset("legal notification promotion recommended related respond search social".split())
+#: A class with one of these tells what a page has or allows (has-sidebar, comment-open), not what the element is.
+_STATES = frozenset("closed disabled enabled has no open with without".split())
 _OUT_ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
 _IN_TAGS = frozenset("article main".split())
 _IN_WORDS = ("articlebody", "article-body", "entry-content", "post-content", "article-content", "post-body", "story-body", "main-content")
@@ -75,8 +79,29 @@ def _is_out(key: str) -> bool:
     name, *rest = key.split(" ")
     if name in _OUT_TAGS or "!" in rest:
         return True
-    words = {w for x in rest if x[0] in ".#" for w in re.split(r"[-_.#:]+", x) if w}
-    return bool(words & _OUT_WORDS) or any(x[1:-1] in _OUT_ROLES for x in rest if x[0] == "[")
+    return bool(_words(key) & _OUT_WORDS) or any(x[1:-1] in _OUT_ROLES for x in rest if x[0] == "[")
+
+
+def _words(key: str) -> set[str]:
+    """Parts of the classes and ids, but for those that tell a state."""
+    split = [[w for w in re.split(r"[-_.#:]+", x) if w] for x in key.split(" ")[1:] if x[0] in ".#"]
+    return {w for ws in split if not _STATES & {*ws} for w in ws}
+
+
+@lru_cache(maxsize=50_000)
+def _is_out_whole(key: str) -> bool:
+    """As ``_is_out``, but only whole names count, and a form may hold a page."""
+    name, *rest = key.split(" ")
+    if (name in _OUT_TAGS and name != "form") or "!" in rest:
+        return True
+    return any(x[1:] in _OUT_WORDS for x in rest if x[0] in ".#") or any(x[1:-1] in _OUT_ROLES - {"form"} for x in rest if x[0] == "[")
+
+
+@lru_cache(maxsize=50_000)
+def _is_subject(key: str) -> bool:
+    """Whether only words that may be subjects make the element out."""
+    name, *rest = key.split(" ")
+    return name not in _OUT_TAGS and "!" not in rest and not any(x[1:-1] in _OUT_ROLES for x in rest if x[0] == "[") and _words(key) & _OUT_WORDS <= _SUBJECTS
 
 
 @lru_cache(maxsize=50_000)
@@ -300,32 +325,54 @@ class HostWrapper:
     def load(cls, text: str) -> HostWrapper:
         return cls(*json.loads(text))
 
-    def chosen(self) -> tuple[list[str], list[str]]:
-        """Paths of article slots; and those that serve on pages where none of the first has text."""
-        inside, outside = [], []
+    def chosen(self) -> dict[str, list[str]]:
+        """Paths of slots by tier; a page takes the first tier of which it has text."""
+        tiers: dict[str, list[str]] = {t: [] for t in TIERS}
         for path, (n, chars, links, same) in self.slots.items():
             place = judge(path)
-            if place == "in":
-                inside.append(path)
-            elif place == "open" and not (same is not None and n >= SAME_ON) and links <= chars / 2:
-                outside.append(path)
-        return inside, outside
+            if place in ("in", "around") or (place != "out" and not (same is not None and n >= SAME_ON) and links <= chars / 2):
+                for tier in TIERS:
+                    if place in TIERS[tier]:
+                        tiers[tier].append(path)
+        return tiers
 
 
 def hash_text(text: str, before: int) -> int:
     return zlib.crc32(text.encode("utf-8", "replace"), before)
 
 
+#: Which judgements each tier takes.
+TIERS = {"inside": ("in", "subject"), "around": ("around",), "outside": ("open",), "loose": ("loose",)}
+
+
 @lru_cache(maxsize=100_000)
 def judge(path: str) -> str:
-    """"in": in an article; "out": in something around one; "open": neither."""
-    place = "open"
+    """"in": in an article; "subject": so, if its text is no template; "out": in something around one; "open": neither.
+
+    What is out only by a part of a class or by a form, outside an article, is "around" where an article is in it, else "loose".
+    """
+    place, weak = "open", False
     for key in path.split("/")[1:]:
-        if _is_out(key) or (place == "open" and (key.split(" ")[0] == "header" or ".header" in key.split(" ") or "#header" in key.split(" "))):
+        name = key.split(" ")[0]
+        if name in ("html", "body"):
+            if "!" in key.split(" "):
+                return "out"
+            continue
+        entered = _is_in(key)
+        if _is_out(key):
+            if place in ("in", "subject"):
+                if not (_is_subject(key) or (entered and not _is_out_whole(key))):
+                    return "out"
+                place = place if entered else "subject"
+            elif _is_out_whole(key):
+                return "out"
+            elif not entered:
+                weak = True
+        elif place == "open" and (name == "header" or ".header" in key.split(" ") or "#header" in key.split(" ")):
             return "out"
-        if _is_in(key):
+        if entered and place == "open":
             place = "in"
-    return place
+    return place if not weak else "loose" if place == "open" else "around"
 
 
 def host_of(url: Column) -> Column:
@@ -333,7 +380,7 @@ def host_of(url: Column) -> Column:
 
 
 def infer(pages: DataFrame) -> DataFrame:
-    """``pages(host, html)`` -> ``host, wrapper`` (JSON), ``pages``, ``inside``, ``outside`` (slot paths)."""
+    """``pages(host, html)`` -> ``host, wrapper`` (JSON), ``pages`` and the slot paths of each tier."""
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: dict[str, HostWrapper] = {}
@@ -358,30 +405,30 @@ def infer(pages: DataFrame) -> DataFrame:
         wrapper = HostWrapper()
         for part in table.column("part"):
             wrapper.merge(HostWrapper.load(part.as_py()))
-        inside, outside = wrapper.chosen()
-        return pa.table({"host": table.column("host")[:1], "wrapper": [expression(wrapper.tree)], "pages": pa.array([wrapper.pages], pa.int64()), "inside": pa.array([inside], pa.list_(pa.string())), "outside": pa.array([outside], pa.list_(pa.string()))})
+        tiers = wrapper.chosen()
+        return pa.table({"host": table.column("host")[:1], "wrapper": [expression(wrapper.tree)], "pages": pa.array([wrapper.pages], pa.int64()), **{t: pa.array([paths], pa.list_(pa.string())) for t, paths in tiers.items()}})
 
     parts = pages.select("host", "html").mapInArrow(local, "host string, part string")
-    return parts.groupBy("host").applyInArrow(whole, "host string, wrapper string, pages long, inside array<string>, outside array<string>")
+    return parts.groupBy("host").applyInArrow(whole, "host string, wrapper string, pages long, " + ", ".join(f"{t} array<string>" for t in TIERS))
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """One row per row of ``pages``: page_id, url, text, n_chars."""
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), host_of(F.col("url")).alias("host"), F.coalesce(F.col("html"), F.lit("")).alias("html"))
-    rules = written(infer(rows), "wrappers").select(F.col("host").alias("w_host"), "inside", "outside")
-    size = rules.agg(F.coalesce(F.sum(F.length("w_host") + F.expr("aggregate(inside, 0L, (a, x) -> a + length(x)) + aggregate(outside, 0L, (a, x) -> a + length(x))")), F.lit(0))).first()[0]
-    joined = rows.join(F.broadcast(rules) if size <= BROADCAST_BYTES else rules, F.col("host") == F.col("w_host")).select("page_id", "url", "html", "inside", "outside")
+    rules = written(infer(rows), "wrappers").select(F.col("host").alias("w_host"), *TIERS)
+    size = rules.agg(F.coalesce(F.sum(F.length("w_host") + F.expr(" + ".join(f"aggregate({t}, 0L, (a, x) -> a + length(x))" for t in TIERS))), F.lit(0))).first()[0]
+    joined = rows.join(F.broadcast(rules) if size <= BROADCAST_BYTES else rules, F.col("host") == F.col("w_host")).select("page_id", "url", "html", *TIERS)
 
     def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = []
-            for html, inside, outside in zip(batch.column(2), batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True):
-                slots = Page(html.as_py(), tree=False).slots
-                chosen = set(inside)
-                found = [t for p, t, _ in slots if p in chosen]
-                if not found:
-                    chosen = set(outside)
+            for html, *tiers in zip(batch.column(2), *(batch.column(3 + k).to_pylist() for k in range(len(TIERS))), strict=True):
+                slots, found = Page(html.as_py(), tree=False).slots, []
+                for tier in tiers:
+                    chosen = set(tier)
                     found = [t for p, t, _ in slots if p in chosen]
+                    if found:
+                        break
                 texts.append(" ".join(found))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())], names=["page_id", "url", "text", "n_chars"])
 

@@ -124,3 +124,20 @@ def test_generated_pages(spark, small):
         body = re.search(r"<article>(.*)</article>", r.html, re.S)[1]
         blocks = [" ".join(entities.unescape(re.sub(r"<[^>]+>", "", b.replace("<br>", " "))).split()) for b in re.split(r"</?(?:p|h1)>", body)]
         assert got[r.page_id] == " ".join(b for b in blocks if b)
+
+
+def test_words_on_what_holds_the_article(spark):
+    cases = [
+        ("<body class='right-sidebar'><article><p>a</article>", "a"),
+        ("<body class='has-sidebar'><p>a</body>", "a"),
+        ("<body><div class='content with-sidebar'><article><p>a</article><div class=sidebar>s</div></div>", "a"),
+        ("<body><div class='right-sidebar-layout'><article><p>a</article></div><div class=footer>f</div>", "a"),
+        ("<article class='post comment-open'><p>a</article>", "a"),
+        ("<body><form><div><article><p>a</article></div></form>", "a"),
+        ("<body><form><p>a</p></form><nav>n</nav>", "a"),
+        ("<article><p>a</p><section class=legal><p>b</p></section><div class='related-work'><p>c</p></div><div class=social><a href=/>s</a></div></article>", "a b c"),
+        ("<article><p>a</article><aside><article>teaser</article></aside><div class='related-posts'><article>t</article></div>", "a"),
+        ("<body><nav>n</nav><footer>f</footer>", ""),
+    ]
+    rows = [(i, f"http://h{i}.test/", html) for i, (html, _) in enumerate(cases)]
+    assert {i: r.text for i, r in extract(spark, rows).items()} == {i: want for i, (_, want) in enumerate(cases)}
