@@ -3,9 +3,10 @@
 A page becomes a stream of block tags and text slots. Repeats inside a page fold into repeated groups, and the pages of a host
 are aligned one after another: where two streams differ, what only one of them has becomes optional, what follows
 itself becomes repeated, and text that differs becomes a slot. The result is a regular expression without unions, the
-host's wrapper. Its slots, not the pages, are then judged: a slot below a menu, header, footer, sidebar, notice, advert, form or
-comment section is no article text; where the wrapper has an article, only slots in it are; where it has none, slots whose
-text is the same on all pages or is mostly links are left out.
+host's wrapper. The wrapper is a by-product: it decides no row. What decides are slots by tag path, counted over the host's pages: a slot below a
+menu, header, footer, sidebar, notice, advert, form or comment section is no article text, but for the exceptions in ``judge``; where a page has an article, only
+slots in it are; where it has none, paths whose text is the same on all pages or is mostly links are left out. Slots that alignment would
+tell apart but that share a path are judged as one.
 
 Folding is associative, so each task folds its own pages and sends one wrapper a host; a host with a third of all
 pages costs as many rows as there are tasks. All pages take part.
