@@ -2,13 +2,17 @@
 
 Pass one folds the hashes of all texts into a blocked Bloom filter: each hash sets one of 64 bits in
 one block, and a block keeps the OR of its bits and how many rows it took. The fold is a map-side
-combined aggregate, so a text that a third of the rows share costs one row a task. A block whose bits
-are as many as its rows holds no repeat; the other blocks are the filter of pass two. In pass two a row
-whose block is clean has no copy and passes straight through; only rows in the other blocks shuffle.
+combined aggregate of a few bytes a row, so a text that a third of the rows share costs one row a task. A block whose
+bits are as many as its rows holds no repeat; the numbers of the other blocks become the filter of pass two, a bit
+a block, in dense segments of SEGMENT blocks. One bit a hash is best here: a repeat can't be told from a collision, and more bits collide more.
+
+In pass two every task tests its rows against the filter, which is broadcast in pieces of PIECE segments (64 MB): a row
+whose bit is clear has no copy and passes straight through; only the others shuffle. The filter takes half a bit a
+row, so a piece holds a thousand million rows; more rows mean more pieces, never another plan.
 
 Cases: null text is empty text; equal texts are those identical without ASCII white space; ties in length go to
 the smallest doc_id (null first); repeated rows with one doc_id count as copies of which one is kept; an
-empty table gives no rows; extra columns of the input are ignored by ``assign`` and kept by ``keep_first``.
+empty table gives no rows; extra columns of the input are ignored by ``assign`` and kept by ``keep_first``, whatever their names.
 """
 
 from __future__ import annotations
@@ -20,8 +24,11 @@ from placemill.llm.common import ASCII_SPACE, with_text, written
 
 #: Rows a block on average: two in 64 bits make about one clean block in sixty look repeated.
 ROWS_PER_BLOCK = 2
-#: The filter that a broadcast may carry: so many 8-byte block numbers at most. Beyond it the filter is joined by shuffle.
-MAX_BROADCAST_BLOCKS = 1 << 21
+#: Blocks of a segment, a power of two; and segments that one broadcast carries, 512 bytes each.
+SEGMENT = 1 << 12
+PIECE = 1 << 17
+#: Groups whose keepers are broadcast, some 100 bytes each; beyond it they meet the suspects by shuffle.
+KEEPERS = 1 << 18
 
 
 def normalised(text: Column) -> Column:
@@ -30,20 +37,21 @@ def normalised(text: Column) -> Column:
     return text
 
 
+def _sha(text: Column) -> Column:
+    return F.unhex(F.sha2(normalised(text), 256))
+
+
 def _digests(docs: DataFrame) -> DataFrame:
     text = with_text(docs, "doc_id")
-    return text.select(
-        "doc_id",
-        F.length("text").alias("points"),
-        F.unhex(F.sha2(normalised(F.col("text")), 256)).alias("sha"),
-        F.monotonically_increasing_id().alias("row"),
-    )
+    return text.select("doc_id", F.length("text").alias("points"), _sha(F.col("text")).alias("sha"), F.monotonically_increasing_id().alias("row"))
+
+
+def _block(sha: Column, blocks: int) -> Column:
+    return F.pmod(F.xxhash64(sha), F.lit(blocks))
 
 
-def _address(sha: Column, blocks: int) -> tuple[Column, Column]:
-    """Block and bit of a digest."""
-    h = F.xxhash64(sha)
-    return F.pmod(h, F.lit(blocks)), F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.shiftrightunsigned(h, 48), F.lit(64)).cast("int"))
+def _bit(sha: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.shiftrightunsigned(F.xxhash64(sha), 48), F.lit(64)).cast("int"))
 
 
 def block_count(rows: int) -> int:
@@ -52,9 +60,8 @@ def block_count(rows: int) -> int:
 
 def repeated_blocks(digests: DataFrame, blocks: int) -> DataFrame:
     """Pass one: the blocks in which some hash may be repeated."""
-    block, bit = _address(F.col("sha"), blocks)
     return (
-        digests.select(block.alias("block"), bit.alias("bit"))
+        digests.select(_block(F.col("sha"), blocks).alias("block"), _bit(F.col("sha")).alias("bit"))
         .groupBy("block")
         .agg(F.bit_or("bit").alias("bits"), F.count("*").alias("n"))
         .filter(F.bit_count("bits") < F.col("n"))
@@ -62,43 +69,81 @@ def repeated_blocks(digests: DataFrame, blocks: int) -> DataFrame:
     )
 
 
-def _filter(digests: DataFrame) -> tuple[DataFrame, int]:
-    blocks = block_count(digests.count())
-    found = written(repeated_blocks(digests, blocks), "bloom")
-    return (F.broadcast(found) if blocks <= MAX_BROADCAST_BLOCKS else found), blocks
-
+class Filter:
+    """The filter of pass two: written ``segments(segment, words)``, a bit for each block, and what it takes to test rows."""
+
+    def __init__(self, digests: DataFrame, piece: int = PIECE):
+        self.blocks = block_count(digests.count())
+        self.piece = piece
+        word = repeated_blocks(digests, self.blocks).groupBy(F.shiftright("block", 6).alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("block").bitwiseAND(F.lit(63)).cast("int"))).alias("bits"))
+        places = SEGMENT // 64
+        one = F.map_from_entries(F.collect_list(F.struct(F.col("word").bitwiseAND(F.lit(places - 1)).cast("int").alias("at"), "bits")))
+        segments = word.groupBy(F.shiftright("word", places.bit_length() - 1).alias("segment")).agg(one.alias("m"))
+        dense = F.transform(F.sequence(F.lit(0), F.lit(places - 1)), lambda k: F.coalesce(F.element_at("m", k), F.lit(0).cast("long")))
+        self.segments = written(segments.select("segment", dense.alias("words")), "bloom")
+
+    def test(self, rows: DataFrame) -> DataFrame:
+        """``rows(sha, ...)`` with ``hit``: whether the row may have a copy. No row moves."""
+        rows = rows.withColumn("block", _block(F.col("sha"), self.blocks))
+        hit = F.lit(False)
+        for k, first in enumerate(range(0, -(-self.blocks // SEGMENT), self.piece)):
+            some = self.segments.filter((F.col("segment") >= first) & (F.col("segment") < first + self.piece))
+            rows = rows.join(F.broadcast(some.select(F.col("segment").alias(f"s{k}"), F.col("words").alias(f"w{k}"))), F.shiftright("block", SEGMENT.bit_length() - 1) == F.col(f"s{k}"), "left")
+            word = F.element_at(f"w{k}", (F.shiftright("block", 6).bitwiseAND(F.lit(SEGMENT // 64 - 1)) + 1).cast("int"))
+            bit = F.call_function("shiftrightunsigned", word, F.col("block").bitwiseAND(F.lit(63)).cast("int")).bitwiseAND(F.lit(1).cast("long"))
+            hit = hit | F.coalesce(bit == 1, F.lit(False))
+        return rows.withColumn("hit", hit)
+
+
+def _keepers(suspects: DataFrame) -> tuple[DataFrame, bool]:
+    """Of each text: sha, group_size, keep_id, keep_row and how many rows the kept doc_id has in the group; and whether they are few."""
+    by_id = suspects.groupBy("sha", "doc_id").agg(F.min(F.struct((-F.col("points")).alias("p"), "row")).alias("b"), F.count("*").alias("same"))
+    best = F.min(F.struct("b.p", "doc_id", "b.row", "same")).alias("best")
+    whole = by_id.groupBy("sha").agg(best, F.sum("same").alias("group_size"))
+    # written apart, so that a join with it has a shuffle of its own, whose hot partitions Spark can split
+    found = written(whole.select("sha", "group_size", F.col("best.doc_id").alias("keep_id"), F.col("best.row").alias("keep_row"), F.col("best.same").alias("same")), "keepers")
+    return found, found.count() <= KEEPERS
+
+
+def assign(docs: DataFrame, piece: int = PIECE) -> DataFrame:
+    """One row per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256."""
+    digests = written(_digests(docs), "digests")
+    at = Filter(digests, piece).test(digests)
+    suspects = at.filter("hit")
+    keepers, few = _keepers(suspects)
+    settled = suspects.join(F.broadcast(keepers) if few else keepers, "sha").select("doc_id", "keep_id", "group_size", (F.col("row") == F.col("keep_row")).alias("kept"), "sha")
+    return passed(at).union(settled).select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("sha")).alias("text_sha256"))
 
-def _keepers(suspects: DataFrame) -> DataFrame:
-    best = F.min(F.struct((-F.col("points")).alias("p"), "doc_id", "row")).alias("best")
-    return suspects.groupBy("sha").agg(best, F.count("*").alias("group_size")).select("sha", "group_size", F.col("best.doc_id").alias("keep_id"), F.col("best.row").alias("keep_row"))
 
+def passed(at: DataFrame) -> DataFrame:
+    """The rows of ``assign`` that pass straight through."""
+    return at.filter("not hit").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "sha")
 
-def assign(docs: DataFrame) -> DataFrame:
-    """One row per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256."""
-    digests = written(_digests(docs), "digests")
-    found, blocks = _filter(digests)
-    at = digests.withColumn("block", _address(F.col("sha"), blocks)[0])
-    clear = at.join(found, "block", "left_anti").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "sha")
-    suspects = at.join(found, "block", "left_semi")
-    # written apart, so that the join has a shuffle of its own, whose hot partitions Spark can split
-    settled = suspects.join(written(_keepers(suspects), "keepers"), "sha").select("doc_id", "keep_id", "group_size", (F.col("row") == F.col("keep_row")).alias("kept"), "sha")
-    return clear.union(settled).select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("sha")).alias("text_sha256"))
 
+def keep_first(docs: DataFrame, piece: int = PIECE, keepers_sent: bool | None = None) -> DataFrame:
+    """``docs`` without all but one of each group of equal texts; rows that the filter clears never shuffle.
 
-def keep_first(docs: DataFrame) -> DataFrame:
-    """``docs`` without all but one of each group of equal texts; rows in clean blocks never shuffle."""
+    Where the keepers are few, they are sent and no row shuffles at all.
+    """
     digests = written(_digests(docs), "digests")
-    found, blocks = _filter(digests)
-    sha = F.unhex(F.sha2(normalised(F.coalesce(docs["text"], F.lit(""))), 256))
-    at = docs.withColumn("__sha", sha)
-    at = at.withColumn("__block", _address(F.col("__sha"), blocks)[0])
-    found = found.withColumnRenamed("block", "__block")
-    clear = at.join(found, "__block", "left_anti")
-    suspect_digests = digests.withColumn("block", _address(F.col("sha"), blocks)[0]).join(found.withColumnRenamed("__block", "block"), "block", "left_semi")
-    keepers = _keepers(suspect_digests).select(F.col("sha").alias("__ksha"), F.col("keep_id").alias("__kid"))
+    bloom = Filter(digests, piece)
+    keepers, few = _keepers(bloom.test(digests).filter("hit"))
+    few = few if keepers_sent is None else keepers_sent
+    again = not keepers.filter("same > 1").isEmpty()
+    # the columns of docs travel in one struct, so no name of theirs can clash
+    at = bloom.test(docs.select(F.struct("*").alias("whole"), F.col("doc_id").alias("id"), _sha(F.coalesce(docs["text"], F.lit(""))).alias("sha")))
+    kept = keepers.select(F.col("sha").alias("k_sha"), "keep_id", "same")
     # the key holds the doc_id too, so copies of one text spread over all tasks
-    winners = at.join(found, "__block", "left_semi").join(keepers, (F.col("__sha") == F.col("__ksha")) & F.col("doc_id").eqNullSafe(F.col("__kid")), "left_semi").dropDuplicates(["__sha", "doc_id"])
-    return clear.select(docs.columns).union(winners.select(docs.columns))
+    match = (F.col("sha") == F.col("k_sha")) & F.col("id").eqNullSafe(F.col("keep_id"))
+    if few:
+        joined = at.join(F.broadcast(kept), match, "left")
+        out = joined.filter("not hit or same = 1").select("whole.*")
+        won = joined.filter("same > 1")
+    else:
+        joined = at.filter("hit").join(kept, match)
+        out = at.filter("not hit").select("whole.*").union(joined.filter("same = 1").select("whole.*"))
+        won = joined.filter("same > 1")
+    return out.union(won.dropDuplicates(["sha", "id"]).select("whole.*")) if again else out
 
 
 ORACLE_SQL = r"""

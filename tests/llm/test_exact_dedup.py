@@ -4,6 +4,7 @@ import re
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from placemill.llm import exact_dedup
 from tests.llm.helpers import documents, empty, odd
@@ -50,15 +51,49 @@ def test_one_hot_text(spark):
     assert sum(r.kept for r in found) == 1501 and {r.group_size for r in found} == {1, 1500}
 
 
-def test_keep_first(spark):
+@pytest.mark.parametrize("sent,piece", [(None, exact_dedup.PIECE), (True, 1), (False, 1)])
+def test_keep_first(spark, sent, piece):
     df = odd(spark)
-    kept = exact_dedup.keep_first(df)
+    kept = exact_dedup.keep_first(df, piece, sent)
     assert kept.columns == df.columns
     want = {(a, s) for a, k, _, s in brute([(r.doc_id, r.text) for r in df.collect()]) if a == k}
     have = [(r.doc_id, hashlib.sha256(re.sub(r"[\x20\x09-\x0D]", "", r.text or "").encode()).hexdigest()) for r in kept.collect()]
     assert len(have) == len(want) and set(have) == want
 
 
+@pytest.mark.parametrize("sent", [True, False])
+def test_many_pieces(spark, sent, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "SEGMENT", 64)
+    rnd = random.Random(4)
+    rows = [(i, f"t {rnd.randint(0, 1500)}" + " " * rnd.randint(0, 2)) for i in range(2000)]
+    assert got(exact_dedup.assign(documents(spark, rows), piece=3)) == brute(rows)
+    have = [r.doc_id for r in exact_dedup.keep_first(documents(spark, rows), 3, sent).collect()]
+    assert sorted(have) == sorted(a for a, k, _, _ in brute(rows) if a == k)
+
+
+def test_names_of_columns(spark):
+    df = documents(spark, [(1, "a"), (2, "a"), (3, "b")]).selectExpr("doc_id", "text", "'u' as __sha", "'v' as sha", "'w' as hit", "'x' as whole", "'y' as block", "'z' as s0", "'k' as same")
+    have = exact_dedup.keep_first(df)
+    assert have.columns == df.columns
+    assert sorted(tuple(r) for r in have.collect()) == [(1, "a", *"uvwxyzk"), (3, "b", *"uvwxyzk")]
+
+
+def test_clear_rows_meet_no_exchange(spark):
+    """At any size: with automatic broadcast off and in several pieces, too."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        docs = documents(spark, [(i, f"text {i % 900}") for i in range(20000)])
+        digests = exact_dedup.written(exact_dedup._digests(docs), "digests")
+        bloom = exact_dedup.Filter(digests, 1)
+        for clear in (exact_dedup.passed(bloom.test(digests)), bloom.test(docs.select("doc_id", exact_dedup._sha(F.col("text")).alias("sha"))).filter("not hit")):
+            plan = clear._jdf.queryExecution().executedPlan().toString()
+            assert "BroadcastHashJoin" in plan and not re.search(r"(?<!Broadcast)Exchange|SortMergeJoin", plan)
+        plan = exact_dedup.keep_first(docs)._jdf.queryExecution().executedPlan().toString()
+        assert not re.search(r"(?<!Broadcast)Exchange", plan)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_empty_table(spark):
     assert exact_dedup.assign(empty(spark)).count() == 0
     assert exact_dedup.keep_first(empty(spark)).count() == 0

@@ -9,7 +9,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from placemill.llm import exact_dedup, mixing, queries, simhash
+from placemill.llm import mixing, queries, simhash
 from placemill.llm.common import written
 from tests.llm.helpers import documents
 
@@ -81,4 +81,3 @@ def test_modules_stand_apart():
     for f in (root / "placemill/llm").glob("*.py"):
         text = f.read_text()
         assert "ImportError" not in text and "localCheckpoint" not in text and "crossJoin" not in text
-    assert exact_dedup.MAX_BROADCAST_BLOCKS <= 1 << 21
