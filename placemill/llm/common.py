@@ -7,17 +7,19 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from placemill import ship
 from placemill.storage import shared_dir, written
 
-__all__ = ["ASCII_SPACE", "WORD", "connected_components", "parts", "read_table", "shared_dir", "tidy", "with_text", "written"]
+__all__ = ["ASCII_SPACE", "SENT_ROWS", "WORD", "connected_components", "keyed", "parts", "read_table", "shared_dir", "text_key", "tidy", "with_text", "without", "written"]
 
 #: ASCII white space as every contract here names it: ``[\x20\x09-\x0D]``; a word is a run of other characters.
 ASCII_SPACE = " \t\n\x0b\x0c\r"
 WORD = r"[^\x20\x09-\x0D]+"
+#: Rows of row keys and numbers, some 50 bytes each, that a broadcast may carry; more meet the documents by shuffle.
+SENT_ROWS = 1 << 20
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,6 +33,41 @@ def with_text(docs: DataFrame, *keep: str) -> DataFrame:
     return docs.select(*keep, F.coalesce(F.col("text"), F.lit("")).alias("text"))
 
 
+def text_key(text: str = "text") -> Column:
+    """What tells texts apart beside the doc_id."""
+    return F.xxhash64(F.coalesce(F.col(text), F.lit("")))
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """``whole``, all columns in one struct so that no name can clash, ``id`` and ``key``: doc_id and text_key."""
+    return docs.select(F.struct("*").alias("whole"), F.col("doc_id").cast("long").alias("id"), text_key().alias("key"))
+
+
+def without(docs: DataFrame, dropped: DataFrame, most: int = SENT_ROWS) -> DataFrame:
+    """``docs`` but for the rows that written ``dropped(id, key)`` names; null ids are equal."""
+    gone = dropped.select(F.col("id").alias("d_id"), F.col("key").alias("d_key"))
+    gone = F.broadcast(gone) if dropped.count() <= most else gone
+    return keyed(docs).join(gone, F.col("id").eqNullSafe(F.col("d_id")) & (F.col("key") == F.col("d_key")), "left_anti").select("whole.*")
+
+
+def one_of_each(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """``docs`` with one row, that of the smallest doc_id and then text key, of each component of ``found(id, key, component)``.
+
+    Rows without a doc_id stay. Of rows that repeat both doc_id and text one stays.
+    """
+    named = found.filter("id is not null")
+    sums = named.groupBy("component", "id", "key").agg(F.count("*").alias("n"))
+    best = written(sums.groupBy("component").agg(F.min(F.struct("id", "key", "n")).alias("b"), F.sum("n").alias("rows")).filter("rows > 1"), "best")
+    rest = named.join(best.select("component", "b"), "component").filter("not (id = b.id and key = b.key)")
+    out = without(docs, written(rest.select("id", "key").distinct(), "dropped"))
+    again = best.filter("b.n > 1").select("b.id", "b.key")
+    if again.isEmpty():
+        return out
+    again = written(again, "repeated").select(F.col("id").alias("r_id"), F.col("key").alias("r_key"))
+    at, match = keyed(out), (F.col("id") == F.col("r_id")) & (F.col("key") == F.col("r_key"))
+    return at.join(again, match, "left_anti").select("whole.*").union(at.join(again, match, "left_semi").dropDuplicates(["id", "key"]).select("whole.*"))
+
+
 def parts(batch: pa.RecordBatch, rows: int, size: int, column: int = 1) -> Iterator[pa.RecordBatch]:
     """Slices of an Arrow batch of at most ``rows`` rows whose text column has about ``size`` bytes, one row at least."""
     lens = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
@@ -75,7 +112,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         # large: each strictly larger neighbour joins the least of node and neighbours;
         # small: node and its smaller neighbours join the least of them
         both = undirected(e) if large else e.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
+        # written apart, so that the join has a shuffle of its own, in which Spark can split a hub's rows
+        least = written(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m")), "least")
         joined = both.join(least, "a")
         if large:
             out = joined.filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))

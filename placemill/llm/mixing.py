@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from placemill.llm.common import WORD, written
+from placemill.llm.common import SENT_ROWS, WORD, written
 
 #: Documents that meet in one bucket of the tree.
 FAN_IN = 4096
@@ -128,11 +128,13 @@ def mix(docs: DataFrame, seed: int = 17, fan_in: int = FAN_IN) -> DataFrame:
     return out.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
 
 
-def mixed(docs: DataFrame, seed: int = 17) -> DataFrame:
+def mixed(docs: DataFrame, seed: int = 17, most: int = SENT_ROWS) -> DataFrame:
     """``docs`` with each row as often as the mix takes it; rows that share a doc_id share the count.
 
-    Nearly every document stays, so the plan is as long as ``docs`` and never broadcast, whatever its size; doc_ids spread over all tasks.
+    A plan of at most ``most`` rows of a doc_id and a count goes to the documents; a longer one meets them by shuffle, where doc_ids spread over all tasks.
     """
-    plan = mix(docs, seed).groupBy("doc_id").agg(F.max("copies").cast("int").alias("__copies")).filter("__copies > 0").withColumnRenamed("doc_id", "__id").hint("merge")
-    joined = docs.join(plan, F.col("doc_id").eqNullSafe(F.col("__id")))
-    return joined.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(docs.columns)
+    plan = written(mix(docs, seed).groupBy("doc_id").agg(F.max("copies").cast("int").alias("copies")).filter("copies > 0"), "plan")
+    plan = F.broadcast(plan) if plan.count() <= most else plan.hint("merge")
+    # the columns of docs travel in one struct, so no name of theirs can clash
+    joined = docs.select(F.struct("*").alias("whole"), F.col("doc_id").alias("id")).join(plan, F.col("id").eqNullSafe(F.col("doc_id")))
+    return joined.select("whole", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("whole.*")

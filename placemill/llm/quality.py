@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from placemill.llm.common import tidy, with_text, written
+from placemill.llm.common import text_key, tidy, with_text, without, written
 
 FIT_ROWS = 20_000
 #: Kept at this probability of good quality and above: clean documents must not be lost for a doubt.
@@ -100,11 +100,12 @@ def fit(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, rounds: int = 40) ->
 def training_rows(docs: DataFrame, labels: DataFrame, label: str, rows: int, fold: Column) -> DataFrame:
     """Text and label of at most ``rows`` labelled documents of the fold, the same ones on each run.
 
-    The choice is made on labels alone and is bounded, so it is broadcast and no text moves.
+    The choice is made on labels alone and is bounded, so it is broadcast and no text moves. Where doc_ids repeat, the sample is cut once more.
     """
     chosen = labels.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("__id"), F.col(label).cast("int").alias("y")).filter(fold)
     chosen = chosen.orderBy(F.xxhash64("__id"), "__id", "y").limit(rows)
-    return with_text(docs, "doc_id").join(F.broadcast(chosen), F.col("doc_id") == F.col("__id")).select("doc_id", "text", "y")
+    sample = written(with_text(docs, "doc_id").join(F.broadcast(chosen), F.col("doc_id") == F.col("__id")).select("doc_id", "text", "y"), f"sample-{label}")
+    return sample if sample.count() <= rows else written(sample.orderBy(F.xxhash64("doc_id", "text"), "doc_id", "y").limit(rows), f"sample-{label}")
 
 
 def _model(docs: DataFrame, labels: DataFrame, rows: int) -> Regression:
@@ -166,19 +167,24 @@ def posteriors(scored: DataFrame, site_weight: float = SITE_WEIGHT) -> DataFrame
     path_without = (F.col("s") - F.col("p") + of_paths * without) / (F.col("n") - 1 + of_paths)
     path_posterior = (F.col("s") + of_paths * F.col("site_posterior")) / (F.col("n") + of_paths)
     score = 1 / (1 + F.exp(-(F.col("logit") + site_weight * (_logit(path_without) - _logit(F.lit(total))))))
-    return own.select("doc_id", "site", "path", F.col("p").alias("doc_score"), "site_posterior", path_posterior.alias("path_posterior"), score.alias("score"))
+    more = [c for c in scored.columns if c not in ("doc_id", "site", "path", "logit", "p")]
+    return own.select("doc_id", "site", "path", F.col("p").alias("doc_score"), "site_posterior", path_posterior.alias("path_posterior"), score.alias("score"), *more)
 
 
 def score(docs: DataFrame, labels: DataFrame, site: str = "source", path: str = "lang", threshold: float = THRESHOLD, rows: int = FIT_ROWS) -> DataFrame:
     """One row per row of ``docs``: doc_id, site, path, doc_score, site_posterior, path_posterior, score, kept."""
+    return _scored(docs, labels, site, path, threshold, rows).drop("key")
+
+
+def _scored(docs: DataFrame, labels: DataFrame, site: str = "source", path: str = "lang", threshold: float = THRESHOLD, rows: int = FIT_ROWS) -> DataFrame:
     model = _model(docs, labels, rows)
-    named = docs.select("doc_id", F.col(site).alias("site"), F.col(path).alias("path"), "text")
-    scored = written(evidence(named, model, "doc_id", "site", "path"), "evidence")
+    named = docs.select("doc_id", F.col(site).alias("site"), F.col(path).alias("path"), text_key().alias("key"), "text")
+    scored = written(evidence(named, model, "doc_id", "site", "path", "key"), "evidence")
     return posteriors(scored).withColumn("kept", F.col("score") >= threshold)
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, **options: object) -> DataFrame:
-    """``docs`` without those that the classifier rejects; rows that share a doc_id go only if all of them are rejected."""
-    found = score(docs, labels, **options)
-    rejected = written(found.groupBy("doc_id").agg(F.bool_or("kept").alias("any")).filter("not any").select(F.col("doc_id").alias("__id")), "rejected")
-    return docs.join(rejected, F.col("doc_id").eqNullSafe(F.col("__id")), "left_anti")
+    """``docs`` without the rows that the classifier rejects; rows that share doc_id and text, but not the site, go only if all of them are rejected."""
+    found = _scored(docs, labels, **options)
+    rejected = found.groupBy(F.col("doc_id").cast("long").alias("id"), "key").agg(F.bool_or("kept").alias("any")).filter("not any").select("id", "key")
+    return without(docs, written(rejected, "rejected"))

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from placemill.llm.common import connected_components, tidy, with_text, written
+from placemill.llm.common import connected_components, one_of_each, text_key, tidy, with_text, written
 
 SEGMENTS = 32
 GRID_EXTRA = 4
@@ -62,15 +62,16 @@ def fingerprint(text: bytes, words: int = 3, seed: int = 42) -> int:
 
 
 def fingerprints(docs: DataFrame, words: int = 3, seed: int = 42) -> DataFrame:
-    """``doc_id, fp``: the fingerprint as a signed long."""
+    """``doc_id, key, fp``: the text's key and the fingerprint as a signed long."""
 
     def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(1).cast(pa.binary())
+            texts = batch.column(2).cast(pa.binary())
             fps = np.fromiter((fingerprint(t.as_py(), words, seed) for t in texts), np.uint64, len(texts))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps.view(np.int64))], names=["doc_id", "key", "fp"])
 
-    return with_text(docs.withColumn("doc_id", F.col("doc_id").cast("long")), "doc_id").mapInArrow(tidy(fn), "doc_id long, fp long")
+    rows = with_text(docs.withColumn("doc_id", F.col("doc_id").cast("long")), "doc_id").select("doc_id", text_key().alias("key"), "text")
+    return rows.mapInArrow(tidy(fn), "doc_id long, key long, fp long")
 
 
 LANES = 0x5555555555555555
@@ -141,7 +142,6 @@ def assign(docs: DataFrame, words: int = 3, max_bits: int = 2, seed: int = 42) -
 
 
 def keep_one(docs: DataFrame, words: int = 3, max_bits: int = 2) -> DataFrame:
-    """``docs`` with one document, that of the smallest doc_id, of each component."""
-    found = assign(docs, words, max_bits)
-    dropped = written(found.filter("doc_id <> component_id").select(F.col("doc_id").alias("__id")).distinct(), "dropped")
-    return docs.join(dropped, F.col("doc_id") == F.col("__id"), "left_anti")
+    """``docs`` with one row, that of the smallest doc_id, of each component; rows that share a doc_id are told apart by their texts."""
+    fps = written(fingerprints(docs, words), "fps")
+    return one_of_each(docs, fps.join(components(fps, max_bits), "fp").select(F.col("doc_id").alias("id"), "key", "component"))

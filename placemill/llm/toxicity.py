@@ -148,7 +148,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Machine:
         yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(n[0, some]), pa.array(n[1, some])], names=["slot", "df", "pos"])
 
     fold = F.pmod(F.crc32(F.col("__id").cast("string")), F.lit(3)) != 1
-    sample = written(training_rows(docs, labels, "toxic", rows, fold), "toxic-sample")
+    sample = training_rows(docs, labels, "toxic", rows, fold)
     total = sample.agg(F.count("*").alias("n"), F.coalesce(F.sum("y"), F.lit(0)).alias("pos")).first()
     found = sample.mapInArrow(counts, "slot int, df long, pos long").groupBy("slot").agg(F.sum("df").alias("df"), F.sum("pos").alias("pos")).filter(F.col("df") >= MIN_ROWS).toArrow().sort_by("slot")
     slots, df, pos = (found.column(c).to_numpy() for c in ("slot", "df", "pos"))

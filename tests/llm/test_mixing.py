@@ -80,6 +80,18 @@ def test_mixed_repeats_rows(spark):
     assert {i: have.count(i) for i in plan} == plan
 
 
+@pytest.mark.parametrize("most", [0, 1000])
+def test_mixed_by_shuffle_and_by_broadcast(spark, most):
+    df = documents(spark, [(i, "w " * (i % 7), f"s{i % 3}") for i in range(300)] + [(None, "a b"), (5, "other words here")])
+    df = df.selectExpr("doc_id", "text", "source", "'u' as __copies", "'v' as id", "'w' as copies", "'x' as whole")
+    plan = {}
+    for r in mixing.mix(df).collect():
+        plan[r.doc_id] = max(plan.get(r.doc_id, 0), r.copies)
+    have = mixing.mixed(df, most=most)
+    assert have.columns == df.columns
+    assert sorted((tuple(r) for r in have.collect()), key=repr) == sorted((tuple(r) for r in df.collect() for _ in range(plan[r.doc_id])), key=repr)
+
+
 def test_empty_and_wordless(spark):
     assert mixing.mix(empty(spark)).count() == 0
     assert mixing.mixed(empty(spark)).count() == 0

@@ -93,3 +93,15 @@ def test_odd_rows_and_few_labels(spark, labels):
 def test_empty_table(spark):
     assert quality.score(empty(spark), label_table(spark, [(1, 1, 0)])).count() == 0
     assert quality.keep_good(empty(spark), label_table(spark, [])).count() == 0
+
+
+def test_rows_that_share_an_id_and_names(spark):
+    rnd = random.Random(3)
+    good = [" ".join("".join(rnd.choice("abcdefgh") for _ in range(rnd.randint(2, 8))) for _ in range(40)).capitalize() + "." for _ in range(60)]
+    bad = ["!!! $$$ ### " * 20 + str(i) for i in range(60)]
+    rows = [*enumerate(good), *((100 + i, t) for i, t in enumerate(bad)), (500, good[0] + " More words."), (500, bad[0] + " x"), (None, good[1])]
+    df = documents(spark, rows).selectExpr("doc_id", "text", "lang", "source", "'u' as __id", "'v' as id", "'w' as key", "'x' as whole")
+    labels = spark.createDataFrame([(i, int(i < 100)) for i, _ in rows if i is not None and i != 500], "doc_id long, quality int")
+    have = quality.keep_good(df, labels)
+    assert have.columns == df.columns
+    assert sorted((r.doc_id is None, r.doc_id or 0, r.text) for r in have.collect()) == sorted((i is None, i or 0, t) for i, t in rows if "###" not in t)

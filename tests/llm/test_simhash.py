@@ -6,7 +6,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from placemill.llm import simhash
+from placemill.llm import shingles, simhash
 from placemill.llm.common import connected_components
 from tests.llm.helpers import ODD_TEXTS, documents, empty, odd
 
@@ -88,6 +88,16 @@ def test_documents(spark):
     assert {r.doc_id for r in simhash.keep_one(df).collect()} == {2, 7, 4}
 
 
+@pytest.mark.parametrize("keep", [simhash.keep_one, shingles.keep_one])
+def test_rows_that_share_an_id(spark, keep):
+    a, b = "alpha beta gamma delta " * 9, "one two three four five six seven " * 5
+    rows = [(2, b), (5, a), (5, b), (7, a), (7, a), (9, "else"), (9, "else")]
+    df = documents(spark, rows).selectExpr("doc_id", "text", "'u' as __id", "'v' as id", "'w' as key", "'x' as whole", "'y' as component")
+    have = keep(df)
+    assert have.columns == df.columns
+    assert sorted((r.doc_id, r.text, r.id, r.key, r.whole) for r in have.collect()) == sorted((i, t, "v", "w", "x") for i, t in [(2, b), (5, a), (9, "else")])
+
+
 def test_odd_rows(spark):
     df = odd(spark)
     found = simhash.assign(df).collect()
