@@ -111,20 +111,25 @@ def edit_distance_within(a: Column, b: Column, most: Column) -> Column:
     return F.when(distance <= most, distance)
 
 
+# Points of each kind of match, and what length and distance take off them.
+WHOLE, BEGINS, WORD_BEGINS, HOLDS, TYPO, SUBSEQUENCE = 1000.0, 800, 600, 400, 300, 150
+A_WORD, A_LETTER, AN_EDIT, A_LETTER_OF_A_TYPO = 10, 0.5, 40, 0.1
+
+
 def match_score(query: Column, norm: Column, words: Column) -> Column:
     """How well a dictionary entry answers a query, both normalised: whole, beginning, beginning of a word, part, typo, subsequence; 0 if not at all."""
     length = F.length(norm)
-    brevity = F.size(words) * 10 + length * 0.5
+    brevity = F.size(words) * A_WORD + length * A_LETTER
     distance = F.array_min(F.transform(words, lambda w: F.when(F.abs(F.length(w) - F.length(query)) <= 3, edit_distance_within(query, w, typo_budget(F.length(query))))))
     span = subsequence_span(F.replace(query, F.lit(" "), F.lit("")), F.replace(norm, F.lit(" "), F.lit("")))
     return (
         F.when(query == "", 0.0)
-        .when(norm == query, 1000.0)
-        .when(F.startswith(norm, query), 800 - brevity)
-        .when(F.exists(words, lambda w: F.startswith(w, query)), 600 - brevity)
-        .when(F.contains(norm, query), 400 - brevity)
-        .when(distance.isNotNull(), 300 - distance * 40 - length * 0.1)
-        .when((F.length(query) >= 4) & span.isNotNull(), 150 - span)
+        .when(norm == query, WHOLE)
+        .when(F.startswith(norm, query), BEGINS - brevity)
+        .when(F.exists(words, lambda w: F.startswith(w, query)), WORD_BEGINS - brevity)
+        .when(F.contains(norm, query), HOLDS - brevity)
+        .when(distance.isNotNull(), TYPO - distance * AN_EDIT - length * A_LETTER_OF_A_TYPO)
+        .when((F.length(query) >= 4) & span.isNotNull(), SUBSEQUENCE - span)
         .otherwise(0.0)
         .cast("double")
     )

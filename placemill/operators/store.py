@@ -6,7 +6,7 @@ import json
 import uuid
 from dataclasses import replace
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -14,6 +14,7 @@ from placemill.functions.geo import map_cell
 from placemill.operators.dedupe import last_per_id, stored_id
 from placemill.operators.filters import PlaceFilter
 from placemill.schema import EMAIL_STATE, ENRICHED_SCHEMA, LEAD_COLUMNS, SOCIALS, empty, filled, with_columns_added
+from placemill.storage import written
 
 # Fixed values.
 POINT_THRESHOLD = 2_000
@@ -22,6 +23,8 @@ GEO_LIMIT = 50_000
 QUEUE_LIMIT = 200
 FIRST_RETRY_MS, SECOND_RETRY_MS = 3_600_000, 21_600_000
 UNFINDABLE = "unfindable"
+#: Parts of the store by hash of the id, a bounded number; and how many writes replaced parts stay for readers.
+BUCKETS, GRACE = 64, 2
 
 PIN = {"lat": "latitude", "lng": "longitude", "name": "name", "category": "category", "city": "city", "rating": "rating", "reviews": "reviews", "phone": "phone", "email": "email_1", "site": "site"}
 
@@ -189,8 +192,9 @@ def upserted(stored: DataFrame, batch: DataFrame, at: int, merge: str = "replace
 def leads(places: DataFrame, asked: PlaceFilter | None = None, dead_domains: DataFrame | None = None) -> DataFrame:
     """One row an address, whatever its case, from its most reviewed place; addresses of dead domains dropped."""
     reachable = replace(asked or PlaceFilter(), has_email=True, missing_email=False).where(places)
-    w = Window.partitionBy(F.lower("email_1")).orderBy(F.col("reviews").desc_nulls_last(), F.col("id"))
-    first = reachable.withColumn("__n", F.row_number().over(w)).filter("__n = 1")
+    # the least of a struct is combined before the shuffle, so an address that very many places share is no burden
+    order = F.struct(F.col("reviews").isNull(), -F.col("reviews"), "id")
+    first = reachable.select(F.lower("email_1").alias("by"), F.struct("*").alias("whole"), order.alias("at")).groupBy("by").agg(F.min_by("whole", "at").alias("whole")).select("whole.*")
     if dead_domains is not None:
         first = first.withColumn("__domain", F.lower(F.get(F.split("email_1", "@"), F.lit(1)))).join(dead_domains.select(F.lower("domain").alias("__domain")), "__domain", "left_anti")
     source = {"email": "email_1", "website": "site", "address": "full_address"}
@@ -199,13 +203,14 @@ def leads(places: DataFrame, asked: PlaceFilter | None = None, dead_domains: Dat
 
 
 class PlaceStore:
-    """Versions of the places table in a folder; a pointer file names the current one. One writer at a time.
+    """The places table in a folder, in parts by hash of the id; a small manifest names each part's current files. One writer at a time.
 
-    A version is written whole and then pointed to, so readers see the old or the new one, and a failed write leaves nothing visible.
+    A write makes new files for the parts it touches and then a new manifest, so readers see the old or the new state, and a failed write leaves
+    nothing visible. Files that neither of the last GRACE writes still needed are deleted.
     """
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
+    def __init__(self, spark: SparkSession, path: str, buckets: int = BUCKETS):
+        self.spark, self.path, self.buckets = spark, path.rstrip("/"), buckets
         jvm = spark._jvm
         self._path = lambda p: jvm.org.apache.hadoop.fs.Path(p)
         self._fs = self._path(self.path).getFileSystem(spark._jsc.hadoopConfiguration())
@@ -238,37 +243,68 @@ class PlaceStore:
         for n in numbers[:-1]:  # the one before stays for readers that have just listed it
             self._fs.delete(self._path(f"{self.path}/{name}.{n}"), False)
 
+    def _manifest(self) -> dict:
+        return json.loads(self._read_text("current") or "{}")
+
     @property
     def version(self) -> str | None:
-        return self._read_text("current")
-
-    def read(self) -> DataFrame:
-        version = self.version
-        if version:
-            return with_columns_added(self.spark.read.parquet(f"{self.path}/{version}"), EMAIL_STATE)
+        return self._manifest().get("version")
+
+    def _bucket(self, row_id: Column, buckets: int) -> Column:
+        return F.pmod(F.xxhash64(row_id), F.lit(buckets)).cast("int")
+
+    def touched(self, these: DataFrame) -> list[int]:
+        """The parts that hold the ids of ``these``, at most as many as there are."""
+        n = self._manifest().get("buckets", self.buckets)
+        return sorted(r[0] for r in these.select(self._bucket(F.col("id"), n)).distinct().collect())
+
+    def read(self, parts: list[int] | None = None) -> DataFrame:
+        """The places, or those of some parts."""
+        now = self._manifest()
+        found = [f"{self.path}/{v}/part={k}" for k, v in now.get("parts", {}).items() if parts is None or int(k) in parts]
+        if found:
+            return with_columns_added(self.spark.read.schema(T.StructType.fromJson(now["schema"])).parquet(*found), EMAIL_STATE)
         own = [T.StructField("id", T.StringType())]
         state = [T.StructField(c, T.LongType()) for c in ("first_seen", "last_seen", *EMAIL_STATE)]
-        return self.spark.createDataFrame([], T.StructType(own + ENRICHED_SCHEMA.fields + state))
+        return self.spark.createDataFrame([], T.StructType.fromJson(now["schema"]) if now else T.StructType(own + ENRICHED_SCHEMA.fields + state))
 
-    def write(self, places: DataFrame) -> str:
+    def write(self, places: DataFrame, parts: list[int] | None = None) -> str:
+        """All places, or all those of some parts, whose files alone are written."""
+        now = self._manifest()
+        n = now.get("buckets", self.buckets) if parts is not None else self.buckets
         version = f"v-{uuid.uuid4().hex}"
-        places.write.parquet(f"{self.path}/{version}")
-        self._write_text("current", version)
+        places.withColumn("part", self._bucket(F.col("id"), n)).hint("rebalance", "part").write.partitionBy("part").parquet(f"{self.path}/{version}")
+        new = {s.getPath().getName().removeprefix("part="): version for s in self._fs.listStatus(self._path(f"{self.path}/{version}")) if s.getPath().getName().startswith("part=")}
+        old = now.get("parts", {})
+        stay = {k: v for k, v in old.items() if parts is not None and int(k) not in parts}
+        dead = [sorted(f"{v}/part={k}" for k, v in old.items() if k not in stay), *now.get("dead", [])]
+        self._write_text("current", json.dumps({"version": version, "buckets": n, "schema": json.loads(places.schema.json()), "parts": stay | new, "dead": dead[:GRACE]}))
+        for path in (p for gone in dead[GRACE:] for p in gone):
+            target = self._path(f"{self.path}/{path}")
+            self._fs.delete(target, True)
+            if not any(s.getPath().getName().startswith("part=") for s in self._fs.listStatus(target.getParent())):
+                self._fs.delete(target.getParent(), True)
         return version
 
     def upsert(self, batch: DataFrame, at: int, merge: str = "replace", order: str | None = None) -> int:
-        """All or nothing; how many places were new, counted while the version is written."""
+        """All or nothing; how many places were new, counted while the parts are written."""
         from pyspark.sql import Observation
 
+        batch = written(last_per_id(batch if "id" in batch.columns else batch.withColumn("id", stored_id()), order), "batch")
+        parts = self.touched(batch)
+        if not parts:
+            return 0
         seen = Observation(f"upsert-{uuid.uuid4().hex}")
-        self.write(upserted(self.read(), batch, at, merge, order).observe(seen, F.count_if("is_new").alias("n")).drop("is_new"))
+        self.write(upserted(self.read(parts), batch, at, merge).observe(seen, F.count_if("is_new").alias("n")).drop("is_new"), parts)
         return int(seen.get["n"] or 0)
 
     def mark_checked(self, these: DataFrame, at: int) -> None:
-        self.write(mark_checked(self.read(), these, at))
+        if parts := self.touched(these):
+            self.write(mark_checked(self.read(parts), these, at), parts)
 
     def mark_deferred(self, these: DataFrame, at: int) -> None:
-        self.write(mark_deferred(self.read(), these, at))
+        if parts := self.touched(these):
+            self.write(mark_deferred(self.read(parts), these, at), parts)
 
     # Settings are a small file of names and values
 
@@ -304,10 +340,9 @@ class PlaceStore:
     def snapshot(self, day: str, keep: int = 7) -> bool:
         """A copy of the current version, one a day; only the newest ``keep`` stay. False if the day has one."""
         target = f"{self.path}/snapshots/{day}"
-        version = self.version
-        if version is None or self._fs.exists(self._path(f"{target}/_SUCCESS")):
+        if self.version is None or self._fs.exists(self._path(f"{target}/_SUCCESS")):
             return False
-        self.spark.read.parquet(f"{self.path}/{version}").write.mode("overwrite").parquet(target)
+        self.read().write.mode("overwrite").parquet(target)
         names = sorted(s.getPath().getName() for s in self._fs.listStatus(self._path(f"{self.path}/snapshots")))
         for name in names[: max(0, len(names) - keep)]:
             self._fs.delete(self._path(f"{self.path}/snapshots/{name}"), True)

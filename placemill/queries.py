@@ -2,23 +2,29 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+import zipfile
 from collections.abc import Callable
-
+from xml.etree import ElementTree
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from placemill.functions import geo as G
-from placemill.functions.contacts import ADDRESS, emails_in, socials_in
-from placemill.functions.numbers import pick_number, pick_string, prefix_number
+from placemill.functions.contacts import ADDRESS, emails_in, socials_in, visits_of
+from placemill.functions.numbers import pick_bool, pick_number, pick_string, prefix_number
 from placemill.functions.text import csv_cell, edit_distance_within, match_score, normalised_name_of, number_text_of, slug, subsequence_span, typo_budget
 from placemill.functions.urls import canonical, domain_of, fallback_urls, site_to_url
 from placemill.operators import catalog, coverage, dedupe, enrich, store
 from placemill.operators.filters import PlaceFilter, QuickFilter
+from placemill.plans import jobs
 from placemill.plans.adapters import PASSES_SQL, PLACES_SQL, cities, passes, place_hits, places, table
+from placemill.plans.service import Service
 from placemill.schema import as_places, with_columns_added
 from placemill.sources import captures, tables
 from placemill.sources.sinks import csv_line, used_columns
+from placemill.storage import shared_dir
 from placemill.streaming.enrichment import settle_batch
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -182,14 +188,17 @@ def retry_state(spark: SparkSession, d: str) -> DataFrame:
     return after.select("id", "email_attempts", "email_retry_at", "email_checked_at")
 
 
-_UPSERT = """, batch AS (SELECT concat('cid:', CAST(c_custkey + 700 AS VARCHAR)) AS id, concat('N', CAST(c_custkey AS VARCHAR)) AS name, CAST(c_custkey %% 5 AS DOUBLE) AS rating, CASE WHEN c_custkey %% 2 = 0 THEN concat('x', CAST(c_custkey AS VARCHAR), '@new.test') END AS email_1 FROM customer WHERE c_custkey <= 1000)
+_UPSERT = """, batch AS (SELECT concat('cid:', CAST(c_custkey + 700 AS VARCHAR)) AS id, concat('N', CAST(c_custkey AS VARCHAR)) AS name, CAST(c_custkey %% 5 AS DOUBLE) AS rating, CASE WHEN c_custkey %% 2 = 0 THEN concat('x', CAST(c_custkey AS VARCHAR), '@new.test') END AS email_1 FROM customer)
 SELECT coalesce(o.id, n.id) AS id, CASE WHEN n.id IS NOT NULL THEN n.name ELSE o.name END AS name, CASE WHEN n.id IS NOT NULL THEN n.rating ELSE o.rating END AS rating, %s AS email_1, coalesce(o.first_seen, 9) AS first_seen, CASE WHEN n.id IS NOT NULL THEN 9 ELSE o.last_seen END AS last_seen, o.email_checked_at, o.id IS NULL AS is_new FROM places o FULL JOIN batch n ON o.id = n.id"""
 
 
-def _upserted(spark: SparkSession, d: str, merge: str) -> DataFrame:
+def _batch(spark: SparkSession, d: str) -> DataFrame:
     c = F.col("c_custkey")
-    new = table(spark, d, "customer").filter("c_custkey <= 1000").select(F.concat(F.lit("cid:"), (c + 700).cast("string")).alias("id"), F.concat(F.lit("N"), c.cast("string")).alias("name"), (c % 5).cast("double").alias("rating"), F.when(c % 2 == 0, F.concat(F.lit("x"), c.cast("string"), F.lit("@new.test"))).alias("email_1"))
-    return store.upserted(places(spark, d), new, 9, merge).select("id", "name", "rating", "email_1", "first_seen", "last_seen", "email_checked_at", "is_new")
+    return table(spark, d, "customer").select(F.concat(F.lit("cid:"), (c + 700).cast("string")).alias("id"), F.concat(F.lit("N"), c.cast("string")).alias("name"), (c % 5).cast("double").alias("rating"), F.when(c % 2 == 0, F.concat(F.lit("x"), c.cast("string"), F.lit("@new.test"))).alias("email_1"))
+
+
+def _upserted(spark: SparkSession, d: str, merge: str) -> DataFrame:
+    return store.upserted(places(spark, d), _batch(spark, d), 9, merge).select("id", "name", "rating", "email_1", "first_seen", "last_seen", "email_checked_at", "is_new")
 
 
 @query(_UPSERT % "CASE WHEN n.id IS NOT NULL THEN n.email_1 ELSE o.email_1 END")
@@ -261,14 +270,14 @@ def board_summary(spark: SparkSession, d: str) -> DataFrame:
     return coverage.board_summary(_board(spark, d))
 
 
-_UNITS = "u AS (SELECT concat('CA/BC|p1|', p_type, '|box', CAST(s_suppkey AS VARCHAR)) AS key, p_type AS term, term_ord, s_suppkey AS box_ord FROM (SELECT p_type, row_number() OVER (ORDER BY p_type) - 1 AS term_ord FROM (SELECT DISTINCT p_type FROM part)) CROSS JOIN (SELECT s_suppkey FROM supplier WHERE s_suppkey <= 10)), done AS (SELECT key FROM u WHERE term_ord < 3 OR (term_ord + box_ord) % 4 = 0)"
+_UNITS = "u AS (SELECT concat('CA/BC|p1|', p_type, '|box', CAST(s_suppkey AS VARCHAR)) AS key, p_type AS term, term_ord, s_suppkey AS box_ord FROM (SELECT p_type, row_number() OVER (ORDER BY p_type) - 1 AS term_ord FROM (SELECT DISTINCT p_type FROM part)) CROSS JOIN supplier), done AS (SELECT key FROM u WHERE term_ord < 3 OR (term_ord + box_ord) % 4 = 0)"
 
 
 def _units(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     from pyspark.sql import Window
 
     terms = table(spark, d, "part").select(F.col("p_type").alias("term")).distinct().withColumn("ord", F.row_number().over(Window.orderBy("term")) - 1)
-    boxes = table(spark, d, "supplier").filter("s_suppkey <= 10").select(F.col("s_suppkey").alias("box_ord"), G.box_of(0, 0, 1, 1).alias("box"))
+    boxes = table(spark, d, "supplier").select(F.col("s_suppkey").alias("box_ord"), G.box_of(0, 0, 1, 1).alias("box"))
     every = coverage.units(terms, boxes, "CA/BC", 1)
     return every, every.filter("term_ord < 3 or (term_ord + box_ord) % 4 = 0").select("key")
 
@@ -299,9 +308,9 @@ def url_fallbacks(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "pages").select("page_id", F.explode(fallback_urls(F.col("url"))).alias("url"))
 
 
-@query(f"SELECT DISTINCT {_HOST.format('site')} AS domain FROM places WHERE site IS NOT NULL AND {_HOST.format('site')} NOT IN (SELECT {_HOST.format('url')} FROM pages WHERE page_id % 10 = 0)")
+@query(f"SELECT DISTINCT {_HOST.format('site')} AS domain FROM places WHERE site IS NOT NULL AND {_HOST.format('site')} NOT IN (SELECT {_HOST.format('url')} FROM pages WHERE contains(url, '?'))")
 def unknown_domains(spark: SparkSession, d: str) -> DataFrame:
-    known = table(spark, d, "pages").filter("page_id % 10 = 0").select(domain_of(F.col("url")).alias("domain"))
+    known = table(spark, d, "pages").filter(F.contains("url", F.lit("?"))).select(domain_of(F.col("url")).alias("domain"))
     return places(spark, d).select(domain_of(F.col("site")).alias("domain")).filter("domain is not null").distinct().join(known, "domain", "left_anti")
 
 
@@ -335,7 +344,7 @@ def emails_in_documents(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").filter(F.contains("text", F.lit("@"))).select("doc_id", F.explode(emails_in(F.col("text"), F.lit(None).cast("string"))).alias("email"))
 
 
-@query(None)
+@query("SELECT CAST(page_id AS VARCHAR) AS id, url AS site, 'ok' AS outcome, " + ", ".join(f"CAST(NULL AS VARCHAR) AS {p}" for p in "email_1 email_2 email_3 facebook instagram linkedin twitter youtube tiktok".split()) + " FROM pages", "")
 def contacts_of_pages(spark: SparkSession, d: str) -> DataFrame:
     p = table(spark, d, "pages")
     seen = p.select(F.col("page_id").cast("string").alias("id"), "html", F.col("url").alias("final_url"), F.lit("ok").alias("outcome"))
@@ -417,11 +426,6 @@ def points_in_boxes(spark: SparkSession, d: str) -> DataFrame:
     return coverage.points_in_boxes(places(spark, d).select("id", F.col("latitude").alias("lat"), F.col("longitude").alias("lng")), boxes, 1.0).select("id", "box_id")
 
 
-@query(None)
-def seed_boxes(spark: SparkSession, d: str) -> DataFrame:
-    return coverage.seed_boxes(cities(spark, d).withColumnRenamed("city", "name"))
-
-
 @query(
     "SELECT city, CASE WHEN count(*) < 40 THEN 'sparse' WHEN spread < 0.55 THEN 'clustered' ELSE 'count' END AS reason, count(*) AS n FROM (SELECT p.*, least(1.0, " + f"({_HAV.format('53.0', 'min(longitude) OVER w', '53.0', 'max(longitude) OVER w')} * {_HAV.format('min(latitude) OVER w', 'min(longitude) OVER w', 'max(latitude) OVER w', 'min(longitude) OVER w')}) / ({_HAV.format('53.0', '-124.0', '53.0', '-104.0')} * {_HAV.format('48.0', '-124.0', '58.0', '-124.0')})) AS spread FROM places p WINDOW w AS (PARTITION BY city)) GROUP BY city, spread"
 )
@@ -621,9 +625,9 @@ def empty_columns(spark: SparkSession, d: str) -> DataFrame:
     return with_columns_added(as_places(p).select("name", "us_state", "photos_count").limit(0).unionByName(p, allowMissingColumns=True), {"photos_count": "long"}).select("id", "name", "us_state", "photos_count")
 
 
-@query("SELECT id, name, site FROM places WHERE id IN (SELECT concat('cid:', CAST(o_custkey AS VARCHAR)) FROM orders WHERE o_orderkey % 7 = 0)")
+@query("SELECT id, name, site FROM places WHERE id IN (SELECT concat('cid:', CAST(o_custkey AS VARCHAR)) FROM orders WHERE o_orderstatus = 'O')")
 def work_list(spark: SparkSession, d: str) -> DataFrame:
-    work = table(spark, d, "orders").filter("o_orderkey % 7 = 0").select(F.concat(F.lit("cid:"), F.col("o_custkey").cast("string")).alias("id"))
+    work = table(spark, d, "orders").filter("o_orderstatus = 'O'").select(F.concat(F.lit("cid:"), F.col("o_custkey").cast("string")).alias("id"))
     return enrich.with_rows(work, places(spark, d)).select("id", "name", "site")
 
 
@@ -698,14 +702,231 @@ def identity_keys(spark: SparkSession, d: str) -> DataFrame:
     return place_hits(spark, d).select("seq", F.explode(dedupe.identity_keys()).alias("key"))
 
 
+_PLAIN = "CASE WHEN {0} = trunc({0}) THEN CAST(CAST({0} AS BIGINT) AS VARCHAR) ELSE CAST({0} AS VARCHAR) END"
+
+
 @query(
-    "SELECT seq, CASE WHEN cid IS NOT NULL THEN concat('cid:', cid) WHEN place_id IS NOT NULL THEN concat('pid:', place_id) WHEN name IS NOT NULL AND seq % 4 <> 0 THEN 'geo' ELSE 'anon' END AS id FROM h",
+    "SELECT seq, CASE WHEN cid IS NOT NULL THEN concat('cid:', cid) WHEN place_id IS NOT NULL THEN concat('pid:', place_id) WHEN name IS NOT NULL AND seq % 4 <> 0 THEN concat('geo:', regexp_replace(lower(name), '[^a-z0-9]', '', 'g'), '@', printf('%.4f', lat), ',', printf('%.4f', lng)) "
+    f"ELSE concat('anon:', coalesce('The ' || name || ' Co.', ''), ':', CASE WHEN seq % 4 <> 0 THEN {_PLAIN.format('lat')} ELSE '' END, ',', CASE WHEN seq % 4 <> 0 THEN {_PLAIN.format('lng')} ELSE '' END) END AS id FROM h",
     _HITS,
 )
 def stored_ids(spark: SparkSession, d: str) -> DataFrame:
-    found = place_hits(spark, d).select("seq", dedupe.stored_id().alias("id"))
-    return found.select("seq", F.when(F.startswith("id", F.lit("geo:")), "geo").when(F.startswith("id", F.lit("anon:")), "anon").otherwise(F.col("id")).alias("id"))
+    return place_hits(spark, d).select("seq", dedupe.stored_id().alias("id"))
+
+
+# More of filters, contacts, files, readers and state
+
+
+_ASKED = "CASE WHEN CAST(substr(id, 5) AS BIGINT) % 3 = 0 THEN 'plumber' WHEN CAST(substr(id, 5) AS BIGINT) % 3 = 1 THEN 'baker' END"
+
+
+@query(f"SELECT id, city, {_ASKED} AS query FROM places WHERE {_ASKED} = 'baker' AND city IN ('NATION_3', 'NATION_4', 'NATION_11')")
+def places_of_a_query(spark: SparkSession, d: str) -> DataFrame:
+    k = F.substring("id", 5, 20).cast("long") % 3
+    asked = places(spark, d).withColumn("query", F.when(k == 0, "plumber").when(k == 1, "baker"))
+    return PlaceFilter(query="baker", cities=("NATION_3", "NATION_4", "NATION_11")).where(asked).select("id", "city", "query")
+
+
+@query("SELECT id, reviews FROM places WHERE coalesce(reviews, 0) >= 12 AND (business_status IS NULL OR business_status = 'OPERATIONAL')")
+def quick_filter_reviews(spark: SparkSession, d: str) -> DataFrame:
+    return QuickFilter(min_reviews=12, operational_only=True).where(places(spark, d)).select("id", "reviews")
+
+
+@query("SELECT * FROM (VALUES ('none', 0), ('website', 1), ('rating', 1), ('both', 2)) t(asked, conflicts)", "")
+def filter_conflicts(spark: SparkSession, d: str) -> DataFrame:
+    asked = {"none": QuickFilter(), "website": QuickFilter(only_with_website=True, only_without_website=True), "rating": QuickFilter(min_rating=4, max_rating=3), "both": QuickFilter(only_with_website=True, only_without_website=True, min_rating=4, max_rating=3)}
+    return spark.createDataFrame([(k, len(v.conflicts())) for k, v in asked.items()], "asked string, conflicts int")
+
+
+def _site(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("c_custkey")
+    return table(spark, d, "customer").select(k.alias("k"), k.cast("string").alias("id"), F.concat(F.lit("s"), k.cast("string"), F.lit(".ca")).alias("host"))
+
+
+@query(
+    "SELECT CAST(c_custkey AS VARCHAR) AS id, CASE WHEN c_custkey % 5 = 0 THEN 'bob' || c_custkey || '@s' || c_custkey || '.ca' ELSE 'sales@s' || c_custkey || '.ca' END AS email_1, CASE WHEN c_custkey % 5 = 0 THEN 'own' ELSE 'bob' END || c_custkey || '@s' || c_custkey || '.ca' AS email_2, "
+    "CASE WHEN c_custkey % 5 = 0 THEN 'zed' || c_custkey || '@other.net' ELSE 'own' || c_custkey || '@s' || c_custkey || '.ca' END AS email_3, 'https://linkedin.com/company/c' || c_custkey AS linkedin, 'ok' AS outcome FROM customer",
+    "",
+)
+def ranked_contacts(spark: SparkSession, d: str) -> DataFrame:
+    """Linked, structured, quoted and spelled-out addresses of a site, best first."""
+    text = F.concat
+    html = text(
+        F.when(F.col("k") % 5 != 0, text(F.lit('<a href="mailto:Sales@'), "host", F.lit('?subject=x">'))).otherwise(F.lit("<p>")), F.lit('<script>{"email": "mailto:zed'), "id", F.lit('@other.net"}</script><i data-x=\'own'), "id", F.lit("@"), "host", F.lit("'>"),
+        F.lit("write to bob"), "id", F.lit(" (at) "), "host", F.lit("<br>no-reply@"), "host", F.lit('<a href="//www.linkedin.com/company/c'), "id", F.lit('/?trk=1">'),
+    )
+    sites = _site(spark, d).select("id", "host", html.alias("html"), text(F.lit("https://www."), "host", F.lit("/")).alias("site"))
+    seen = enrich.enrich(sites.select("id", "site"), sites.select("id", "html", F.col("site").alias("final_url"), F.lit("ok").alias("outcome")))
+    return seen.select("id", "email_1", "email_2", "email_3", "linkedin", "outcome")
+
+
+@query("SELECT CAST(c_custkey AS VARCHAR) AS id, CASE WHEN c_custkey % 3 = 0 THEN concat('https://s', c_custkey, '.ca/contact https://s', c_custkey, '.ca/contact-us') ELSE concat('https://s', c_custkey, '.ca/contact-us https://s', c_custkey, '.ca/about') END AS visits FROM customer", "")
+def contact_pages(spark: SparkSession, d: str) -> DataFrame:
+    """Pages of a site to look at: linked ones that hint at contacts, else conventional ones."""
+    html = F.when(F.col("k") % 3 == 0, "<a href='/prices'>").otherwise("<a href='/about'><a href='/prices'><a href='https://else.org/contact'><a href='contact-us'><a href='/about/'><a href='/team'>")
+    return _site(spark, d).select("id", F.array_join(visits_of(html, F.concat(F.lit("https://"), "host", F.lit("/"))), " ").alias("visits"))
+
+
+_LINE = f"concat(id, ',', coalesce(category, ''), ',', coalesce(CAST(reviews AS VARCHAR), ''), ',', CASE WHEN rating IS NULL THEN '' ELSE {_PLAIN.format('rating')} END)"
+
+
+@query(f"SELECT 0 AS n, 'id,category,reviews,rating' AS line UNION ALL SELECT row_number() OVER (ORDER BY reviews DESC NULLS LAST, id), {_LINE} FROM places WHERE state = 'ASIA'")
+def csv_file(spark: SparkSession, d: str) -> DataFrame:
+    """The file of a filter, read back line by line."""
+    with tempfile.TemporaryDirectory() as folder:
+        jobs.export_csv(places(spark, d), PlaceFilter(state="ASIA"), f"{folder}/x.csv", ["id", "category", "reviews", "rating"])
+        with open(f"{folder}/x.csv", encoding="utf-8-sig", newline="") as f:
+            return spark.createDataFrame([(n, line.removesuffix("\r\n")) for n, line in enumerate(f)], "n long, line string")
+
+
+@query(
+    "SELECT 1 AS n, 'name|category|city|state|phone|email|website|address|rating|reviews' AS cells UNION ALL SELECT 1 + row_number() OVER (ORDER BY reviews DESC NULLS LAST, email_1), concat(coalesce(name, ''), '|', coalesce(category, ''), '|', coalesce(city, ''), '|', coalesce(state, ''), '|', coalesce(phone, ''), '|', email_1, '|', site, '||', "
+    f"CASE WHEN rating IS NULL THEN '' ELSE {_PLAIN.format('rating')} END, '|', coalesce(CAST(reviews AS VARCHAR), '')) FROM (SELECT *, row_number() OVER (PARTITION BY lower(email_1) ORDER BY reviews DESC NULLS LAST, id) AS rn FROM places WHERE email_1 IS NOT NULL AND email_1 <> '') WHERE rn = 1"
+)
+def leads_workbook(spark: SparkSession, d: str) -> DataFrame:
+    """The workbook of leads, read back row by row."""
+    with tempfile.TemporaryDirectory() as folder:
+        jobs.export_leads(places(spark, d), PlaceFilter(), f"{folder}/x.xlsx")
+        with zipfile.ZipFile(f"{folder}/x.xlsx") as z:
+            sheet = ElementTree.fromstring(z.read("xl/worksheets/sheet1.xml"))
+    space = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
+    rows = [(int(r.get("r")), "|".join("".join(c.itertext()) for c in r.iter(f"{space}c"))) for r in sheet.iter(f"{space}row")]
+    return spark.createDataFrame(rows, "n long, cells string")
+
+
+_SEEDS = "s AS (SELECT n_regionkey AS region, n_nationkey AS k, n_name, 40 + n_nationkey * 0.07::DOUBLE AS lat, -100 + n_nationkey * 0.09::DOUBLE AS lng, CASE WHEN n_regionkey < 2 THEN 22 ELSE 7 END AS r FROM nation WHERE 40 + n_nationkey * 0.07 <= 41.2), b AS (SELECT *, CASE WHEN r = 22 THEN 0 ELSE k END AS g, lng - r / (111 * cos(radians(lat))) AS w, lat - r / 111.0::DOUBLE AS sth, lng + r / (111 * cos(radians(lat))) AS e, lat + r / 111.0::DOUBLE AS n FROM s), h AS (SELECT region, g, min(w) AS w, min(sth) AS s, max(e) AS e, max(n) AS n, arg_min(n_name, k) AS first FROM b GROUP BY region, g)"
+
+
+@query(
+    f"SELECT CAST(region AS VARCHAR) AS region, row_number() OVER (PARTITION BY region ORDER BY w) - 1 AS merged, CAST(least(greatest(1, ceil({_HAV.format('(s + n) / 2', 'w', '(s + n) / 2', 'e')} / 12000)), 1000) * greatest(1, ceil({_HAV.format('s', 'w', 'n', 'w')} / 12000)) AS BIGINT) AS parts, "
+    "round(w, 6) AS west, round(s, 6) AS south, round(e, 6) AS east, round(n, 6) AS north, concat(first, ' +area') AS seeds FROM h",
+    _SEEDS,
+)
+def merged_seed_boxes(spark: SparkSession, d: str) -> DataFrame:
+    """Seeds within a bound; those of two regions are so large that their boxes merge."""
+    seeds = cities(spark, d).withColumnRenamed("city", "name").withColumn("population", F.when(F.col("region") < "2", 300_000).otherwise(1000))
+    bounds = seeds.select("region").distinct().select("region", G.box_of(-101, 39, -90, 41.2).alias("box"))
+    found = coverage.seed_boxes(seeds, bounds)
+    edges = [F.round(f(f"box.{c}"), 6).alias(c) for f, c in ((F.min, "west"), (F.min, "south"), (F.max, "east"), (F.max, "north"))]
+    return found.groupBy("region", "merged", F.array_join("seeds", ";").alias("seeds")).agg(F.count("*").alias("parts"), *edges)
+
+
+@query("SELECT n_name AS query, CAST(n_nationkey AS DOUBLE) AS west FROM nation UNION ALL SELECT r_name, CAST(-r_regionkey AS DOUBLE) FROM region", "")
+def boxes_of_selections(spark: SparkSession, d: str) -> DataFrame:
+    """Cities and regions without seeds have their geocoded boxes."""
+    n, r = table(spark, d, "nation"), table(spark, d, "region")
+    west = lambda c: c.cast("double")
+    of_city, of_region = n.select(F.col("n_name").alias("query"), west(F.col("n_nationkey")).alias("w")), r.select(F.col("r_name").alias("query"), west(-F.col("r_regionkey")).alias("w"))
+    geocodes = of_city.union(of_region).select("query", G.box(F.col("w"), F.lit(0.0), F.col("w") + 1, F.lit(1.0)).alias("box"))
+    asked = n.select(F.col("n_regionkey").cast("string").alias("region"), F.col("n_name").alias("city"), F.col("n_name").alias("query")).union(r.select(F.col("r_regionkey").cast("string"), F.lit(None), "r_name"))
+    seeded = spark.createDataFrame([], "region string, merged long, part int, box struct<west:double,south:double,east:double,north:double>")
+    return coverage.boxes_for(asked, geocodes, seeded).select("query", F.col("box.west").alias("west"))
+
+
+def _file(df: DataFrame) -> str:
+    """The one row of JSON text of ``df`` as a file in the shared folder."""
+    path = f"{shared_dir(df.sparkSession)}/placemill/file-{uuid.uuid4().hex}"
+    df.coalesce(1).write.text(path)
+    return path
+
+
+@query("SELECT CAST(row_number() OVER (ORDER BY name) - 1 AS INTEGER) AS ord, name FROM (SELECT DISTINCT p_type AS name FROM part)", "")
+def dictionary_file(spark: SparkSession, d: str) -> DataFrame:
+    names = table(spark, d, "part").select("p_type").distinct().agg(F.to_json(F.array_sort(F.collect_list("p_type"))))
+    return tables.read_dictionary(spark, _file(names)).select("ord", "name")
+
+
+@query("SELECT r_name AS vertical, CAST(row_number() OVER (PARTITION BY r_name ORDER BY n_name) - 1 AS INTEGER) AS ord, n_name AS term FROM nation JOIN region ON n_regionkey = r_regionkey", "")
+def terms_file(spark: SparkSession, d: str) -> DataFrame:
+    c = cities(spark, d).groupBy("region_name").agg(F.array_sort(F.collect_list("city")).alias("names"))
+    return tables.read_terms(spark, _file(c.agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("region_name", "names"))))))).select("vertical", "ord", "term")
+
+
+@query("SELECT 'XX' AS country, CAST(r_regionkey AS VARCHAR) AS region, r_name AS region_name, n_name AS city, n_nationkey * 10 AS population FROM nation JOIN region ON n_regionkey = r_regionkey", "")
+def gazetteer_file(spark: SparkSession, d: str) -> DataFrame:
+    one = F.struct(F.col("city").alias("n"), "lat", "lng", (F.col("ord") * 10).alias("p"))
+    regions = cities(spark, d).groupBy("region", "region_name").agg(F.collect_list(one).alias("cities"))
+    country = regions.agg(F.collect_list(F.struct(F.col("region").alias("code"), F.col("region_name").alias("name"), "cities")).alias("regions"))
+    text = country.select(F.to_json(F.create_map(F.lit("XX"), F.struct(F.lit("Exland").alias("name"), F.lit("f").alias("flag"), "regions"))))
+    return tables.read_gazetteer(spark, _file(text)).select("country", "region", "region_name", "city", "population")
+
+
+@query("SELECT concat('http://h', n_nationkey) AS entry FROM nation UNION ALL SELECT concat('http://k', n_nationkey) FROM nation", "")
+def list_file(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("n_nationkey").cast("string")
+    path = f"{shared_dir(spark)}/placemill/file-{uuid.uuid4().hex}"
+    table(spark, d, "nation").select(F.concat(F.lit(" http://h"), k, F.lit(" , http://k"), k, F.lit(",bad\r\n# http://note"), k)).write.text(path)
+    return tables.read_list(spark, path)
+
+
+@query("SELECT DISTINCT concat(upper(p_name), ' !') AS query FROM part", "")
+def official_categories(spark: SparkSession, d: str) -> DataFrame:
+    p = table(spark, d, "part")
+    asked = p.select(F.concat(F.upper("p_name"), F.lit(" !")).alias("query")).union(p.select(F.concat(F.lit("no "), "p_name"))).distinct()
+    return catalog.official(_entries(spark, d), asked)
+
+
+@query("SELECT event_id, event_id % 3 = 0 AS yes, CASE WHEN event_id % 2 = 0 THEN event_id % 4 = 0 END AS maybe FROM events", "")
+def json_flags(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("event_id")
+    said = lambda c: F.when(c, "true").otherwise("false")
+    text = F.concat(F.lit('{"a": '), said(k % 3 == 0), F.when(k % 2 == 0, F.concat(F.lit(', "b": '), said(k % 4 == 0))).otherwise(F.lit(', "b": "true"')), F.lit("}"))
+    v = table(spark, d, "events").withColumn("v", F.try_parse_json(text))
+    return v.select("event_id", pick_bool(F.col("v"), "$.a").alias("yes"), pick_bool(F.col("v"), "$.b").alias("maybe"))
+
+
+@query("SELECT region, vertical, pass, CASE WHEN region = '7' AND vertical = '5-LOW' AND pass = (SELECT max(pass) FROM passes WHERE region = '7' AND vertical = '5-LOW') THEN 99 ELSE completed_at END AS completed_at, CASE WHEN region = '7' AND vertical = '5-LOW' AND pass = (SELECT max(pass) FROM passes WHERE region = '7' AND vertical = '5-LOW') THEN 3 ELSE 0 END AS new_places FROM passes", PASSES_SQL)
+def pass_completed(spark: SparkSession, d: str) -> DataFrame:
+    p = passes(spark, d)
+    last = p.filter("region = '7' and vertical = '5-LOW'").agg(F.max("pass")).first()[0] or -1
+    return coverage.completed_pass(p, "7", "5-LOW", last, 99, 3).select("region", "vertical", "pass", "completed_at", "new_places")
+
+
+@query("SELECT key, CASE WHEN term_ord < 2 THEN 9 ELSE 5 END AS completed_at, CASE WHEN term_ord < 2 THEN box_ord ELSE 1 END AS place_count FROM u WHERE key IN (SELECT key FROM done) OR term_ord < 2", _UNITS)
+def units_done(spark: SparkSession, d: str) -> DataFrame:
+    every, done = _units(spark, d)
+    before = done.select("key", F.lit(5).cast("long").alias("completed_at"), F.lit(1).cast("long").alias("place_count"))
+    return coverage.marked_done(before, every.filter("term_ord < 2").select("key", F.col("box_ord").alias("place_count")), 9)
+
+
+def _store(spark: SparkSession, d: str, buckets: int = 8) -> store.PlaceStore:
+    """The places in a store of their own."""
+    out = store.PlaceStore(spark, f"{shared_dir(spark)}/placemill/store-{uuid.uuid4().hex}", buckets)
+    out.write(places(spark, d))
+    return out
+
+
+@query(_UPSERT.replace(", o.email_checked_at, o.id IS NULL AS is_new", "") % "CASE WHEN n.id IS NOT NULL THEN n.email_1 ELSE o.email_1 END")
+def store_upsert(spark: SparkSession, d: str) -> DataFrame:
+    """The same upsert through the store's files: written, swapped in, read back."""
+    held = _store(spark, d)
+    held.upsert(_batch(spark, d), 9)
+    return held.read().select("id", "name", "rating", "email_1", "first_seen", "last_seen")
+
+
+@query("SELECT id, CASE WHEN email_1 IS NOT NULL AND email_1 <> '' THEN email_checked_at END AS email_checked_at, '77' AS since FROM places")
+def store_rechecked(spark: SparkSession, d: str) -> DataFrame:
+    """Once, checked places without an address wait again; the setting remembers when."""
+    held = _store(spark, d)
+    if not held.recheck_once(77) or held.recheck_once(88):
+        raise AssertionError("recheck runs once")
+    return held.read().select("id", "email_checked_at", F.lit(held.setting("email_recheck")).alias("since"))
+
+
+@query("SELECT id, name FROM places")
+def store_snapshot(spark: SparkSession, d: str) -> DataFrame:
+    """The day's copy, after the store has changed."""
+    held = _store(spark, d)
+    held.snapshot("2024-01-01")
+    held.upsert(_batch(spark, d), 9)
+    return spark.read.parquet(f"{held.path}/snapshots/2024-01-01").select("id", "name")
+
 
+@query("SELECT id, site FROM places WHERE site IS NOT NULL AND reviews >= 5 ORDER BY reviews DESC NULLS LAST, id")
+def places_iterated(spark: SparkSession, d: str) -> DataFrame:
+    """All matching places in order, as the service hands them out."""
+    rows = [(r["id"], r["site"]) for r in Service(spark, _store(spark, d)).iterate(PlaceFilter(has_website=True, min_reviews=5))]
+    return spark.createDataFrame(rows, "id string, site string")
 
 
 def queries() -> dict[str, Query]:

@@ -1,7 +1,7 @@
 """Enrichment as a stream: captured site pages arrive as files, each micro-batch enriches the places that wait for them.
 
-The checkpoint folder of the query makes arrivals exactly-once; the store is written once a batch. A batch that is run again after a failure
-finds its places no longer due and changes nothing.
+The checkpoint folder of the query makes arrivals exactly-once. A micro-batch is settled whole, if need be in rounds, before it counts as done, so no page is
+lost; only the parts of the store that hold its places are written. A batch that is run again after a failure finds its places no longer due and changes nothing.
 """
 
 from __future__ import annotations
@@ -16,17 +16,19 @@ from pyspark.sql.streaming.listener import QueryIdleEvent, QueryProgressEvent, Q
 from placemill.operators.enrich import domain_failures, enrich, split_by_domain
 from placemill.operators.store import PlaceStore, due, mark_checked, mark_deferred, routed, upserted
 from placemill.schema import ENRICHMENT_COLUMNS, as_places
+from placemill.storage import written
 
 BATCH = 300
 PAGES_SCHEMA = "id string, html string, final_url string, outcome string"
 
 
-def settle_batch(places: DataFrame, site_pages: DataFrame, now: int, history: DataFrame | None = None, limit: int = BATCH) -> tuple[DataFrame, DataFrame]:
+def settle_batch(places: DataFrame, site_pages: DataFrame, now: int, history: DataFrame | None = None, limit: int | None = BATCH) -> tuple[DataFrame, DataFrame]:
     """The store after one batch of pages, and outcomes of the places it looked at.
 
-    Of places that are due and have a page, the ``limit`` that wait longest take part; those whose domain failed too often are deferred unseen.
+    Of places that are due and have a page, the ``limit`` that wait longest take part, or all; those whose domain failed too often are deferred unseen.
     """
-    work = places.filter(due(now)).join(site_pages.select("id").distinct(), "id", "left_semi").orderBy("first_seen", "id").limit(limit)
+    work = places.filter(due(now)).join(site_pages.select("id").distinct(), "id", "left_semi")
+    work = work if limit is None else work.orderBy("first_seen", "id").limit(limit)
     failures = domain_failures(history) if history is not None else None
     split = split_by_domain(work, failures).drop("domain") if failures is not None else work.withColumn("skipped", F.lit(False))
     seen = enrich(split.filter(~F.col("skipped")).drop("skipped"), site_pages.dropDuplicates(["id"]))
@@ -38,12 +40,20 @@ def settle_batch(places: DataFrame, site_pages: DataFrame, now: int, history: Da
     return mark_deferred(after, outcomes.filter("route = 'deferred'"), now), outcomes
 
 
-def run(spark: SparkSession, store: PlaceStore, pages_path: str, checkpoint: str, clock: Callable[[], int], limit: int = BATCH, forever: bool = False) -> StreamingQuery:
-    """Start the stream over Parquet files of pages; ``forever`` keeps it open, else it ends with what is there."""
+def run(spark: SparkSession, store: PlaceStore, pages_path: str, checkpoint: str, clock: Callable[[], int], limit: int | None = None, forever: bool = False) -> StreamingQuery:
+    """Start the stream over Parquet files of pages; ``forever`` keeps it open, else it ends with what is there.
+
+    A micro-batch is settled at once, or with a ``limit`` in rounds of so many places, each round a write.
+    """
 
     def one(batch: DataFrame, _: int) -> None:
-        after, _outcomes = settle_batch(store.read(), batch, clock(), limit=limit)
-        store.write(after)
+        now, pages = clock(), written(batch, "site-pages")
+        parts = store.touched(pages)
+        while parts and not store.read(parts).filter(due(now)).join(pages.select("id"), "id", "left_semi").isEmpty():
+            after, _outcomes = settle_batch(store.read(parts), pages, now, limit=limit)
+            store.write(after, parts)
+            if limit is None:
+                break
 
     stream = spark.readStream.schema(PAGES_SCHEMA).parquet(pages_path).writeStream.foreachBatch(one).option("checkpointLocation", checkpoint)
     return (stream.trigger(processingTime="3 seconds") if forever else stream.trigger(availableNow=True)).start()

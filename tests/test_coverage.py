@@ -161,15 +161,21 @@ def test_sweep():
     assert ran == [("a", True), ("b", False), ("c", True), ("b", True)]
 
 
-@pytest.mark.parametrize("seed", range(6))
-def test_dedupe_is_the_sequential_rule(spark, seed):
+@pytest.mark.parametrize("seed,local_pairs", [(0, 0), (1, 0), (2, 40), (3, D.LOCAL_PAIRS)])
+def test_dedupe_is_the_sequential_rule(spark, seed, local_pairs):
     rnd = random.Random(seed)
     rows = [(i, [f"k{rnd.randint(0, 60)}" for _ in range(rnd.randint(0, 3))]) for i in rnd.sample(range(1000), 150)]
     df = spark.createDataFrame(rows, "seq long, own array<string>")
-    got = {r.seq: r.kept for r in D.dedupe(df, keys=F.col("own")).collect()}
+    got = {r.seq: r.kept for r in D.dedupe(df, keys=F.col("own"), local_pairs=local_pairs).collect()}
     assert got == D.sequential_model(rows)
 
 
+def test_dedupe_of_a_long_chain(spark):
+    rows = [(i, [f"k{i}", f"k{i + 1}"]) for i in range(3000)]
+    got = {r.seq: r.kept for r in D.dedupe(spark.createDataFrame(rows, "seq long, own array<string>"), keys=F.col("own")).collect()}
+    assert got == {i: i % 2 == 0 for i in range(3000)}
+
+
 def test_dedupe_is_no_closure(spark):
     rows = [(1, ["a"]), (2, ["a", "b"]), (3, ["b"]), (4, []), (5, [])]
     got = D.dedupe(spark.createDataFrame(rows, "seq long, own array<string>"), keys=F.col("own"))

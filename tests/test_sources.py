@@ -190,6 +190,19 @@ def test_enrichment_stream(spark, tmp_path):
     spark.streams.removeListener(feed)
 
 
+@pytest.mark.parametrize("limit", [None, 4])
+def test_no_page_of_a_batch_is_lost(spark, tmp_path, limit):
+    store = PlaceStore(spark, f"file://{tmp_path}/s")
+    fresh = stored(spark, [dict(id=str(i), name=f"n{i}", site=f"https://s{i}.com") for i in range(12)])
+    store.upsert(fresh.drop("first_seen", "last_seen", "email_checked_at", "email_attempts", "email_retry_at"), 10)
+    pages = [(str(i), f"mail info@s{i}.com" if i < 9 else None, f"https://s{i}.com/", "ok" if i < 9 else "timeout") for i in range(10)]
+    spark.createDataFrame(pages, enrichment.PAGES_SCHEMA).coalesce(1).write.parquet(f"file://{tmp_path}/pages")
+    assert enrichment.run(spark, store, f"file://{tmp_path}/pages", f"file://{tmp_path}/cp", lambda: 100, limit=limit).awaitTermination(300)
+    rows = {int(r.id): r for r in store.read().collect()}
+    assert [rows[i].email_1 for i in range(9)] == [f"info@s{i}.com" for i in range(9)]
+    assert rows[9].email_attempts == 1 and rows[10].email_checked_at is None and len(rows) == 12
+
+
 def test_schema():
     assert len(PLACE_COLUMNS) == len(set(PLACE_COLUMNS)) == 54 == len(PLACE_SCHEMA)
 

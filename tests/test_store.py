@@ -153,6 +153,24 @@ def test_store_versions(spark, tmp_path):
     assert s.stats()["contact"].first().total == 4
 
 
+def test_writes_touch_their_parts_and_old_files_go(spark, tmp_path):
+    s = S.PlaceStore(spark, f"file://{tmp_path}/store", buckets=8)
+    bare = lambda rows: stored(spark, rows).drop("first_seen", "last_seen", "email_checked_at", "email_attempts", "email_retry_at")
+    assert s.upsert(bare([dict(id=str(i), name=f"n{i}") for i in range(200)]), 1) == 200
+    before = s._manifest()["parts"]
+    assert len(before) == 8
+    for k in range(5):
+        assert s.upsert(bare([dict(id="7", name=f"again {k}")]), 10 + k) == 0
+    after = s._manifest()["parts"]
+    assert sum(before[k] != after[k] for k in before) == 1
+    assert s.upsert(bare([]), 99) == 0
+    s.mark_checked(spark.createDataFrame([("11",)], "id string"), 50)
+    rows = {r.id: r for r in s.read().collect()}
+    assert len(rows) == 200 and rows["7"].name == "again 4" and rows["7"].first_seen == 1 and rows["11"].email_checked_at == 50
+    # of the part written six times: its file now, and those of the last two writes
+    assert len(list((tmp_path / "store").glob(f"v-*/part={s.touched(spark.createDataFrame([('7',)], 'id string'))[0]}"))) <= 1 + S.GRACE
+
+
 def test_preserving_merge(places, spark):
     batch = stored(spark, [dict(id="1", name="A")]).select("id", "name", "email_1")
     keep = {r.id: r.email_1 for r in S.upserted(places, batch, 7, "preserve_enrichment").collect()}
