@@ -1,6 +1,6 @@
 r"""WARC archives: writing captures, reading them back, assembling transactions.
 
-A capture is three records: a response (or a revisit of an earlier response with the same payload), the request, and
+A capture is three records, named by page_id, url and payload: a response (or a revisit of an earlier response with the same payload), the request, and
 metadata. They are written by Spark's text sink with ``\r\n\r\n`` as the line separator, which is just what
 ends a WARC record, so any file system that Spark writes to can hold the archives. Reading takes records by their
 Content-Length, whatever they contain, in one pass over each file. Assembly brings request, response and metadata together by
@@ -26,8 +26,11 @@ from pyspark.sql import functions as F
 from placemill.llm.common import shared_dir, written
 
 MIN_SHARED = 100
-#: Records an archive holds. Reading one takes its compressed bytes and one record of memory.
+#: An archive holds so many records and so many bytes at most, or one capture. Reading one takes its compressed bytes and one record of memory.
 RECORDS_PER_FILE = 12_000
+FILE_BYTES = 512 << 20
+#: Pages of like size share archives: bounds of the classes, in bytes of html.
+CLASSES = (32 << 10, 1 << 20, 32 << 20)
 CRLF = "\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "2024-01-01T00:00:00Z"
@@ -44,41 +47,64 @@ def _record(kind: Column, record_id: Column, content_type: str, block: Column, *
     return F.concat(F.lit("WARC/1.1" + CRLF), *(line(n, v) for n, v in head), F.lit(CRLF), block)
 
 
-def _record_id(kind: str, page_id: Column, digest: Column) -> Column:
-    return F.concat(F.lit("<urn:capture:"), _text(page_id), F.lit(":"), F.substring(digest, 1, 32), F.lit(f":{kind}>"))
+def _record_id(kind: str, page_id: Column, url: Column, digest: Column) -> Column:
+    """Pages that share a page_id have records of their own where url or payload differ."""
+    return F.concat(F.lit("<urn:capture:"), _text(page_id), F.lit(":"), F.substring(digest, 1, 32), F.md5(url), F.lit(f":{kind}>"))
 
 
-def revisits(pages: DataFrame) -> DataFrame:
-    """``page_id, digest, first``: pages whose payload another page, ``first``, holds already. Html itself stays where it is."""
-    light = written(pages.select("page_id", F.sha2(_text(F.col("html")), 256).alias("digest"), F.octet_length(_text(F.col("html"))).alias("n")), "payloads")
+def _url(pages: DataFrame) -> Column:
+    return F.regexp_replace(F.regexp_replace(_text(pages["url"]), "\r", "%0D"), "\n", "%0A")
+
+
+def payloads_of(pages: DataFrame) -> DataFrame:
+    """``page_id, url, digest, n``, written: what is known of each page but for its html, which stays where it is."""
+    return written(pages.select("page_id", _url(pages).alias("url"), F.sha2(_text(F.col("html")), 256).alias("digest"), F.octet_length(_text(F.col("html"))).alias("n")), "payloads")
+
+
+def revisits(light: DataFrame) -> DataFrame:
+    """``page_id, digest, first, first_url``: pages whose payload another page, ``first``, holds already."""
     shared = light.filter(F.col("n") >= MIN_SHARED)
-    groups = shared.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("copies")).filter("copies > 1 and first is not null")
-    return written(shared.join(groups, "digest").filter("not (page_id <=> first)").select("page_id", "digest", "first").distinct(), "revisits")
+    groups = shared.groupBy("digest").agg(F.min(F.when(F.col("page_id").isNotNull(), F.struct("page_id", "url"))).alias("f"), F.count("*").alias("copies")).filter("copies > 1 and f is not null")
+    return written(shared.join(groups, "digest").filter("not (page_id <=> f.page_id)").select("page_id", "digest", F.col("f.page_id").alias("first"), F.col("f.url").alias("first_url")).distinct(), "revisits")
 
 
-def archive_lines(pages: DataFrame) -> DataFrame:
-    """``value``: the records of all captures."""
-    again = revisits(pages).select(F.col("page_id").alias("r_page"), F.col("digest").alias("r_digest"), "first")
-    page = pages.select("page_id", F.regexp_replace(F.regexp_replace(_text(F.col("url")), "\r", "%0D"), "\n", "%0A").alias("url"), _text(F.col("html")).alias("html")).withColumn("digest", F.sha2("html", 256))
+def archive_lines(pages: DataFrame, again: DataFrame) -> DataFrame:
+    """``value``: the records of the captures of ``pages``, of which ``again`` are revisits."""
+    again = again.select(F.col("page_id").alias("r_page"), F.col("digest").alias("r_digest"), "first", "first_url")
+    page = pages.select("page_id", _url(pages).alias("url"), _text(F.col("html")).alias("html")).withColumn("digest", F.sha2("html", 256))
     page = page.join(again, F.col("page_id").eqNullSafe(F.col("r_page")) & (F.col("digest") == F.col("r_digest")), "left")
     is_revisit = F.col("first").isNotNull()
     http = F.concat(F.lit(f"HTTP/1.1 200 OK{CRLF}Content-Type: text/html; charset=utf-8{CRLF}Content-Length: "), F.octet_length("html").cast("string"), F.lit(CRLF + CRLF))
-    own = _record_id("response", F.col("page_id"), F.col("digest"))
+    own = _record_id("response", F.col("page_id"), F.col("url"), F.col("digest"))
     uri, digest = ("WARC-Target-URI", F.col("url")), ("WARC-Payload-Digest", F.concat(F.lit("sha256:"), F.col("digest")))
     response = _record(
         F.when(is_revisit, "revisit").otherwise("response"), own, "application/http;msgtype=response", F.concat(http, F.when(is_revisit, "").otherwise(F.col("html"))), uri, digest,
-        ("WARC-Refers-To", F.when(is_revisit, _record_id("response", F.col("first"), F.col("digest")))), ("WARC-Profile", F.when(is_revisit, PROFILE)),
+        ("WARC-Refers-To", F.when(is_revisit, _record_id("response", F.col("first"), F.col("first_url"), F.col("digest")))), ("WARC-Profile", F.when(is_revisit, PROFILE)),
     )
     path = F.regexp_replace("url", "^[A-Za-z][A-Za-z0-9+.-]*://[^/]*", "")
     asked = F.concat(F.lit("GET "), F.when(path == "", "/").otherwise(path), F.lit(f" HTTP/1.1{CRLF}Host: "), F.regexp_extract("url", "^[A-Za-z][A-Za-z0-9+.-]*://([^/]*)", 1), F.lit(CRLF + CRLF))
-    request = _record(F.lit("request"), _record_id("request", F.col("page_id"), F.col("digest")), "application/http;msgtype=request", asked, uri, ("WARC-Concurrent-To", own))
+    request = _record(F.lit("request"), _record_id("request", F.col("page_id"), F.col("url"), F.col("digest")), "application/http;msgtype=request", asked, uri, ("WARC-Concurrent-To", own))
     fields = F.concat(F.coalesce(F.concat(F.lit("page-id: "), F.col("page_id").cast("string"), F.lit(CRLF)), F.lit("")), F.lit(f"via: table{CRLF}"))
-    metadata = _record(F.lit("metadata"), _record_id("metadata", F.col("page_id"), F.col("digest")), "application/warc-fields", fields, uri, ("WARC-Concurrent-To", own))
+    metadata = _record(F.lit("metadata"), _record_id("metadata", F.col("page_id"), F.col("url"), F.col("digest")), "application/warc-fields", fields, uri, ("WARC-Concurrent-To", own))
     return page.select(F.explode(F.array(request, response, metadata)).alias("value"))
 
 
-def write(pages: DataFrame, path: str) -> None:
-    archive_lines(pages).write.option("lineSep", CRLF + CRLF).option("compression", "gzip").option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
+def write(pages: DataFrame, path: str, classes: tuple[int, ...] = CLASSES) -> None:
+    """The archives of ``pages``, by classes of size, so that FILE_BYTES bounds a file whatever the mix of pages."""
+    light = payloads_of(pages)
+    again = revisits(light)
+    top = light.agg(F.max("n")).first()[0]
+    below = -1
+    for upto in (*classes, None):
+        size = F.octet_length(_text(F.col("html")))
+        if top is not None and top > below and (upto is None or below < 0 or not light.filter((F.col("n") > below) & (F.col("n") <= upto)).isEmpty()):
+            some = pages.filter((size > below) & (size <= upto)) if upto is not None else pages.filter(size > below)
+            # a capture has three records; those without html are short
+            most = 3 if upto is None else max(3, min(RECORDS_PER_FILE, 3 * (FILE_BYTES // upto)))
+            archive_lines(some, again).write.mode("append").option("lineSep", CRLF + CRLF).option("compression", "gzip").option("maxRecordsPerFile", most).text(path)
+        below = upto
+    if top is None:
+        archive_lines(pages, again).write.mode("append").text(path)
 
 
 def unpacked(data: bytes, chunk: int = 1 << 20) -> Iterator[bytes]:
@@ -196,7 +222,7 @@ def round_trip(pages: DataFrame, payloads: bool = False) -> DataFrame:
     """Captures of ``pages`` written to archives in the shared folder, read back and assembled."""
     path = f"{shared_dir(pages.sparkSession)}/placemill/warc-{uuid.uuid4().hex}"
     write(pages, path)
-    return assemble(read(pages.sparkSession, path, payloads))
+    return assemble(written(read(pages.sparkSession, path, payloads), "records"))  # parsed once, joined twice
 
 
 def digest_rows(captures: DataFrame) -> DataFrame:

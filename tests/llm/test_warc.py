@@ -51,6 +51,22 @@ def test_hot_payload(spark):
     assert trip(spark, rows) == brute(rows)
 
 
+def test_rows_that_share_a_page_id(spark):
+    rows = [(1, "http://a/1", "h" * 120), (1, "http://a/2", "h" * 120), (1, "http://a/1", "other"), (2, "http://b", "h" * 120)]
+    got = warc.digest_rows(warc.round_trip(pages(spark, rows))).collect()
+    assert sorted((r.page_id, r.url, r.payload_bytes, r.record_type, r.refers_to) for r in got) == sorted((i, u, len(h), "revisit" if i == 2 else "response", 1 if i == 2 else None) for i, u, h in rows)
+
+
+def test_bytes_bound_an_archive(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "FILE_BYTES", 8000)
+    rows = [(i, f"u{i}", f"{i} " * (10 if i % 9 else 3000)) for i in range(1, 100)]
+    warc.write(pages(spark, rows).coalesce(1), f"file://{tmp_path}/a", (500, 4000))
+    files = [gzip.decompress(f.read_bytes()) for f in (tmp_path / "a").glob("*.gz")]
+    assert len(files) > 11 and max(len(f) for f in files if len(f) < 30_000) < 8000 + 48 * 700
+    assert all(len(list(warc.parse(f))) == 3 for f in files if any(len(block) > 4500 for _, block in warc.parse(f)))
+    assert sum(len(list(warc.parse(f))) for f in files) == 3 * len(rows)
+
+
 def record(kind, ident, block=b"", **headers):
     head = "".join(f"{k.replace('_', '-')}: {v}\r\n" for k, v in headers.items())
     return f"WARC/1.0\r\nWARC-Type: {kind}\r\nWARC-Record-ID: <{ident}>\r\n{head}Content-Length: {len(block)}\r\n\r\n".encode() + block + b"\r\n\r\n"
