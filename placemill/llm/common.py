@@ -98,7 +98,11 @@ def tidy(fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) ->
     return wrapped
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+#: With more edges, a node's minimum is written before it meets the edges; a hub of fewer is no burden for one task.
+HUB_EDGES = 1 << 20
+
+
+def connected_components(edges: DataFrame, max_rounds: int = 60, hub_edges: int = HUB_EDGES) -> DataFrame:
     """``edges(a, b)`` of longs -> ``(node, component)``: the smallest node reachable; only nodes on edges.
 
     Alternates large-star and small-star (Kiveris et al. 2014), whose star forest converges in a
@@ -112,8 +116,9 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         # large: each strictly larger neighbour joins the least of node and neighbours;
         # small: node and its smaller neighbours join the least of them
         both = undirected(e) if large else e.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        # written apart, so that the join has a shuffle of its own, in which Spark can split a hub's rows
-        least = written(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m")), "least")
+        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
+        if size > hub_edges:  # written apart, so that the join has a shuffle of its own, in which Spark can split a hub's rows
+            least = written(least, "least")
         joined = both.join(least, "a")
         if large:
             out = joined.filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
@@ -122,13 +127,13 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         return out.filter("a <> b").distinct()
 
     current = written(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    seen = None
+    seen, size = None, current.count()
     for _ in range(max_rounds):
         current = written(star(star(current, True), False), "stars")
         state = current.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if state == seen:
             break
-        seen = state
+        seen, size = state, state[0]
     else:
         raise RuntimeError(f"components have not converged in {max_rounds} rounds")
     roots = current.select(F.col("b").alias("node")).distinct()

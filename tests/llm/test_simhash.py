@@ -111,5 +111,7 @@ def test_empty_table(spark):
 
 def test_components_of_long_chain_and_star(spark):
     edges = [(i, i + 1) for i in range(200)] + [(1000, 1000 + i) for i in range(1, 300)] + [(5000, 4000), (4000, 5000), (7, 7)]
-    got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    df = spark.createDataFrame(edges, "a long, b long")
+    got = {r.node: r.component for r in connected_components(df).collect()}
+    assert got == {r.node: r.component for r in connected_components(df, hub_edges=0).collect()}
     assert got == {**dict.fromkeys(range(201), 0), **dict.fromkeys(range(1000, 1300), 1000), 4000: 4000, 5000: 4000}
