@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from placemill.llm import exact_dedup, interpolation, media, mixing, quality, sentencepieces, simhash, toxicity, warc, wrappers
+from placemill.llm import exact_dedup, infill, interpolation, media, merkle, mixing, quality, sentencepieces, simhash, toxicity, warc, wrappers
 from placemill.llm.common import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -59,6 +59,14 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source", F.col("copies"))
 
 
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(read_table(spark, sf_dir, "documents"))
+
+
+def op13_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return infill.digests(read_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_sentencepiece": op1_sentencepiece,
@@ -71,8 +79,10 @@ def queries() -> dict[str, Query]:
         "op8_toxicity": op8_toxicity,
         "op9_wrappers": op9_wrappers,
         "op10_mixing": op10_mixing,
+        "op12_merkle": op12_merkle,
+        "op13_infill": op13_infill,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_warc": warc.ORACLE_SQL, "op7_exact_dedup": exact_dedup.ORACLE_SQL}
+    return {"op5_warc": warc.ORACLE_SQL, "op7_exact_dedup": exact_dedup.ORACLE_SQL, "op12_merkle": merkle.ORACLE_SQL, "op13_infill": infill.ORACLE_SQL}
