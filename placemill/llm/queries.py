@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from placemill.llm import exact_dedup, infill, interpolation, media, merkle, mixing, quality, sentencepieces, simhash, toxicity, warc, wrappers
+from placemill.llm import exact_dedup, infill, interpolation, media, merkle, mixing, personal, quality, sentencepieces, simhash, toxicity, warc, wrappers
 from placemill.llm.common import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -59,6 +59,10 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source", F.col("copies"))
 
 
+def op11_personal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal.digests(read_table(spark, sf_dir, "documents"))
+
+
 def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest(read_table(spark, sf_dir, "documents"))
 
@@ -79,6 +83,7 @@ def queries() -> dict[str, Query]:
         "op8_toxicity": op8_toxicity,
         "op9_wrappers": op9_wrappers,
         "op10_mixing": op10_mixing,
+        "op11_personal": op11_personal,
         "op12_merkle": op12_merkle,
         "op13_infill": op13_infill,
     }

@@ -20,7 +20,7 @@ def test_names():
     import __spark_entry__
 
     q = __spark_entry__.queries()
-    assert {n.split("_")[0] for n in q if n.startswith("op") and n[2].isdigit()} == {f"op{k}" for k in (*range(1, 11), 12, 13)} and "pipeline" in q
+    assert {n.split("_")[0] for n in q if n.startswith("op") and n[2].isdigit()} == {f"op{k}" for k in range(1, 14)} and "pipeline" in q
     assert [n for n, _ in pipeline.STAGES] == ["quality", "exact_dedup", "simhash", "mixing", "sentencepiece"]
 
 
@@ -39,7 +39,7 @@ def test_sql(spark, small, name):
     assert got == sorted((tuple(plain(r[names.index(c)]) for c in columns) for r in want.fetchall()), key=repr)
 
 
-@pytest.mark.parametrize("name", ["op1_sentencepiece", "op2_simhash", "op3_media", "op4_quality", "op6_interpolation", "op7_exact_dedup", "op8_toxicity", "op10_mixing", "op12_merkle", "op13_infill"])
+@pytest.mark.parametrize("name", ["op1_sentencepiece", "op2_simhash", "op3_media", "op4_quality", "op6_interpolation", "op7_exact_dedup", "op8_toxicity", "op10_mixing", "op11_personal", "op12_merkle", "op13_infill"])
 def test_one_row_a_document(spark, small, name):
     found = queries.queries()[name](spark, small).select("doc_id").collect()
     want = spark.read.parquet(f"{small}/documents.parquet").select("doc_id").collect()
