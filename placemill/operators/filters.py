@@ -108,12 +108,19 @@ class QuickFilter:
 
     def conflicts(self) -> list[str]:
         """What can't hold together."""
-        out = []
-        if self.only_with_website and self.only_without_website:
-            out.append("with and without website exclude each other")
-        if self.min_rating is not None and self.max_rating is not None and self.min_rating > self.max_rating:
-            out.append("the least rating is above the highest")
-        return out
+        both = self.only_with_website and self.only_without_website
+        crossed = self.min_rating is not None and self.max_rating is not None and self.min_rating > self.max_rating
+        return [message for found, message in zip((both, crossed), CONFLICTS, strict=True) if found]
+
+
+CONFLICTS = ("with and without website exclude each other", "the least rating is above the highest")
+
+
+def conflicts_of() -> Column:
+    """The same for a table of requests whose columns are named like the fields of QuickFilter; nulls ask nothing."""
+    both = F.col("only_with_website") & F.col("only_without_website")
+    crossed = F.col("min_rating") > F.col("max_rating")
+    return F.array_compact(F.array(*(F.when(found, F.lit(message)) for found, message in zip((both, crossed), CONFLICTS, strict=True))))
 
 
 def cleaned_request(queries: list[object], locations: list[object]) -> tuple[list[str], list[object]]:

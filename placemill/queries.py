@@ -12,12 +12,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from placemill.functions import geo as G
-from placemill.functions.contacts import ADDRESS, emails_in, socials_in, visits_of
+from placemill.functions.contacts import ADDRESS, PLATFORMS, emails_in, socials_in, visits_of
 from placemill.functions.numbers import pick_bool, pick_number, pick_string, prefix_number
 from placemill.functions.text import csv_cell, edit_distance_within, match_score, normalised_name_of, number_text_of, slug, subsequence_span, typo_budget
 from placemill.functions.urls import canonical, domain_of, fallback_urls, site_to_url
 from placemill.operators import catalog, coverage, dedupe, enrich, store
-from placemill.operators.filters import PlaceFilter, QuickFilter
+from placemill.operators.filters import PlaceFilter, QuickFilter, conflicts_of
 from placemill.plans import jobs
 from placemill.plans.adapters import PASSES_SQL, PLACES_SQL, cities, passes, place_hits, places, table
 from placemill.plans.service import Service
@@ -344,18 +344,55 @@ def emails_in_documents(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").filter(F.contains("text", F.lit("@"))).select("doc_id", F.explode(emails_in(F.col("text"), F.lit(None).cast("string"))).alias("email"))
 
 
-@query("SELECT CAST(page_id AS VARCHAR) AS id, url AS site, 'ok' AS outcome, " + ", ".join(f"CAST(NULL AS VARCHAR) AS {p}" for p in "email_1 email_2 email_3 facebook instagram linkedin twitter youtube tiktok".split()) + " FROM pages", "")
+_JUNK = "regexp_matches(split_part(email, '@', 1), '^(no-?reply|do-?not-?reply|postmaster|abuse|mailer-daemon|example|test|your-?e?mail|sample|name|email|user|username|yourname|firstname|lastname)$') OR regexp_matches(email, '\\.(png|jpe?g|gif|svg|webp|css|js|ico)$|^[0-9a-f]{16,}@|@(example|domain|email|yourdomain|yourwebsite|sentry|wixpress|sentry-next|mailservice|test|godaddy|godaddysites|secureserver|wix|squarespace|weebly|domainsbyproxy|2x|3x|[0-9]+x)\\.|@[0-9.]+$')"
+#: The text of a page as addresses are read from it: no scripts and styles, signs put back.
+_READ = "regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script.*?</script>', ' ', 'g'), '(?is)<style.*?</style>', ' ', 'g'), '(?i)\\(\\s{0,4}at\\s{0,4}\\)|\\[\\s{0,4}at\\s{0,4}\\]|＠', '@', 'g'), '(?i)[ \\t]{0,4}(?:\\(\\s{0,4}dot\\s{0,4}\\)|\\[\\s{0,4}dot\\s{0,4}\\])[ \\t]{0,4}', '.', 'g'), '[ \\t]{1,4}@[ \\t]{1,4}', '@', 'g')"
+_HREFS = "list_filter(list_transform(regexp_extract_all(html, '(?i)href=[\"'']([^\"'']+)[\"'']', 1), lambda x: CASE WHEN starts_with(x, '//') THEN concat('https:', x) ELSE x END), lambda x: regexp_matches(x, '^(?i)https?://'))"
+
+
+def _profile(name: str) -> str:
+    """The first link to a profile of a platform, canonical."""
+    host, reject = PLATFORMS[name]
+    path = "regexp_extract(x, '^[A-Za-z]+://[^/?#]*([^?#]*)', 1)"
+    fits = f"regexp_matches(x, '(?i){host}') AND NOT regexp_matches(x, '(?i){reject}') AND NOT regexp_full_match(x, '(?i)https?://(?:www\\.)?(?:facebook|fb|instagram|linkedin|twitter|x|youtube|tiktok)\\.com/?') AND length(rtrim({path}, '/')) > 1 AND regexp_matches(x, '^[A-Za-z]+://[^/?#]')"
+    first = f"list_filter(links, lambda x: {fits})[1]"
+    return f"rtrim(concat('https://', regexp_replace(lower(regexp_extract({first}, '^[A-Za-z]+://([^/?#]*)', 1)), '^www\\.|:(80|443)$', '', 'g'), {path.replace('(x,', f'({first},')}), '/') || CASE WHEN {first} IS NOT NULL THEN '' END AS {name}"
+
+
+_PROFILES = ", ".join(_profile(p) for p in PLATFORMS)
+_FOUND_ON_PAGES = f"""e AS (SELECT page_id, lower(regexp_replace(x, '\\.([a-z0-9]{{2,}})[A-Z][^.]*$', '.\\1')) AS email FROM (SELECT page_id, unnest(regexp_extract_all({_READ}, '(?i){ADDRESS}')) AS x FROM pages)
+UNION SELECT page_id, lower(trim(x)) FROM (SELECT page_id, unnest(regexp_extract_all(html, '(?i)"email"\\s*:\\s*"(?:mailto:)?([^"\\\\]{{3,254}})"', 1)) AS x FROM pages) WHERE regexp_matches(x, '(?i){ADDRESS}')
+UNION SELECT page_id, lower(x) FROM (SELECT page_id, unnest(regexp_extract_all(html, '(?i)mailto:([^"''?>\\s]+)', 1)) AS x FROM pages) WHERE contains(x, '@')),
+best AS (SELECT page_id, list(email ORDER BY points DESC, spelled) AS emails FROM (SELECT page_id, email, translate(email, '%+-.@_', ' !"#$%') AS spelled, CASE WHEN split_part(email, '@', 2) = {_HOST.format('url')} THEN 100 ELSE 0 END + CASE WHEN regexp_matches(email, '^(info|contact|sales|hello|admin|office|enquiries|inquiries|support|mail)@') THEN 10 ELSE 0 END AS points
+FROM e JOIN pages USING (page_id) WHERE NOT ({_JUNK})) GROUP BY page_id), links AS (SELECT page_id, {_HREFS} AS links FROM pages)"""
+
+
+@query(f"SELECT CAST(page_id AS VARCHAR) AS id, url AS site, 'ok' AS outcome, emails[1] AS email_1, emails[2] AS email_2, emails[3] AS email_3, {_PROFILES} FROM pages LEFT JOIN best USING (page_id) JOIN links USING (page_id)", _FOUND_ON_PAGES)
 def contacts_of_pages(spark: SparkSession, d: str) -> DataFrame:
     p = table(spark, d, "pages")
     seen = p.select(F.col("page_id").cast("string").alias("id"), "html", F.col("url").alias("final_url"), F.lit("ok").alias("outcome"))
     return enrich.enrich(p.select(F.col("page_id").cast("string").alias("id"), F.col("url").alias("site")), seen)
 
 
-@query("SELECT page_id, " + ", ".join(f"CAST(NULL AS VARCHAR) AS {p}" for p in "facebook instagram linkedin twitter youtube tiktok".split()) + " FROM pages", "")
+@query(f"SELECT page_id, {_PROFILES} FROM links", _FOUND_ON_PAGES)
 def socials_of_pages(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "pages").select("page_id", socials_in(F.col("html")).alias("s")).select("page_id", "s.*")
 
 
+@query(f"SELECT c_custkey AS k, {_PROFILES} FROM (SELECT c_custkey, {_HREFS} AS links FROM linked)", """linked AS (SELECT c_custkey, concat('<a href="https://www.instagram.com/p/', c_custkey, '/"><a href=''//Instagram.com/Shop', c_custkey, '/?x=1''><a href="https://', CASE WHEN c_custkey % 2 = 0 THEN 'fb' ELSE 'm.facebook' END, '.com:443/c.', c_custkey, '#about"><a href="http://twitter.com/"><a href="https://x.com/c', c_custkey, '">',
+CASE WHEN c_custkey % 3 = 0 THEN '<a HREF="https://www.youtube.com/watch?v=1"><a href="https://youtube.com/@c' || c_custkey || '/">' ELSE '' END, '<a href="ftp://tiktok.com/@c"><a href="https://www.linkedin.com/company/', c_custkey, '/about/">') AS html FROM customer)""")
+def profiles_linked(spark: SparkSession, d: str) -> DataFrame:
+    """Pages of links, a customer each: rejected paths, bare hosts, ports, capitals and addresses without a scheme."""
+    k = F.col("c_custkey").cast("string")
+    text = lambda *of: F.concat(*(F.lit(x) if isinstance(x, str) else x for x in of))
+    video = F.when(F.col("c_custkey") % 3 == 0, text('<a HREF="https://www.youtube.com/watch?v=1"><a href="https://youtube.com/@c', k, '/">')).otherwise("")
+    html = text(
+        '<a href="https://www.instagram.com/p/', k, "/\"><a href='//Instagram.com/Shop", k, "/?x=1'><a href=\"https://", F.when(F.col("c_custkey") % 2 == 0, "fb").otherwise("m.facebook"), ".com:443/c.", k, '#about"><a href="http://twitter.com/"><a href="https://x.com/c', k, '">', video,
+        '<a href="ftp://tiktok.com/@c"><a href="https://www.linkedin.com/company/', k, '/about/">',
+    )
+    return table(spark, d, "customer").select(F.col("c_custkey").alias("k"), socials_in(html).alias("s")).select("k", "s.*")
+
+
 @query("SELECT CAST(page_id AS VARCHAR) AS id, CASE WHEN page_id % 5 = 0 THEN 'no_site' WHEN page_id % 5 = 1 THEN 'timeout' WHEN page_id % 5 = 2 THEN 'unreachable' ELSE 'ok' END AS outcome FROM pages", "")
 def enrichment_outcomes(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("page_id") % 5
@@ -435,18 +472,34 @@ def saturation(spark: SparkSession, d: str) -> DataFrame:
     return per.select("city", G.saturation(F.col("n"), G.spread(cell, F.col("extent"))).alias("reason"), "n")
 
 
-@query(
-    """WITH RECURSIVE cells AS (SELECT 0 AS depth, CAST(-124 AS DOUBLE) AS w, CAST(48 AS DOUBLE) AS s, CAST(-104 AS DOUBLE) AS e, CAST(58 AS DOUBLE) AS n
-UNION ALL SELECT depth + 1, CASE WHEN q % 2 = 0 THEN w ELSE (w + e) / 2 END, CASE WHEN q < 2 THEN (s + n) / 2 ELSE s END, CASE WHEN q % 2 = 0 THEN (w + e) / 2 ELSE e END, CASE WHEN q < 2 THEN n ELSE (s + n) / 2 END FROM cells CROSS JOIN (VALUES (0), (1), (2), (3)) t(q) WHERE depth < 3 AND (e - w) * (n - s) > 10)
-SELECT depth, round(w, 6) AS west, round(s, 6) AS south, round(e, 6) AS east, round(n, 6) AS north FROM cells""",
-    "",
-)
+_CELL = "CASE WHEN q % 2 = 0 THEN {w} ELSE ({w} + {e}) / 2 END AS w, CASE WHEN q < 2 THEN ({s} + {n}) / 2 ELSE {s} END AS s, CASE WHEN q % 2 = 0 THEN ({w} + {e}) / 2 ELSE {e} END AS e, CASE WHEN q < 2 THEN {n} ELSE ({s} + {n}) / 2 END AS n".format(w="c.w", s="c.s", e="c.e", n="c.n")
+
+
+def _levels(depth: int = 3, most: int = 25) -> str:
+    """Cells level by level: those with more than ``most`` of their region's places split."""
+    count = "(SELECT count(*) FROM places p WHERE p.state = {0}.region AND p.latitude BETWEEN {0}.s AND {0}.n AND p.longitude BETWEEN {0}.w AND {0}.e)"
+    parts = [f", b0 AS (SELECT state AS region, 0 AS depth, min(longitude) AS w, min(latitude) AS s, max(longitude) AS e, max(latitude) AS n FROM places GROUP BY state), c0 AS MATERIALIZED (SELECT *, {count.format('b0')} AS cnt FROM b0)"]
+    for k in range(1, depth + 1):
+        parts.append(f"b{k} AS (SELECT c.region, c.depth + 1 AS depth, {_CELL} FROM c{k - 1} c CROSS JOIN (VALUES (0), (1), (2), (3)) t(q) WHERE c.cnt > {most}), c{k} AS MATERIALIZED (SELECT *, {count.format(f'b{k}')} AS cnt FROM b{k})")
+    cells = " UNION ALL ".join(f"SELECT * FROM c{k}" for k in range(depth + 1))
+    return f"{', '.join(parts)} SELECT region, depth, round(w, 6) AS west, round(s, 6) AS south, round(e, 6) AS east, round(n, 6) AS north, cnt AS count, cnt > {most} AND depth < {depth} AS split, cnt > {most} AND depth = {depth} AS truncated FROM ({cells})"
+
+
+@query(_levels())
 def quadtree(spark: SparkSession, d: str) -> DataFrame:
-    root = coverage.root_cells(spark, spark.range(1).select(F.lit("r").alias("region"), G.box_of(-124, 48, -104, 58).alias("box")))
-    b = F.col("box")
-    dense = lambda cells: cells.withColumns({"count": F.lit(0), "saturated": (b.east - b.west) * (b.north - b.south) > 10, "failed": F.lit(False)})
-    cells = coverage.cover(root, dense, max_depth=3, min_cell=1.0, max_cell=1e9)
-    return cells.select("depth", *(F.round(f"box.{c}", 6).alias(c) for c in ("west", "south", "east", "north")))
+    """Cells over the places of each state, split where they hold too many."""
+    p = places(spark, d).select("id", F.col("state").alias("region"), F.col("latitude").alias("lat"), F.col("longitude").alias("lng"))
+    corners = (F.min("lng"), F.min("lat"), F.max("lng"), F.max("lat"))
+    roots = p.groupBy("region").agg(*(c.alias(f"c{k}") for k, c in enumerate(corners))).select("region", G.box(*(F.col(f"c{k}") for k in range(4))).alias("box"))
+
+    def search(cells: DataFrame) -> DataFrame:
+        asked = cells.select(F.struct("region", "path").alias("box_id"), "box")
+        met = coverage.points_in_boxes(p, asked, 1.0).filter(F.col("region") == F.col("box_id.region"))
+        found = met.groupBy("box_id").agg(F.count("*").alias("found")).select("box_id.*", "found")
+        return cells.join(found, ["region", "path"], "left").withColumn("count", F.coalesce("found", F.lit(0))).drop("found").withColumns({"saturated": F.col("count") > 25, "failed": F.lit(False)})
+
+    cells = coverage.cover(coverage.root_cells(spark, roots), search, max_depth=3, min_cell=1.0, max_cell=1e9)
+    return cells.select("region", "depth", *(F.round(f"box.{c}", 6).alias(c) for c in ("west", "south", "east", "north")), "count", "split", "truncated")
 
 
 @query("SELECT unit, cell, CAST(sum(n) AS BIGINT) AS count, count(*) FILTER (WHERE n >= 20) >= 6 AS saturated FROM (SELECT *, coalesce(max(CASE WHEN n < 20 THEN 1 ELSE 0 END) OVER (PARTITION BY unit, cell ORDER BY off ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS short FROM p WHERE off < 120) WHERE short = 0 GROUP BY unit, cell", "p AS (SELECT o_custkey AS unit, l_linenumber % 2 AS cell, o_orderkey * 100 + l_linenumber AS k, (row_number() OVER (PARTITION BY o_custkey, l_linenumber % 2 ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity) - 1) * 20 AS off, CASE WHEN l_quantity < 10 THEN CAST(floor(l_quantity) AS BIGINT) ELSE 20 END AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey)")
@@ -732,10 +785,12 @@ def quick_filter_reviews(spark: SparkSession, d: str) -> DataFrame:
     return QuickFilter(min_reviews=12, operational_only=True).where(places(spark, d)).select("id", "reviews")
 
 
-@query("SELECT * FROM (VALUES ('none', 0), ('website', 1), ('rating', 1), ('both', 2)) t(asked, conflicts)", "")
+@query("SELECT c_custkey AS k, CASE WHEN c_custkey % 2 = 0 AND c_custkey % 3 = 0 THEN 1 ELSE 0 END + CASE WHEN c_custkey % 5 > c_custkey % 4 THEN 1 ELSE 0 END AS conflicts FROM customer", "")
 def filter_conflicts(spark: SparkSession, d: str) -> DataFrame:
-    asked = {"none": QuickFilter(), "website": QuickFilter(only_with_website=True, only_without_website=True), "rating": QuickFilter(min_rating=4, max_rating=3), "both": QuickFilter(only_with_website=True, only_without_website=True, min_rating=4, max_rating=3)}
-    return spark.createDataFrame([(k, len(v.conflicts())) for k, v in asked.items()], "asked string, conflicts int")
+    """Requests of quick filters, a customer each: which contradict themselves."""
+    k = F.col("c_custkey")
+    asked = table(spark, d, "customer").select(k.alias("k"), (k % 2 == 0).alias("only_with_website"), (k % 3 == 0).alias("only_without_website"), (k % 5).cast("double").alias("min_rating"), (k % 4).cast("double").alias("max_rating"))
+    return asked.select("k", F.size(conflicts_of()).alias("conflicts"))
 
 
 def _site(spark: SparkSession, d: str) -> DataFrame:
