@@ -161,19 +161,36 @@ def test_sweep():
     assert ran == [("a", True), ("b", False), ("c", True), ("b", True)]
 
 
-@pytest.mark.parametrize("seed,local_pairs", [(0, 0), (1, 0), (2, 40), (3, D.LOCAL_PAIRS)])
-def test_dedupe_is_the_sequential_rule(spark, seed, local_pairs):
+@pytest.mark.parametrize("seed,few_roots", [(0, 0), (1, 8), (2, 1000), (3, 1000)])
+def test_dedupe_is_the_sequential_rule(spark, seed, few_roots):
+    """Without chains, with them where roots are few, and with them in every round."""
     rnd = random.Random(seed)
     rows = [(i, [f"k{rnd.randint(0, 60)}" for _ in range(rnd.randint(0, 3))]) for i in rnd.sample(range(1000), 150)]
     df = spark.createDataFrame(rows, "seq long, own array<string>")
-    got = {r.seq: r.kept for r in D.dedupe(df, keys=F.col("own"), local_pairs=local_pairs).collect()}
+    got = {r.seq: r.kept for r in D.dedupe(df, keys=F.col("own"), few_roots=few_roots).collect()}
     assert got == D.sequential_model(rows)
 
 
-def test_dedupe_of_a_long_chain(spark):
-    rows = [(i, [f"k{i}", f"k{i + 1}"]) for i in range(3000)]
-    got = {r.seq: r.kept for r in D.dedupe(spark.createDataFrame(rows, "seq long, own array<string>"), keys=F.col("own")).collect()}
-    assert got == {i: i % 2 == 0 for i in range(3000)}
+def _deduped(spark, rows):
+    return {r.seq: r.kept for r in D.dedupe(spark.createDataFrame(rows, "seq long, own array<string>"), keys=F.col("own")).collect()}
+
+
+def test_dedupe_of_long_chains(spark, monkeypatch):
+    """Rising chains, one of them with branches, loose ends and a hot key beside it, take a handful of rounds."""
+    rows = [(i, [f"k{i}", f"k{i + 1}"]) for i in range(4000)]
+    rows += [(10_000 + i, [f"m{i}", f"m{i + 1}", *([f"side{i}"] if i % 7 == 0 else [])]) for i in range(999)]
+    rows += [(20_000 + i, [f"side{i * 7}", "hot"]) for i in range(120)]
+    rows += [(30_000 + i, ["hot", f"own{i}"]) for i in range(500)]
+    rounds, real = [], D._through_chains
+    monkeypatch.setattr(D, "_through_chains", lambda *a: rounds.append(1) or real(*a))
+    assert _deduped(spark, rows) == D.sequential_model(rows)
+    assert 1 <= len(rounds) <= 4
+
+
+def test_dedupe_of_a_falling_chain_and_ladders(spark):
+    falling = [(i, [f"k{100 - i}", f"k{101 - i}"]) for i in range(100)]
+    ladder = [(1000 + i, [f"r{i}", f"r{i + 1}", f"r{i + 2}"]) for i in range(15)]
+    assert _deduped(spark, falling + ladder) == D.sequential_model(falling + ladder)
 
 
 def test_dedupe_is_no_closure(spark):
