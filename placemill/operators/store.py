@@ -5,8 +5,9 @@ from __future__ import annotations
 import json
 import uuid
 from dataclasses import replace
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -23,8 +24,10 @@ GEO_LIMIT = 50_000
 QUEUE_LIMIT = 200
 FIRST_RETRY_MS, SECOND_RETRY_MS = 3_600_000, 21_600_000
 UNFINDABLE = "unfindable"
-#: Parts of the store by hash of the id, a bounded number; and how many writes replaced parts stay for readers.
+#: Parts of the store by hash of the id, a bounded number; and for how many writes replaced files stay for readers.
 BUCKETS, GRACE = 64, 2
+#: So many deltas become one; and deltas that hold this share of the rows of the parts are folded into them.
+DELTAS, FOLD_SHARE = 8, 0.25
 
 PIN = {"lat": "latitude", "lng": "longitude", "name": "name", "category": "category", "city": "city", "rating": "rating", "reviews": "reviews", "phone": "phone", "email": "email_1", "site": "site"}
 
@@ -127,14 +130,29 @@ def pending_email_checks(places: DataFrame) -> DataFrame:
     return places.filter(awaiting_email()).agg(F.count("*").alias("n"))
 
 
+def settled(places: DataFrame, routes: DataFrame, at: int) -> DataFrame:
+    """``places`` with the email state that ``routes(id, route)`` give: checked, deferred, or as it was."""
+    # the two sides meet as structs, so no name of a column can clash
+    met = places.select(F.struct("*").alias("whole")).join(routes.select(F.struct("id", "route").alias("to")).distinct(), F.col("whole.id") == F.col("to.id"), "left")
+    later = deferred(at, "whole.email_attempts")
+
+    def value(c: str) -> Column:
+        old = F.col("whole").getField(c)
+        if c not in EMAIL_STATE:
+            return old
+        changed = F.when(F.col("to.route") == "deferred", later[c]).otherwise(old.cast("long"))
+        return F.when(F.col("to.route") == "checked", F.lit(at).cast("long")).otherwise(changed) if c == "email_checked_at" else changed
+
+    return met.select(*(value(c).alias(c) for c in places.columns))
+
+
 def mark_checked(places: DataFrame, these: DataFrame, at: int) -> DataFrame:
-    marked = places.join(these.select(F.col("id").alias("__id")).distinct(), F.col("id") == F.col("__id"), "left")
-    return marked.withColumn("email_checked_at", F.when(F.col("__id").isNotNull(), F.lit(at).cast("long")).otherwise(F.col("email_checked_at"))).drop("__id")
+    return settled(places, these.select("id", F.lit("checked").alias("route")), at)
 
 
-def deferred(at: int) -> dict[str, Column]:
+def deferred(at: int, attempts: str = "email_attempts") -> dict[str, Column]:
     """Email state after another failure: again in one hour, then in six, then checked. All sides read the old state."""
-    tries = F.coalesce("email_attempts", F.lit(0)).cast("long")
+    tries = F.coalesce(attempts, F.lit(0)).cast("long")
     return {
         "email_attempts": tries + 1,
         "email_retry_at": F.when(tries >= 2, F.lit(None)).when(tries == 0, F.lit(at + FIRST_RETRY_MS)).otherwise(F.lit(at + SECOND_RETRY_MS)).cast("long"),
@@ -143,9 +161,7 @@ def deferred(at: int) -> dict[str, Column]:
 
 
 def mark_deferred(places: DataFrame, these: DataFrame, at: int) -> DataFrame:
-    marked = places.join(these.select(F.col("id").alias("__id")).distinct(), F.col("id") == F.col("__id"), "left")
-    hit = F.col("__id").isNotNull()
-    return marked.withColumns({c: F.when(hit, new).otherwise(F.col(c).cast("long")) for c, new in deferred(at).items()}).drop("__id")
+    return settled(places, these.select("id", F.lit("deferred").alias("route")), at)
 
 
 def routed(outcomes: DataFrame) -> DataFrame:
@@ -203,10 +219,11 @@ def leads(places: DataFrame, asked: PlaceFilter | None = None, dead_domains: Dat
 
 
 class PlaceStore:
-    """The places table in a folder, in parts by hash of the id; a small manifest names each part's current files. One writer at a time.
+    """The places table in a folder: parts by hash of the id, and deltas with the rows that later writes changed. A small manifest names the current files. One writer at a time.
 
-    A write makes new files for the parts it touches and then a new manifest, so readers see the old or the new state, and a failed write leaves
-    nothing visible. Files that neither of the last GRACE writes still needed are deleted.
+    A write of some rows makes one delta, so what it writes follows the batch and not the store; readers take a row from the newest delta that has it, else from its part.
+    Deltas are merged once there are DELTAS of them, and folded into the parts they touch once they hold FOLD_SHARE of the rows, so a row is rewritten a bounded number of times while the store doubles.
+    Each write makes new files and then a new manifest, so readers see the old or the new state, and a failed write leaves nothing visible. Files that none of the last GRACE writes still needed are deleted.
     """
 
     def __init__(self, spark: SparkSession, path: str, buckets: int = BUCKETS):
@@ -258,53 +275,142 @@ class PlaceStore:
         n = self._manifest().get("buckets", self.buckets)
         return sorted(r[0] for r in these.select(self._bucket(F.col("id"), n)).distinct().collect())
 
-    def read(self, parts: list[int] | None = None) -> DataFrame:
-        """The places, or those of some parts."""
-        now = self._manifest()
-        found = [f"{self.path}/{v}/part={k}" for k, v in now.get("parts", {}).items() if parts is None or int(k) in parts]
-        if found:
-            return with_columns_added(self.spark.read.schema(T.StructType.fromJson(now["schema"])).parquet(*found), EMAIL_STATE)
+    def _schema(self, now: dict) -> T.StructType:
         own = [T.StructField("id", T.StringType())]
         state = [T.StructField(c, T.LongType()) for c in ("first_seen", "last_seen", *EMAIL_STATE)]
-        return self.spark.createDataFrame([], T.StructType.fromJson(now["schema"]) if now else T.StructType(own + ENRICHED_SCHEMA.fields + state))
+        return T.StructType.fromJson(now["schema"]) if now else T.StructType(own + ENRICHED_SCHEMA.fields + state)
+
+    def _base(self, now: dict, parts: list[int] | None) -> DataFrame:
+        found = [f"{self.path}/{v}/part={k}" for k, v in now.get("parts", {}).items() if parts is None or int(k) in parts]
+        schema = self._schema(now)
+        return self.spark.read.schema(schema).parquet(*found) if found else self.spark.createDataFrame([], schema)
+
+    def _newest(self, now: dict, parts: list[int] | None = None) -> DataFrame | None:
+        """Of each id in the deltas its last row."""
+        deltas = now.get("deltas", [])
+        if not deltas:
+            return None
+        schema = self._schema(now)
+        one = [self.spark.read.schema(schema).parquet(f"{self.path}/{d['path']}") for d in deltas]
+        if parts is not None:
+            one = [df.filter(self._bucket(F.col("id"), now["buckets"]).isin(parts)) for df in one]
+        if len(one) == 1:
+            return one[0]  # ids are unique within a delta
+        rows = reduce(DataFrame.union, (df.select(F.col("id").alias("of"), F.struct("*").alias("whole"), F.lit(n).alias("n")) for n, df in enumerate(one)))
+        return rows.groupBy("of").agg(F.max_by("whole", "n").alias("whole")).select("whole.*")
 
-    def write(self, places: DataFrame, parts: list[int] | None = None) -> str:
-        """All places, or all those of some parts, whose files alone are written."""
+    def read(self, parts: list[int] | None = None) -> DataFrame:
+        """The places, or those of some parts."""
         now = self._manifest()
-        n = now.get("buckets", self.buckets) if parts is not None else self.buckets
-        version = f"v-{uuid.uuid4().hex}"
-        places.withColumn("part", self._bucket(F.col("id"), n)).hint("rebalance", "part").write.partitionBy("part").parquet(f"{self.path}/{version}")
-        new = {s.getPath().getName().removeprefix("part="): version for s in self._fs.listStatus(self._path(f"{self.path}/{version}")) if s.getPath().getName().startswith("part=")}
-        old = now.get("parts", {})
-        stay = {k: v for k, v in old.items() if parts is not None and int(k) not in parts}
-        dead = [sorted(f"{v}/part={k}" for k, v in old.items() if k not in stay), *now.get("dead", [])]
-        self._write_text("current", json.dumps({"version": version, "buckets": n, "schema": json.loads(places.schema.json()), "parts": stay | new, "dead": dead[:GRACE]}))
+        base, newest = self._base(now, parts), self._newest(now, parts)
+        if newest is not None:
+            gone = newest.select(F.col("id").alias("newer"))
+            base = base.join(gone, F.col("id") == F.col("newer"), "left_anti").union(newest)
+        return with_columns_added(base, EMAIL_STATE)
+
+    def _files(self, now: dict) -> set[str]:
+        return {f"{v}/part={k}" for k, v in now.get("parts", {}).items()} | {d["path"] for d in now.get("deltas", [])} | {p for p in now.get("memory", {}).values() if isinstance(p, str) and p.startswith("v-")}
+
+    def _switch(self, now: dict, new: dict) -> None:
+        """The new manifest in place; what neither it nor the last GRACE writes need is deleted."""
+        dead = [sorted(self._files(now) - self._files(new)), *now.get("dead", [])]
+        self._write_text("current", json.dumps(new | {"dead": dead[:GRACE]}))
         for path in (p for gone in dead[GRACE:] for p in gone):
             target = self._path(f"{self.path}/{path}")
             self._fs.delete(target, True)
-            if not any(s.getPath().getName().startswith("part=") for s in self._fs.listStatus(target.getParent())):
+            if "/part=" in path and not any(s.getPath().getName().startswith("part=") for s in self._fs.listStatus(target.getParent())):
                 self._fs.delete(target.getParent(), True)
+
+    def _written(self, rows: DataFrame, *partition: str) -> tuple[str, int]:
+        """A new folder of rows and how many they are, counted while they are written."""
+        version, seen = f"v-{uuid.uuid4().hex}", Observation(f"write-{uuid.uuid4().hex}")
+        out = rows.observe(seen, F.count(F.lit(1)).alias("n"))
+        (out.hint("rebalance", *partition).write.partitionBy(*partition) if partition else out.hint("rebalance").write).parquet(f"{self.path}/{version}")
+        return version, int(seen.get["n"] or 0)
+
+    def write(self, places: DataFrame) -> str:
+        """All places, as parts without deltas."""
+        now = self._manifest()
+        version, rows = self._written(places.withColumn("part", self._bucket(F.col("id"), self.buckets)), "part")
+        new = {"version": version, "buckets": self.buckets, "schema": json.loads(places.schema.json()), "parts": self._parts_of(version), "deltas": [], "rows": rows, "memory": now.get("memory", {})}
+        self._switch(now, new)
         return version
 
-    def upsert(self, batch: DataFrame, at: int, merge: str = "replace", order: str | None = None) -> int:
-        """All or nothing; how many places were new, counted while the parts are written."""
-        from pyspark.sql import Observation
+    def _parts_of(self, version: str) -> dict[str, str]:
+        names = (s.getPath().getName() for s in self._fs.listStatus(self._path(f"{self.path}/{version}")))
+        return {n.removeprefix("part="): version for n in names if n.startswith("part=")}
 
+    def append(self, rows: DataFrame, memory: dict | None = None) -> int:
+        """A delta of whole rows, one an id, that replace those of their ids or are new; how many. ``memory`` comes into place in the same step."""
+        now = self._manifest()
+        if not now:
+            self.write(rows)
+            if memory is not None:
+                now = self._manifest()
+                self._switch(now, now | {"memory": memory})
+            return self._manifest()["rows"]
+        # columns that the store does not have yet are added to its schema
+        columns = {f.name: f for f in [*rows.schema.fields, *self._schema(now).fields]}
+        columns = {c: columns[c] for c in dict.fromkeys([*(f.name for f in self._schema(now).fields), *columns])}
+        shape = T.StructType([*columns.values()])
+        version, n = self._written(rows.select(*((F.col(c) if c in rows.columns else F.lit(None)).cast(f.dataType).alias(c) for c, f in columns.items())))
+        new = now if memory is None else now | {"memory": memory}
+        if n:
+            self._switch(now, new | {"version": version, "schema": json.loads(shape.json()), "deltas": [*now.get("deltas", []), {"path": version, "rows": n}]})
+            self.tidy()
+        else:
+            self._fs.delete(self._path(f"{self.path}/{version}"), True)
+            if new != now:
+                self._switch(now, new)
+        return n
+
+    def memory(self) -> dict:
+        """What a running enrichment has put beside the rows: tables by name, and plain values."""
+        return self._manifest().get("memory", {})
+
+    def put(self, table: DataFrame) -> str:
+        """A table to be named by a memory."""
+        return self._written(table)[0]
+
+    def tidy(self) -> None:
+        """Merge or fold the deltas, if they are many or large."""
+        now = self._manifest()
+        deltas = now.get("deltas", [])
+        if sum(d["rows"] for d in deltas) > FOLD_SHARE * now["rows"]:
+            self.fold()
+        elif len(deltas) >= DELTAS:
+            version, n = self._written(self._newest(now))
+            self._switch(now, now | {"version": version, "deltas": [{"path": version, "rows": n}]})
+
+    def fold(self) -> None:
+        """The deltas become part of the parts they touch; other parts stay as they are."""
+        now = self._manifest()
+        if not now.get("deltas"):
+            return
+        parts = self.touched(self._newest(now))
+        places = self.read(parts)
+        version, _ = self._written(places.withColumn("part", self._bucket(F.col("id"), now["buckets"])), "part")
+        new = now | {"version": version, "schema": json.loads(places.schema.json()), "parts": now["parts"] | self._parts_of(version), "deltas": []}
+        self._switch(now, new | {"rows": self._base(new, None).count()})
+
+    def rows_of(self, these: DataFrame) -> DataFrame:
+        """The stored rows of some ids, from the parts that hold them."""
+        return self.read(self.touched(these)).join(these.select(F.col("id").alias("asked")).distinct(), F.col("id") == F.col("asked"), "left_semi")
+
+    def upsert(self, batch: DataFrame, at: int, merge: str = "replace", order: str | None = None) -> int:
+        """All or nothing; how many places were new, counted while the delta is written."""
         batch = written(last_per_id(batch if "id" in batch.columns else batch.withColumn("id", stored_id()), order), "batch")
-        parts = self.touched(batch)
-        if not parts:
+        if batch.isEmpty():
             return 0
         seen = Observation(f"upsert-{uuid.uuid4().hex}")
-        self.write(upserted(self.read(parts), batch, at, merge).observe(seen, F.count_if("is_new").alias("n")).drop("is_new"), parts)
+        self.append(upserted(self.rows_of(batch), batch, at, merge).observe(seen, F.count_if("is_new").alias("n")).drop("is_new"))
         return int(seen.get["n"] or 0)
 
     def mark_checked(self, these: DataFrame, at: int) -> None:
-        if parts := self.touched(these):
-            self.write(mark_checked(self.read(parts), these, at), parts)
+        self.append(mark_checked(self.rows_of(these), these, at))
 
     def mark_deferred(self, these: DataFrame, at: int) -> None:
-        if parts := self.touched(these):
-            self.write(mark_deferred(self.read(parts), these, at), parts)
+        self.append(mark_deferred(self.rows_of(these), these, at))
 
     # Settings are a small file of names and values
 

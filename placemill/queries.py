@@ -24,7 +24,8 @@ from placemill.plans.service import Service
 from placemill.schema import as_places, with_columns_added
 from placemill.sources import captures, tables
 from placemill.sources.sinks import csv_line, used_columns
-from placemill.storage import shared_dir
+from placemill.storage import own_folder
+from placemill.streaming import enrichment
 from placemill.streaming.enrichment import settle_batch
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -727,6 +728,33 @@ def enrichment_batch(spark: SparkSession, d: str) -> DataFrame:
     return after.select("id", "email_checked_at", "email_attempts")
 
 
+def _waves(waves: int = 4) -> str:
+    """Arrivals wave by wave, with what is known of each domain before the wave."""
+    parts = [f", w AS (SELECT id, {_HOST.format('site')} AS domain, first_seen, CAST(substr(id, 5) AS BIGINT) AS k FROM places WHERE site IS NOT NULL), f0 AS (SELECT '' AS domain, 0 AS failures WHERE false)"]
+    for i in range(waves):
+        parts.append(f"o{i} AS MATERIALIZED (SELECT w.*, CASE WHEN coalesce(failures, 0) >= 3 THEN 'skipped' WHEN k % 3 = 0 THEN 'ok' WHEN k % 3 = 1 THEN 'timeout' ELSE 'unreachable' END AS outcome FROM w LEFT JOIN f{i} USING (domain) WHERE k % {waves} = {i})")
+        parts.append(f"r{i} AS (SELECT domain, max(first_seen) FILTER (WHERE outcome = 'ok') AS ok_at FROM o{i} GROUP BY domain)")
+        fresh = f"SELECT o{i}.domain, count(*) FILTER (WHERE outcome = 'unreachable' AND (ok_at IS NULL OR first_seen > ok_at)) AS more, max(ok_at) AS ok_at FROM o{i} JOIN r{i} USING (domain) GROUP BY o{i}.domain"
+        parts.append(f"f{i + 1} AS MATERIALIZED (SELECT coalesce(f.domain, n.domain) AS domain, CASE WHEN n.ok_at IS NULL THEN coalesce(failures, 0) ELSE 0 END + coalesce(more, 0) AS failures FROM f{i} f FULL JOIN ({fresh}) n ON f.domain = n.domain)")
+    every = " UNION ALL ".join(f"SELECT id, outcome FROM o{i}" for i in range(waves))
+    return f"{', '.join(parts)} SELECT id, CASE WHEN outcome = 'ok' THEN {BASE_MS} END AS email_checked_at, CASE WHEN outcome <> 'ok' THEN 1 END AS email_attempts, CASE WHEN outcome <> 'ok' THEN {BASE_MS + 3600000} END AS email_retry_at, (SELECT count(*) FROM ({every}) WHERE outcome = 'skipped') AS skipped FROM places LEFT JOIN ({every}) USING (id)"
+
+
+@query(_waves())
+def enrichment_stream(spark: SparkSession, d: str) -> DataFrame:
+    """The stream over pages that arrive in four waves: three failures of a domain and its places are deferred unseen until it is reached."""
+    unread = {c: F.lit(None).cast("string") for c in ("email_1", "email_2", "email_3", *PLATFORMS)} | {c: F.lit(None).cast("long") for c in ("email_checked_at", "email_attempts", "email_retry_at")}
+    held = _store(spark, d, places(spark, d).withColumns(unread))
+    k, folder = F.substring("id", 5, 20).cast("long"), f"{own_folder(spark)}/file-{uuid.uuid4().hex}"
+    outcome = F.when(k % 3 == 0, "ok").when(k % 3 == 1, "timeout").otherwise("unreachable")
+    pages = held.read().filter("site is not null").select("id", F.when(k % 3 == 0, "<p>no address</p>").alias("html"), F.col("site").alias("final_url"), outcome.alias("outcome"))
+    for wave in range(4):
+        pages.filter(k % 4 == wave).coalesce(1).write.mode("append").parquet(f"{folder}/pages")
+    enrichment.run(spark, held, f"{folder}/pages", f"{folder}/checkpoint", lambda: BASE_MS, files_a_batch=1).awaitTermination()
+    skipped = enrichment.outcome_counts(held).get("skipped", 0)
+    return held.read().select("id", "email_checked_at", "email_attempts", "email_retry_at", F.lit(skipped).cast("long").alias("skipped"))
+
+
 # Identity
 
 _HITS = "h AS (SELECT event_id AS seq, CASE WHEN event_id % 7 <> 0 THEN CAST(user_id*61 + event_id % 61 AS VARCHAR) END AS cid, CASE WHEN event_id % 3 = 0 THEN concat('P', CAST(user_id*61 + event_id % 61 + event_id % 2 AS VARCHAR)) END AS place_id, CASE WHEN event_id % 5 <> 0 THEN event_type END AS name, 49 + (user_id*61 + event_id % 61) / 1000.0::DOUBLE AS lat, -123 - (user_id*61 + event_id % 61) / 1000.0::DOUBLE AS lng FROM events)"
@@ -880,7 +908,7 @@ def boxes_of_selections(spark: SparkSession, d: str) -> DataFrame:
 
 def _file(df: DataFrame) -> str:
     """The one row of JSON text of ``df`` as a file in the shared folder."""
-    path = f"{shared_dir(df.sparkSession)}/placemill/file-{uuid.uuid4().hex}"
+    path = f"{own_folder(df.sparkSession)}/file-{uuid.uuid4().hex}"
     df.coalesce(1).write.text(path)
     return path
 
@@ -909,7 +937,7 @@ def gazetteer_file(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT concat('http://h', n_nationkey) AS entry FROM nation UNION ALL SELECT concat('http://k', n_nationkey) FROM nation", "")
 def list_file(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("n_nationkey").cast("string")
-    path = f"{shared_dir(spark)}/placemill/file-{uuid.uuid4().hex}"
+    path = f"{own_folder(spark)}/file-{uuid.uuid4().hex}"
     table(spark, d, "nation").select(F.concat(F.lit(" http://h"), k, F.lit(" , http://k"), k, F.lit(",bad\r\n# http://note"), k)).write.text(path)
     return tables.read_list(spark, path)
 
@@ -944,10 +972,10 @@ def units_done(spark: SparkSession, d: str) -> DataFrame:
     return coverage.marked_done(before, every.filter("term_ord < 2").select("key", F.col("box_ord").alias("place_count")), 9)
 
 
-def _store(spark: SparkSession, d: str, buckets: int = 8) -> store.PlaceStore:
+def _store(spark: SparkSession, d: str, held: DataFrame | None = None) -> store.PlaceStore:
     """The places in a store of their own."""
-    out = store.PlaceStore(spark, f"{shared_dir(spark)}/placemill/store-{uuid.uuid4().hex}", buckets)
-    out.write(places(spark, d))
+    out = store.PlaceStore(spark, f"{own_folder(spark)}/store-{uuid.uuid4().hex}", 8)
+    out.write(places(spark, d) if held is None else held)
     return out
 
 

@@ -23,19 +23,20 @@ def shared_dir(spark: SparkSession) -> str:
 PROCESS = uuid.uuid4().hex
 
 
-def _own_folder(spark: SparkSession) -> str:
+def own_folder(spark: SparkSession) -> str:
+    """Where this process puts its tables and files."""
     return f"{shared_dir(spark)}/placemill/{PROCESS}"
 
 
 def clear(spark: SparkSession) -> None:
     """Delete the tables that this process has written; only once no DataFrame that reads them is needed."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(_own_folder(spark))
+    path = spark._jvm.org.apache.hadoop.fs.Path(own_folder(spark))
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def written(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back: lineage ends here, so a lost
     executor costs only the tasks it ran, and each later use reads the same rows."""
-    path = f"{_own_folder(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
+    path = f"{own_folder(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

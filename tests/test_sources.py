@@ -203,6 +203,69 @@ def test_no_page_of_a_batch_is_lost(spark, tmp_path, limit):
     assert rows[9].email_attempts == 1 and rows[10].email_checked_at is None and len(rows) == 12
 
 
+def _awaiting(spark, path, sites):
+    store = PlaceStore(spark, path)
+    fresh = stored(spark, [dict(id=str(i), name=f"n{i}", site=site) for i, site in enumerate(sites)])
+    store.upsert(fresh.drop("first_seen", "last_seen", "email_checked_at", "email_attempts", "email_retry_at"), 10)
+    return store
+
+
+def test_three_strikes_in_the_stream(spark, tmp_path):
+    """A domain that failed three times is deferred unseen in later micro-batches, until another stream begins; timeouts don't count, a success forgets."""
+    store = _awaiting(spark, f"file://{tmp_path}/s", ["https://bad.com/x"] * 5 + ["https://slow.com"] * 5 + ["https://mixed.com"] * 5)
+    page = lambda i, outcome: (str(i), "mail me@here.com" if outcome == "ok" else None, None, outcome)
+    waves = [
+        [page(i, "unreachable") for i in (0, 1, 2)] + [page(i, "timeout") for i in (5, 6, 7)] + [page(10, "unreachable"), page(11, "unreachable")],
+        [page(3, "ok"), page(8, "ok"), page(12, "ok")],
+        [page(13, "unreachable"), page(4, "ok")],
+        [page(14, "ok")],
+    ]
+    for wave in waves:
+        spark.createDataFrame(wave, enrichment.PAGES_SCHEMA).coalesce(1).write.mode("append").parquet(f"file://{tmp_path}/pages")
+    run = lambda cp, now, files: enrichment.run(spark, store, f"file://{tmp_path}/pages", f"file://{tmp_path}/{cp}", lambda: now, files_a_batch=files).awaitTermination(300)
+    assert run("cp", 100, 1)
+    rows = {int(r.id): r for r in store.read().collect()}
+    found = {i for i, r in rows.items() if r.email_1 == "me@here.com"}
+    assert found == {8, 12, 14} and rows[3].email_attempts == rows[4].email_attempts == 1
+    assert enrichment.outcome_counts(store) == {"ok": 3, "skipped": 2, "timeout": 3, "unreachable": 6}
+    assert run("other", 100 + 3_600_000, None)
+    again = {int(r.id): r for r in store.read().collect()}
+    assert again[3].email_attempts == 2 and again[0].email_attempts == 2
+
+
+def test_pages_of_places_in_backoff_wait(spark, tmp_path):
+    """A page that comes too early is read by the first micro-batch that finds its place due."""
+    store, now = _awaiting(spark, f"file://{tmp_path}/s", ["https://a.com", "https://b.com"]), [100]
+    send = lambda *rows: spark.createDataFrame(rows, enrichment.PAGES_SCHEMA).coalesce(1).write.mode("append").parquet(f"file://{tmp_path}/pages")
+    run = lambda: enrichment.run(spark, store, f"file://{tmp_path}/pages", f"file://{tmp_path}/cp", lambda: now[0]).awaitTermination(300)
+    state = lambda: {r.id: (r.email_1, r.email_attempts) for r in store.read().collect()}
+    send(("0", None, None, "timeout"))
+    run()
+    send(("0", "x info@a.com", None, "ok"))
+    now[0] = 200
+    run()
+    assert state() == {"0": (None, 1), "1": (None, None)}
+    send(("1", None, None, "timeout"))
+    now[0] = 100 + 3_600_000
+    run()
+    assert state() == {"0": ("info@a.com", 1), "1": (None, 1)}
+
+
+def test_a_micro_batch_that_is_run_again_changes_nothing(spark, tmp_path):
+    store = _awaiting(spark, f"file://{tmp_path}/s", ["https://a.com", "https://b.com"])
+    pages = spark.createDataFrame([("0", None, None, "unreachable"), ("1", "i@b.com", None, "ok")], enrichment.PAGES_SCHEMA)
+    assert enrichment.settle_round(store, pages, 100, "cp", 0) == 2
+    before = sorted(map(str, store.read().collect())), enrichment.outcome_counts(store)
+    assert enrichment.settle_round(store, pages, 100 + 3_600_000, "cp", 0) == 0
+    assert (sorted(map(str, store.read().collect())), enrichment.outcome_counts(store)) == before
+
+
+def test_best_page(spark):
+    pages = [("1", None, "u", "ok"), ("1", "short", "u", "ok"), ("1", "longer", "u", "ok"), ("1", "longest of all", "u", "timeout"), ("2", None, None, "timeout")]
+    got = {r.id: r.html for r in enrichment.best_page(spark.createDataFrame(pages, enrichment.PAGES_SCHEMA)).collect()}
+    assert got == {"1": "longer", "2": None}
+
+
 def test_schema():
     assert len(PLACE_COLUMNS) == len(set(PLACE_COLUMNS)) == 54 == len(PLACE_SCHEMA)
 

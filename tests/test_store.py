@@ -153,22 +153,69 @@ def test_store_versions(spark, tmp_path):
     assert s.stats()["contact"].first().total == 4
 
 
-def test_writes_touch_their_parts_and_old_files_go(spark, tmp_path):
+def bare(spark, rows):
+    return stored(spark, rows).drop("first_seen", "last_seen", "email_checked_at", "email_attempts", "email_retry_at")
+
+
+def files(tmp_path):
+    return {p: p.stat().st_size for p in (tmp_path / "store").rglob("*.parquet")}
+
+
+def test_writes_follow_the_batch(spark, tmp_path):
+    """Few rows over all parts write few files and no part again; what is old goes."""
     s = S.PlaceStore(spark, f"file://{tmp_path}/store", buckets=8)
-    bare = lambda rows: stored(spark, rows).drop("first_seen", "last_seen", "email_checked_at", "email_attempts", "email_retry_at")
-    assert s.upsert(bare([dict(id=str(i), name=f"n{i}") for i in range(200)]), 1) == 200
-    before = s._manifest()["parts"]
-    assert len(before) == 8
-    for k in range(5):
-        assert s.upsert(bare([dict(id="7", name=f"again {k}")]), 10 + k) == 0
-    after = s._manifest()["parts"]
-    assert sum(before[k] != after[k] for k in before) == 1
-    assert s.upsert(bare([]), 99) == 0
-    s.mark_checked(spark.createDataFrame([("11",)], "id string"), 50)
+    assert s.upsert(bare(spark, [dict(id=str(i), name=f"n{i}") for i in range(4000)]), 1) == 4000
+    before, parts = files(tmp_path), s._manifest()["parts"]
+    assert s.upsert(bare(spark, [dict(id=str(i), name="again") for i in range(0, 4020, 67)]), 10) == 0
+    new = {p: n for p, n in files(tmp_path).items() if p not in before}
+    assert len(new) <= 2 and sum(new.values()) < sum(before.values()) / 4 and s._manifest()["parts"] == parts
+    for k in range(10):
+        s.mark_checked(spark.createDataFrame([(str(k),), ("7",)], "id string"), 100 + k)
+    assert len(s._manifest()["deltas"]) <= S.DELTAS and s._manifest()["parts"] == parts
     rows = {r.id: r for r in s.read().collect()}
-    assert len(rows) == 200 and rows["7"].name == "again 4" and rows["7"].first_seen == 1 and rows["11"].email_checked_at == 50
-    # of the part written six times: its file now, and those of the last two writes
-    assert len(list((tmp_path / "store").glob(f"v-*/part={s.touched(spark.createDataFrame([('7',)], 'id string'))[0]}"))) <= 1 + S.GRACE
+    assert len(rows) == 4000 and rows["7"].email_checked_at == 109 and rows["3"].email_checked_at == 103
+    assert rows["67"].name == "again" and (rows["67"].first_seen, rows["67"].last_seen) == (1, 10) and rows["68"].name == "n68"
+    assert s.upsert(bare(spark, []), 99) == 0
+    assert len(files(tmp_path)) <= 8 + 2 * S.DELTAS + 2 * S.GRACE
+
+
+def test_large_deltas_are_folded(spark, tmp_path):
+    s = S.PlaceStore(spark, f"file://{tmp_path}/store", buckets=4)
+    s.upsert(bare(spark, [dict(id=str(i), name="a") for i in range(100)]), 1)
+    assert s.upsert(bare(spark, [dict(id=str(i), name="b") for i in range(90, 130)]), 2) == 30
+    assert s._manifest()["deltas"] == [] and s._manifest()["rows"] == 130
+    names = {r.id: r.name for r in s.read().collect()}
+    assert len(names) == 130 and names["95"] == "b" and names["5"] == "a"
+
+
+@pytest.mark.parametrize("seed", [1])
+def test_store_against_a_dictionary(spark, tmp_path, seed):
+    """Random upserts and marks, read whole and by parts after each."""
+    import random
+
+    rnd = random.Random(seed)
+    s, model = S.PlaceStore(spark, f"file://{tmp_path}/store", buckets=3), {}
+    for step in range(9):
+        ids = rnd.sample(range(60), rnd.choice([1, 2, 30]))
+        if step and rnd.random() < 0.4:
+            s.mark_checked(spark.createDataFrame([(str(i),) for i in ids], "id string"), step)
+            model.update({i: (model[i][0], step) for i in ids if i in model})
+        else:
+            new = s.upsert(bare(spark, [dict(id=str(i), name=f"n{step}") for i in ids]), step)
+            assert new == sum(i not in model for i in ids)
+            model.update({i: (f"n{step}", model.get(i, (0, None))[1]) for i in ids})
+    assert {int(r.id): (r.name, r.email_checked_at) for r in s.read().collect()} == model
+    some = spark.createDataFrame([(str(i),) for i in range(5)], "id string")
+    assert sorted(int(r.id) for r in s.rows_of(some).collect()) == sorted(i for i in range(5) if i in model)
+
+
+def test_new_columns_come_with_a_delta(spark, tmp_path):
+    s = S.PlaceStore(spark, f"file://{tmp_path}/store", buckets=2)
+    s.write(spark.createDataFrame([("1", "a"), ("2", "b")], "id string, name string"))
+    s.append(spark.createDataFrame([("2", "c", 5)], "id string, name string, extra long"))
+    assert {(r.id, r.name, r.extra) for r in s.read().collect()} == {("1", "a", None), ("2", "c", 5)}
+    s.fold()
+    assert {(r.id, r.name, r.extra) for r in s.read().collect()} == {("1", "a", None), ("2", "c", 5)}
 
 
 def test_preserving_merge(places, spark):
