@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from placemill.functions.text import match_score, normalised_phrase, normalised_phrase_of
+from placemill.functions.text import edit_distance_within, match_score, normalised_phrase, normalised_phrase_of, typo_budget
+from placemill.storage import written
 
 CATEGORY_LIMIT, CITY_LIMIT = 12, 8
 PREFIX_BONUS = 1_000_000
@@ -24,12 +27,97 @@ def search_categories(entries: DataFrame, text: str, limit: int = CATEGORY_LIMIT
     return scored.orderBy(F.desc("score"), F.collate("name", "UNICODE"), "name").limit(limit)
 
 
-def search_many(entries: DataFrame, asked: DataFrame, limit: int = CATEGORY_LIMIT) -> DataFrame:
-    """Best entries for each of ``asked(query)``; the dictionary is what is broadcast, in so far as Spark finds it small."""
+def _grams(text: Column) -> Column:
+    """All pieces of one to three characters."""
+    of = lambda n: F.when(F.length(text) >= n, F.transform(F.sequence(F.lit(1), F.length(text) - (n - 1)), lambda i: F.substr(text, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+    return F.array_distinct(F.concat(of(1), of(2), of(3)))
+
+
+def _longest_grams(text: Column) -> Column:
+    """Those of them that are as long as they can be: a text that holds another holds all of these."""
+    most = F.least(F.length(text), F.lit(3))
+    return F.filter(_grams(text), lambda g: F.length(g) == most)
+
+
+def _ordered_pairs(text: Column) -> Column:
+    """Each two characters of which one stands somewhere after the other."""
+    letters = F.filter(F.split(text, ""), lambda c: c != "")
+    return F.array_distinct(F.flatten(F.transform(letters, lambda c, i: F.transform(F.slice(letters, i + 2, F.size(letters)), lambda d: F.concat(c, d)))))
+
+
+def _steps(text: Column) -> Column:
+    """Each two characters that follow each other."""
+    return F.array_distinct(F.when(F.length(text) >= 2, F.transform(F.sequence(F.lit(1), F.length(text) - 1), lambda i: F.substr(text, i, F.lit(2)))).otherwise(F.array().cast("array<string>")))
+
+
+def _with_deletions(words: DataFrame, most: int) -> DataFrame:
+    """``words(word, ...)`` with ``variant`` and ``gone``: what is left of each word without 0 to ``most`` of its characters, the fewest that give it."""
+    level = words.withColumns({"variant": F.col("word"), "gone": F.lit(0)})
+    out = level
+    for n in range(1, most + 1):
+        v = F.col("variant")
+        shorter = F.transform(F.sequence(F.lit(1), F.length(v)), lambda i: F.concat(F.substr(v, F.lit(1), i - 1), F.substr(v, i + 1)))
+        level = level.filter(F.length(v) > 0).withColumns({"variant": F.explode(F.array_distinct(shorter)), "gone": F.lit(n)}).distinct()
+        out = out.union(level)
+    return out
+
+
+#: Edits that the longest query may have, which is how many deletions the index holds.
+MOST_EDITS = 3
+
+
+@dataclass(frozen=True)
+class Index:
+    """What finds a dictionary's entries without scoring them all; four written tables of postings, made once.
+
+    An entry can only answer a query if it holds the query, has a word within the query's typos, or has its characters in order. It then shares with the query
+    every short piece of it; a variant of a word and of the query from which some characters are deleted; every two characters that follow each other in the query, in order.
+    Of pieces and pairs, all of which must be shared, the one with the fewest postings is looked up.
+    """
+
+    entries: DataFrame
+    pieces: DataFrame
+    pairs: DataFrame
+    words: DataFrame
+    variants: DataFrame
+
+    @staticmethod
+    def of(entries: DataFrame) -> Index:
+        """From ``dictionary``."""
+        held = written(entries, "entries")
+        joined = F.replace("norm", F.lit(" "), F.lit(""))
+        by = lambda keys: written(held.select("name", F.explode(keys).alias("key")).distinct(), "postings")
+        words = written(held.select("name", F.explode("words").alias("word")).distinct(), "words")
+        variants = _with_deletions(words.select("word").distinct(), MOST_EDITS)
+        return Index(held, by(_grams(F.col("norm"))), by(_ordered_pairs(joined)), words, written(variants, "variants"))
+
+    def candidates(self, asked: DataFrame) -> DataFrame:
+        """``asked(query, q)`` -> the entries that may answer each: query, q, name."""
+        q, plain = F.col("q"), F.replace("q", F.lit(" "), F.lit(""))
+        holding = self._rarest(asked, _longest_grams(q), self.pieces)
+        in_order = self._rarest(asked.filter(F.length("q") >= 4), _steps(plain), self.pairs)
+        budget = typo_budget(F.length("q"))
+        spelled = _with_deletions(asked.select("query", "q", q.alias("word")), MOST_EDITS).filter(F.col("gone") <= budget).drop("word")
+        known = self.variants.select("variant", "word", F.col("gone").alias("lost"))
+        near = spelled.join(known, "variant").filter(F.col("lost") <= budget).select("query", "q", "word").distinct()
+        near = near.filter(edit_distance_within(q, F.col("word"), budget).isNotNull()).join(self.words, "word").select("query", "q", "name")
+        return holding.union(in_order).union(near).distinct()
+
+    @staticmethod
+    def _rarest(asked: DataFrame, keys: Column, postings: DataFrame) -> DataFrame:
+        counts = postings.groupBy("key").agg(F.count("*").alias("n"))
+        each = asked.select("query", "q", F.explode(keys).alias("key")).join(counts, "key", "left")
+        best = each.groupBy("query", "q").agg(F.min_by("key", F.coalesce("n", F.lit(0))).alias("key"), F.min(F.coalesce("n", F.lit(0))).alias("n")).filter("n > 0")
+        return best.join(postings, "key").select("query", "q", "name")
+
+
+def search_many(index: Index, asked: DataFrame, limit: int = CATEGORY_LIMIT) -> DataFrame:
+    """Best entries for each of ``asked(query)``: query, name, score, rank. Only what the index finds is scored."""
     from pyspark.sql import Window
 
-    q = asked.select("query", normalised_phrase_of(F.col("query")).alias("q"))
-    scored = q.join(entries, F.col("q") != "").select("query", "name", match_score(F.col("q"), F.col("norm"), F.col("words")).alias("score")).filter("score > 0")
+    q = asked.select("query").distinct().select("query", normalised_phrase_of(F.col("query")).alias("q")).filter("q <> ''")
+    met = index.candidates(written(q, "asked")).join(index.entries, "name")
+    scored = met.select("query", "name", match_score(F.col("q"), F.col("norm"), F.col("words")).alias("score")).filter("score > 0")
     w = Window.partitionBy("query").orderBy(F.desc("score"), F.collate("name", "UNICODE"), "name")
     return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= limit)
 

@@ -540,6 +540,26 @@ def category_search(spark: SparkSession, d: str) -> DataFrame:
     return catalog.search_categories(_entries(spark, d), "Aget").select("name", F.round("score", 6).alias("score"))
 
 
+_ASKED_WORDS = f"asked AS (SELECT DISTINCT concat(substr(w, 1, 2), substr(w, 4), x) AS q FROM (SELECT unnest(string_split({_NORM}, ' ')) AS w FROM part) CROSS JOIN (VALUES (''), ('s')) t(x) UNION SELECT DISTINCT concat(substr(w, 1, 1), substr(w, 3, 1), substr(w, 5, 1), right(w, 1)) FROM (SELECT unnest(string_split({_NORM}, ' ')) AS w FROM part) UNION SELECT DISTINCT substr({_NORM}, 3, 6) FROM part)"
+_IN_ORDER = "concat(q[1], list_aggregate(list_transform(string_split(q[2:], ''), lambda c: concat('[^', c, ']*', c)), 'string_agg', ''))"
+
+
+@query(
+    f"SELECT q AS query, name, rank, round(CAST(score AS DOUBLE), 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, name) AS rank FROM (SELECT q, name, CASE WHEN norm = q THEN 1000.0 WHEN starts_with(norm, q) THEN 800 - brevity WHEN list_bool_or(list_transform(words, lambda w: starts_with(w, q))) THEN 600 - brevity WHEN contains(norm, q) THEN 400 - brevity "
+    "WHEN dist <= budget THEN 300 - dist * 40 - length(norm) * 0.1 WHEN length(q) >= 4 AND regexp_matches(joined, pattern) THEN 150 - length(regexp_extract(joined, pattern)) ELSE 0 END AS score FROM (SELECT *, list_min(list_transform(words, lambda w: CASE WHEN abs(length(w) - length(q)) <= 3 THEN levenshtein(q, w) END)) AS dist FROM "
+    f"(SELECT *, replace(norm, ' ', '') AS joined, len(words) * 10 + length(norm) * 0.5 AS brevity, CASE WHEN length(q) <= 4 THEN 1 WHEN length(q) <= 7 THEN 2 ELSE 3 END AS budget FROM (SELECT DISTINCT p_name AS name, {_NORM} AS norm, string_split({_NORM}, ' ') AS words FROM part) CROSS JOIN (SELECT q0 AS q, {_IN_ORDER.replace('q[', 'p0[')} AS pattern FROM (SELECT q AS q0, replace(q, ' ', '') AS p0 FROM (SELECT DISTINCT trim(q) AS q FROM asked) WHERE q <> '')))))  WHERE score > 0) WHERE rank <= 12",
+    _ASKED_WORDS,
+)
+def typo_searches(spark: SparkSession, d: str) -> DataFrame:
+    """Words of the dictionary misspelled, shortened to four of their letters, and pieces of entries, all answered through the index."""
+    entries = _entries(spark, d)
+    words = entries.select(F.explode("words").alias("w")).distinct()
+    cut = F.concat(F.substring("w", 1, 2), F.expr("substr(w, 4)"))
+    asked = words.select(F.explode(F.array(cut, F.concat(cut, F.lit("s")), F.concat(F.substring("w", 1, 1), F.substring("w", 3, 1), F.substring("w", 5, 1), F.right(F.col("w"), F.lit(1))))).alias("query"))
+    asked = asked.union(entries.select(F.substring("norm", 3, 6))).select(F.trim("query").alias("query")).filter("query <> ''").distinct()
+    return catalog.search_many(catalog.Index.of(entries), asked).select("query", "name", "rank", F.round("score", 6).alias("score"))
+
+
 @query("SELECT n_name AS city, CAST(n_regionkey AS VARCHAR) AS region FROM (SELECT n_name, n_regionkey, n_nationkey, CASE WHEN starts_with(lower(n_name), 'on_1') THEN 1000000 ELSE 0 END + coalesce(p, 0) AS score FROM nation LEFT JOIN (SELECT c_nationkey, count(*) AS p FROM customer GROUP BY 1) ON c_nationkey = n_nationkey WHERE contains(lower(n_name), 'on_1') ORDER BY score DESC, n_nationkey LIMIT 8)", "")
 def city_search(spark: SparkSession, d: str) -> DataFrame:
     return catalog.city_search(cities(spark, d), "XX", " On_1 ").select("city", "region")

@@ -36,7 +36,8 @@ def settle_batch(places: DataFrame, site_pages: DataFrame, now: int, history: Da
     work = work if limit is None else work.orderBy("first_seen", "id").limit(limit)
     failures = domain_failures(history) if failures is None and history is not None else failures
     split = split_by_domain(work, failures).drop("domain") if failures is not None else work.withColumn("skipped", F.lit(False))
-    seen = enrich(split.filter(~F.col("skipped")).drop("skipped"), best_page(site_pages))
+    # written, as rows and outcomes both come from it
+    seen = written(enrich(split.filter(~F.col("skipped")).drop("skipped"), best_page(site_pages)), "seen")
     seq = F.struct("first_seen", "id").alias("seq")
     outcomes = routed(seen.select("id", "site", seq, "outcome").union(split.filter("skipped").select("id", "site", seq, F.lit("skipped"))))
     found = as_places(seen, enriched=True).columns
@@ -59,7 +60,6 @@ def settle_round(store: PlaceStore, pages: DataFrame, now: int, stream: str, bat
     every = written(parked if memory["batch"] >= batch else best_page(pages.select(*COLUMNS).union(parked)), "site-pages")
     places = written(store.rows_of(every), "places")
     after, outcomes = settle_batch(places, every, now, limit=limit, failures=failures)
-    outcomes = written(outcomes, "outcomes")
     counts = {r.outcome: r.n for r in outcomes.groupBy("outcome").agg(F.count("*").alias("n")).collect()}  # a handful of kinds
     waiting = places.filter(awaiting_email()).join(outcomes.select("id"), "id", "left_anti").select("id")
     before = memory.get("outcomes", {})

@@ -155,5 +155,48 @@ def test_category_search_bounds(spark):
     assert catalog.search_categories(entries, "a", 3).count() == 3
     asked = spark.createDataFrame([("coffee SHOP",), ("coffe",)], "query string")
     assert [r.query for r in catalog.official(entries, asked).collect()] == ["coffee SHOP"]
-    many = catalog.search_many(entries, asked, 1).collect()
+    many = catalog.search_many(catalog.Index.of(entries), asked, 1).collect()
     assert {r.query: r.name for r in many} == {"coffee SHOP": "Coffee shop", "coffe": "Coffee shop"}
+
+
+def test_index_finds_what_a_scan_finds(spark):
+    """Random entries and queries over few letters, so that every kind of match and many ties occur; typos of up to three edits, queries of one letter, with spaces and of signs only."""
+    import random
+
+    rnd = random.Random(8)
+    word = lambda: "".join(rnd.choice("abcde1") for _ in range(rnd.randint(1, 9)))
+    names = sorted({" ".join(word() for _ in range(rnd.randint(1, 3))) for _ in range(60)} | {"Éclair  bar", "x", "", "!!", "a-b c"})
+
+    def misspelled(one):
+        letters = list(one)
+        for _ in range(rnd.randint(0, 3)):
+            at = rnd.randrange(len(letters) + 1)
+            letters[at : at + rnd.randint(0, 1)] = rnd.choice(["", "z", "a", "bc"])
+        return "".join(letters)
+
+    queries = sorted({misspelled(rnd.choice(rnd.choice(names).split(" "))) for _ in range(50)} | {"".join(rnd.choice("abcde ") for _ in range(rnd.randint(1, 7))) for _ in range(40)} | {"", "??", "ECLAIR", "a b", "zzzz"})
+    entries = catalog.dictionary(spark.createDataFrame([(n,) for n in names], "name string"))
+    asked = spark.createDataFrame([(q,) for q in queries], "query string")
+    every = asked.select("query", text.normalised_phrase_of(F.col("query")).alias("q")).join(entries, F.col("q") != "")
+    scan = every.select("query", "name", text.match_score(F.col("q"), F.col("norm"), F.col("words")).alias("score")).filter("score > 0")
+    got = catalog.search_many(catalog.Index.of(entries), asked, 10_000)
+    want = sorted((r.query, r.name, r.score) for r in scan.collect())
+    assert sorted((r.query, r.name, r.score) for r in got.collect()) == want and len(want) > 500
+    one = {(r.query, r["rank"]): r.name for r in catalog.search_many(catalog.Index.of(entries), asked, 2).collect()}
+    best = catalog.search_categories(entries, queries[10], 2).collect()
+    assert [one.get((queries[10], k + 1)) for k in range(len(best))] == [r.name for r in best]
+
+
+def test_index_of_nothing(spark):
+    none = catalog.Index.of(catalog.dictionary(spark.createDataFrame([], "name string")))
+    assert catalog.search_many(none, spark.createDataFrame([("abc",)], "query string")).count() == 0
+    some = catalog.Index.of(catalog.dictionary(spark.createDataFrame([("abc",)], "name string")))
+    assert catalog.search_many(some, spark.createDataFrame([], "query string")).count() == 0
+
+
+def test_a_query_meets_few_entries(spark):
+    """What is scored follows the matches and not the dictionary."""
+    names = [f"{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676)} shop{i}" for i in range(3000)]
+    index = catalog.Index.of(catalog.dictionary(spark.createDataFrame([(n,) for n in names], "name string")))
+    assert index.candidates(spark.createDataFrame([("q", "zzz qq")], "query string, q string")).count() <= 10
+    assert index.candidates(spark.createDataFrame([("q", "shop1234")], "query string, q string")).count() < 400
