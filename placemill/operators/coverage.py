@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -229,14 +230,75 @@ def driver_sweep(next_region: Callable[[], str | None], run: Callable[[str], boo
                 failed.append(region)
 
 
-def points_in_boxes(points: DataFrame, boxes: DataFrame, cell: float = 1.0) -> DataFrame:
-    """``points(..., lat, lng)`` with each of ``boxes(..., box)`` that holds it: a range join made an equi-join by grid cells.
+#: A tile is dense if it holds more points than this and than one in TILES of all, so dense tiles are at most TILES rows; and how often it is quartered.
+TILE_POINTS, TILES, QUARTERINGS = 20_000, 4096, 8
 
-    Boxes are dealt to the cells of ``cell`` degrees that they touch, points to the one they lie in; the exact test follows. Nothing is broadcast
-    unless Spark finds it small.
+
+@dataclass(frozen=True)
+class Tiles:
+    """Tiles of ``cell`` degrees; the dense ones are quartered until their parts should be small, and parts that still hold too many points, as all lie on one spot, are dealt out.
+
+    ``dense(ty, tx, level)`` and ``hot(level, y, x, shares)`` have at most TILES rows each and are broadcast; None where no tile is dense.
+    """
+
+    cell: float
+    dense: DataFrame | None = None
+    hot: DataFrame | None = None
+
+    @staticmethod
+    def of(points: DataFrame, cell: float = 1.0, least: int = TILE_POINTS) -> Tiles:
+        """By the counts of all ``points(lat, lng)``, an aggregate a tile that is combined before it is shuffled."""
+        at = Tiles(cell)
+        counts = written(points.groupBy(at._floor(F.col("lat")).alias("ty"), at._floor(F.col("lng")).alias("tx")).agg(F.count("*").alias("n")).filter("ty is not null and tx is not null"), "tiles")
+        most = max(least, (counts.agg(F.sum("n")).first()[0] or 0) // TILES)
+        level = F.least(F.lit(QUARTERINGS), F.ceil(F.log(4.0, F.col("n") / most))).cast("int")
+        dense = written(counts.filter(F.col("n") > most).select("ty", "tx", level.alias("level")), "dense")
+        if dense.isEmpty():
+            return at
+        placed = Tiles(cell, dense)._leveled(points.select("lat", "lng"), "lat", "lng").filter("level > 0")
+        parts = placed.groupBy("level", "y", "x").agg(F.count("*").alias("n")).filter(F.col("n") > most)
+        return Tiles(cell, dense, written(parts.select("level", "y", "x", F.ceil(F.col("n") / most).cast("int").alias("shares")), "hot"))
+
+    def _floor(self, c: Column, level: Column | None = None) -> Column:
+        return F.floor(c / (self.cell if level is None else F.lit(self.cell) / F.pow(F.lit(2.0), level))).cast("long")
+
+    def _leveled(self, points: DataFrame, lat: str, lng: str) -> DataFrame:
+        """``points`` with level, y and x of the part of a tile that each lies in."""
+        tiled = points.withColumns({"ty": self._floor(F.col(lat)), "tx": self._floor(F.col(lng))})
+        tiled = tiled.join(F.broadcast(self.dense), ["ty", "tx"], "left").withColumn("level", F.coalesce("level", F.lit(0)))
+        return tiled.withColumns({"y": self._floor(F.col(lat), F.col("level")), "x": self._floor(F.col(lng), F.col("level"))}).drop("ty", "tx")
+
+    def points(self, points: DataFrame) -> DataFrame:
+        """Struct ``p`` of each point with its key level, y, x and share."""
+        packed = points.select(F.struct("*").alias("p"))
+        if self.dense is None:
+            return packed.select("p", F.lit(0).alias("level"), self._floor(F.col("p.lat")).alias("y"), self._floor(F.col("p.lng")).alias("x"), F.lit(0).alias("share"))
+        placed = self._leveled(packed, "p.lat", "p.lng").join(F.broadcast(self.hot), ["level", "y", "x"], "left")
+        return placed.select("p", "level", "y", "x", F.pmod(F.monotonically_increasing_id(), F.coalesce("shares", F.lit(1))).cast("int").alias("share"))
+
+    def boxes(self, boxes: DataFrame) -> DataFrame:
+        """Struct ``b`` of each box with every key that it touches."""
+        south, north, west, east = (F.col(f"b.box.{c}") for c in ("south", "north", "west", "east"))
+        span = lambda low, high, alias: F.explode(F.sequence(low, high)).alias(alias)
+        packed = boxes.select(F.struct("*").alias("b")).filter((south <= north) & (west <= east))
+        tiled = packed.select("b", span(self._floor(south), self._floor(north), "ty")).select("b", "ty", span(self._floor(west), self._floor(east), "tx"))
+        if self.dense is None:
+            return tiled.select("b", F.lit(0).alias("level"), F.col("ty").alias("y"), F.col("tx").alias("x"), F.lit(0).alias("share"))
+        level = F.coalesce("level", F.lit(0))
+        parts = F.pow(F.lit(2.0), level).cast("long")
+        within = lambda low, high, tile, alias: span(F.greatest(self._floor(low, level), F.col(tile) * parts), F.least(self._floor(high, level), (F.col(tile) + 1) * parts - 1), alias)
+        met = tiled.join(F.broadcast(self.dense), ["ty", "tx"], "left").select("b", level.alias("level"), "ty", "tx")
+        rows = met.select("b", "level", "tx", within(south, north, "ty", "y")).select("b", "level", "y", within(west, east, "tx", "x"))
+        dealt = rows.join(F.broadcast(self.hot), ["level", "y", "x"], "left")
+        return dealt.select("b", "level", "y", "x", span(F.lit(0), F.coalesce("shares", F.lit(1)) - 1, "share"))
+
+
+def points_in_boxes(points: DataFrame, boxes: DataFrame, cell: float = 1.0, tiles: Tiles | None = None) -> DataFrame:
+    """``points(..., lat, lng)`` with each of ``boxes(..., box)`` that holds it: a range join made an equi-join by tiles of about equal numbers of points.
+
+    Boxes are copied to the tiles that they touch, points go to the one they lie in, so no pair is met twice; the exact test follows. Points without a position and boxes that
+    are inside out are in nothing.
     """
-    at = lambda c: F.floor(c / cell).cast("long")
-    b = F.col("box")
-    dealt = boxes.withColumn("__y", F.explode(F.sequence(at(b.south), at(b.north)))).withColumn("__x", F.explode(F.sequence(at(b.west), at(b.east))))
-    placed = points.withColumns({"__y": at(F.col("lat")), "__x": at(F.col("lng"))})
-    return placed.join(dealt, ["__y", "__x"]).filter(geo.contains(b, F.col("lat"), F.col("lng"))).drop("__y", "__x")
+    tiles = tiles or Tiles.of(points, cell)
+    met = tiles.points(points).join(tiles.boxes(boxes), ["level", "y", "x", "share"])
+    return met.filter(geo.contains(F.col("b.box"), F.col("p.lat"), F.col("p.lng"))).select("p.*", "b.*")

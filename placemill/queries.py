@@ -493,9 +493,11 @@ def quadtree(spark: SparkSession, d: str) -> DataFrame:
     corners = (F.min("lng"), F.min("lat"), F.max("lng"), F.max("lat"))
     roots = p.groupBy("region").agg(*(c.alias(f"c{k}") for k, c in enumerate(corners))).select("region", G.box(*(F.col(f"c{k}") for k in range(4))).alias("box"))
 
+    tiles = coverage.Tiles.of(p)
+
     def search(cells: DataFrame) -> DataFrame:
         asked = cells.select(F.struct("region", "path").alias("box_id"), "box")
-        met = coverage.points_in_boxes(p, asked, 1.0).filter(F.col("region") == F.col("box_id.region"))
+        met = coverage.points_in_boxes(p, asked, tiles=tiles).filter(F.col("region") == F.col("box_id.region"))
         found = met.groupBy("box_id").agg(F.count("*").alias("found")).select("box_id.*", "found")
         return cells.join(found, ["region", "path"], "left").withColumn("count", F.coalesce("found", F.lit(0))).drop("found").withColumns({"saturated": F.col("count") > 25, "failed": F.lit(False)})
 

@@ -103,6 +103,32 @@ def test_points_in_boxes(spark):
     assert got == {(i, k) for i, y, x in points if y is not None for k, w, e, s, n in boxes if w <= x <= e and s <= y <= n}
 
 
+def test_dense_tiles_are_split_and_dealt(spark):
+    """A city with a third of the points, a third of them on one spot: equal to all pairs, and no key holds many points."""
+    rnd = random.Random(3)
+    spread = [(rnd.uniform(-5, 5), rnd.uniform(-5, 5)) for _ in range(400)]
+    city = [(1.3 + rnd.gauss(0, 0.02), -2.4 + rnd.gauss(0, 0.02)) for _ in range(130)]
+    points = [(i, *at) for i, at in enumerate([*spread, *city, *[(1.3, -2.4)] * 70, (-5.0, -5.0), (0.0, 0.0), (None, 1.0), (float("nan"), 1.0)])]
+    boxes = [(k, w, s, w + rnd.choice([0.01, 0.5, 3]), s + rnd.choice([0.01, 0.5, 3])) for k in range(60) for w, s in [(rnd.choice([-2.45, rnd.uniform(-5, 5)]), rnd.choice([1.25, rnd.uniform(-5, 5)]))]]
+    boxes += [(90, -2.4, 1.3, -2.4, 1.3), (91, 1.0, 1.0, 0.0, 2.0), (92, None, 0.0, 1.0, 1.0)]
+    p = spark.createDataFrame(points, "id int, lat double, lng double").repartition(4)
+    b = spark.createDataFrame(boxes, "b int, w double, s double, e double, n double").select("b", geo.box(F.col("w"), F.col("s"), F.col("e"), F.col("n")).alias("box"))
+    tiles = C.Tiles.of(p, 1.0, least=12)
+    assert tiles.dense is not None and tiles.hot.count() >= 1
+    got = sorted((r.id, r.b) for r in C.points_in_boxes(p, b, tiles=tiles).collect())
+    inside = lambda lat, lng, w, s, e, n: None not in (lat, w) and s <= lat <= n and w <= lng <= e
+    assert got == sorted((i, k) for i, lat, lng in points for k, *box in boxes if inside(lat, lng, *box))
+    assert sorted((r.id, r.b) for r in C.points_in_boxes(p, b, 1.0).collect()) == got
+    most = tiles.points(p).filter("p.lat = p.lat").groupBy("level", "y", "x", "share").count().agg(F.max("count")).first()[0]
+    assert most <= 24
+
+
+def test_no_points_no_boxes(spark):
+    p, b = spark.createDataFrame([], "id int, lat double, lng double"), spark.createDataFrame([], f"b int, box struct<{C.BOX.replace(' ', ':').replace(',:', ',')}>")
+    assert C.points_in_boxes(p, b).count() == 0
+
+
+
 PASSES = "region string, vertical string, pass long, started_at long, completed_at long, new_places long"
 
 
