@@ -143,7 +143,9 @@ def keep_first(docs: DataFrame, piece: int = PIECE, keepers_sent: bool | None =
         joined = at.filter("hit").join(kept, match)
         out = at.filter("not hit").select("whole.*").union(joined.filter("same = 1").select("whole.*"))
         won = joined.filter("same > 1")
-    return out.union(won.dropDuplicates(["sha", "id"]).select("whole.*")) if again else out
+    # of rows that share text and doc_id the one with most code points stays, then the greatest text, so a rerun keeps the same
+    order = F.struct(F.length("whole.text"), "whole.text", F.xxhash64(F.to_json("whole")))
+    return out.union(won.groupBy("sha", "id").agg(F.max_by("whole", order).alias("whole")).select("whole.*")) if again else out
 
 
 ORACLE_SQL = r"""

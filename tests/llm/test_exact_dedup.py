@@ -114,3 +114,13 @@ def test_sql_agrees(spark, small):
     documents = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text").toPandas()  # noqa: F841
     want = sorted((r[0], r[1], r[2], r[4]) for r in duckdb.sql(exact_dedup.ORACLE_SQL.replace("SELECT doc_id, keep_id", "SELECT doc_id, keep_id", 1)).fetchall())
     assert sorted(got(exact_dedup.assign(spark.read.parquet(f"{small}/documents.parquet")))) == want
+
+
+@pytest.mark.parametrize("sent", [True, False])
+def test_rows_that_share_a_doc_id(spark, sent):
+    """Of texts of one doc_id that are equal without white space the longest stays, however the rows lie."""
+    rows = [(1, "ab"), (1, "a  b"), (2, "a b"), (3, None), (3, " \n"), (3, ""), (4, "c d"), (4, "cd\t"), (None, "ab ")]
+    for parts in (1, 2, 5):
+        docs = documents(spark, rows).repartition(parts, "text")
+        got = sorted(((r.doc_id, r.text) for r in exact_dedup.keep_first(docs, keepers_sent=sent).collect()), key=str)
+        assert got == [(1, "a  b"), (3, " \n"), (4, "cd\t")]
