@@ -443,13 +443,18 @@ class PlaceStore:
 
     # Snapshots
 
+    def snapshots(self) -> list[str]:
+        """Days that have a copy, oldest first."""
+        folder = self._path(f"{self.path}/snapshots")
+        return sorted(f.getPath().getName() for f in self._fs.listStatus(folder)) if self._fs.exists(folder) else []
+
     def snapshot(self, day: str, keep: int = 7) -> bool:
         """A copy of the current version, one a day; only the newest ``keep`` stay. False if the day has one."""
         target = f"{self.path}/snapshots/{day}"
         if self.version is None or self._fs.exists(self._path(f"{target}/_SUCCESS")):
             return False
         self.read().write.mode("overwrite").parquet(target)
-        names = sorted(s.getPath().getName() for s in self._fs.listStatus(self._path(f"{self.path}/snapshots")))
+        names = self.snapshots()
         for name in names[: max(0, len(names) - keep)]:
             self._fs.delete(self._path(f"{self.path}/snapshots/{name}"), True)
         return True

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 import zipfile
 from collections.abc import Callable
+from functools import reduce
 from xml.etree import ElementTree
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -1027,6 +1028,34 @@ def store_snapshot(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.parquet(f"{held.path}/snapshots/2024-01-01").select("id", "name")
 
 
+@query("SELECT CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS day, (SELECT count(*) FROM places) AS n FROM (SELECT DISTINCT o_orderdate FROM orders ORDER BY 1 LIMIT 4) ORDER BY 1 DESC LIMIT 2")
+def store_snapshots_kept(spark: SparkSession, d: str) -> DataFrame:
+    """Copies on the first four days of orders, of which two stay; a second one on a day is none."""
+    held = _store(spark, d)
+    days = [r.day for r in table(spark, d, "orders").select(F.date_format("o_orderdate", "yyyy-MM-dd").alias("day")).distinct().orderBy("day").limit(4).collect()]
+    for day in days:
+        if not held.snapshot(day, keep=2) or held.snapshot(day, keep=2):
+            raise AssertionError("one copy a day")
+    kept = [spark.read.parquet(f"{held.path}/snapshots/{day}").agg(F.count("*").alias("n")).select(F.lit(day).alias("day"), "n") for day in held.snapshots()]
+    return reduce(DataFrame.union, kept)
+
+
+_FIRST_CITIES = "city IN (SELECT DISTINCT city FROM places ORDER BY city LIMIT 5)"
+
+
+@query(f"SELECT CASE WHEN {_K} % 4 <> 0 THEN CAST({_K} AS VARCHAR) END AS cid, concat('P', CAST({_K} AS VARCHAR)) AS place_id, city, site FROM places WHERE {_K} % 8 <> 0 AND site IS NOT NULL AND {_FIRST_CITIES}")
+def job_run(spark: SparkSession, d: str) -> DataFrame:
+    """A job over two legs that found the same pages: their union, deduplicated, stopped at a limit that the first five pages fill, then filtered, as its preview shows it."""
+    from pyspark.sql import Window
+
+    pages = captured(spark, d).withColumn("n", F.dense_rank().over(Window.orderBy("page")))  # a row a nation
+    leg = lambda name, later: pages.select(F.concat(F.lit(name), "page").alias("unit"), (F.col("n") + later).alias("seq"), "query", F.lit(None).cast(f"struct<{coverage.BOX.replace(' ', ':').replace(',:', ',')}>").alias("box"), "body")
+    first = places(spark, d).select("city").distinct().orderBy("city").limit(5)
+    limit = places(spark, d).filter(F.substring("id", 5, 20).cast("long") % 8 != 0).join(first, "city", "left_semi").count()
+    request = jobs.JobRequest(("found by",), ("anywhere",), QuickFilter(only_with_website=True), limit)
+    return jobs.preview(jobs.run_job(leg("a", 0).union(leg("b", 1000)), request), limit).select("cid", "place_id", "city", "site")
+
+
 @query("SELECT id, site FROM places WHERE site IS NOT NULL AND reviews >= 5 ORDER BY reviews DESC NULLS LAST, id")
 def places_iterated(spark: SparkSession, d: str) -> DataFrame:
     """All matching places in order, as the service hands them out."""
