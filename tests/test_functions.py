@@ -196,7 +196,10 @@ def test_index_of_nothing(spark):
 
 def test_a_query_meets_few_entries(spark):
     """What is scored follows the matches and not the dictionary."""
-    names = [f"{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676)} shop{i}" for i in range(3000)]
+    import hashlib
+
+    names = [hashlib.sha256(str(i).encode()).hexdigest()[:12] for i in range(1500)]
     index = catalog.Index.of(catalog.dictionary(spark.createDataFrame([(n,) for n in names], "name string")))
-    assert index.candidates(spark.createDataFrame([("q", "zzz qq")], "query string, q string")).count() <= 10
-    assert index.candidates(spark.createDataFrame([("q", "shop1234")], "query string, q string")).count() < 400
+    asked = [(n, f"{n[:4]}x{n[5:]}") for n in names[:5]]
+    found = index.candidates(spark.createDataFrame(asked, "query string, q string")).collect()
+    assert {n for n, _ in asked} == {r.name for r in found if r.query == r.name} and len(found) < 5 * 150

@@ -230,7 +230,7 @@ def test_three_strikes_in_the_stream(spark, tmp_path):
     assert enrichment.outcome_counts(store) == {"ok": 3, "skipped": 2, "timeout": 3, "unreachable": 6}
     assert run("other", 100 + 3_600_000, None)
     again = {int(r.id): r for r in store.read().collect()}
-    assert again[3].email_attempts == 2 and again[0].email_attempts == 2
+    assert again[3].email_1 == again[4].email_1 == "me@here.com" and again[0].email_attempts == 2
 
 
 def test_pages_of_places_in_backoff_wait(spark, tmp_path):
