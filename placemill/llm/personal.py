@@ -348,8 +348,7 @@ def redacted(docs: DataFrame, finder: Finder | None = None) -> DataFrame:
         return pa.RecordBatch.from_arrays([part.column(0), pa.array(done, pa.string())], names=["whole", "text"])
 
     rows = with_text(docs.select(F.struct("*").alias("whole"), "text"), "whole")
-    whole = rows.schema["whole"].dataType.simpleString()
-    out = rows.mapInArrow(_in_slices(fn), f"whole {whole}, text string")
+    out = rows.mapInArrow(_in_slices(fn), rows.schema)
     return out.select(*(F.col("text").alias(c) if c == "text" else F.col("whole").getField(c).alias(c) for c in docs.columns))
 
 

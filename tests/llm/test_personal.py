@@ -170,6 +170,8 @@ def test_redacted_and_find(spark, finder):
     out = {r.doc_id: r.text for r in personal.redacted(docs, finder).collect()}
     assert out == {1: "mail <EMAIL>, host <IP>.", 2: ""}
     assert personal.redacted(docs, finder).columns == docs.columns
+    named = docs.withColumnRenamed("sha", "a b: c").withColumnRenamed("row", "whole")
+    assert personal.redacted(named, finder).filter("doc_id = 1").first()["a b: c"] == "x"
     assert {(r.kind, r.piece, r.base) for r in personal.find(docs, finder).collect()} == {("email", "a.b@c.de", True), ("ip", "10.0.0.1", True)}
 
 
