@@ -58,9 +58,13 @@ class Service:
         limit = min(asked.limit if asked.limit != PlaceFilter.limit else PAGE_DEFAULT, PAGE_LIMIT)
         return {"places": query(places, replace(asked, limit=limit)), "matching": count_where(places, asked).first().n, "total": places.count()}
 
+    def matching(self, asked: PlaceFilter) -> DataFrame:
+        """All matching places in order, as a table."""
+        return asked.where(self.store.read()).orderBy(*asked.order())
+
     def iterate(self, asked: PlaceFilter) -> Iterator[dict]:
         """All matching places in order, a partition at a time."""
-        for row in asked.where(self.store.read()).orderBy(*asked.order()).toLocalIterator():
+        for row in self.matching(asked).toLocalIterator():
             yield row.asDict(recursive=True)
 
     def stats(self) -> dict[str, DataFrame]:

@@ -2,12 +2,9 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
-import zipfile
 from collections.abc import Callable
 from functools import reduce
-from xml.etree import ElementTree
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,7 +21,8 @@ from placemill.plans.adapters import PASSES_SQL, PLACES_SQL, cities, passes, pla
 from placemill.plans.service import Service
 from placemill.schema import as_places, with_columns_added
 from placemill.sources import captures, tables
-from placemill.sources.sinks import csv_line, used_columns
+from placemill.sources.onefile import lines_of
+from placemill.sources.sinks import BOM, CRLF, csv_line, used_columns
 from placemill.storage import own_folder
 from placemill.streaming import enrichment
 from placemill.streaming.enrichment import settle_batch
@@ -878,11 +876,14 @@ _LINE = f"concat(id, ',', coalesce(category, ''), ',', coalesce(CAST(reviews AS
 
 @query(f"SELECT 0 AS n, 'id,category,reviews,rating' AS line UNION ALL SELECT row_number() OVER (ORDER BY reviews DESC NULLS LAST, id), {_LINE} FROM places WHERE state = 'ASIA'")
 def csv_file(spark: SparkSession, d: str) -> DataFrame:
-    """The file of a filter, read back line by line."""
-    with tempfile.TemporaryDirectory() as folder:
-        jobs.export_csv(places(spark, d), PlaceFilter(state="ASIA"), f"{folder}/x.csv", ["id", "category", "reviews", "rating"])
-        with open(f"{folder}/x.csv", encoding="utf-8-sig", newline="") as f:
-            return spark.createDataFrame([(n, line.removesuffix("\r\n")) for n, line in enumerate(f)], "n long, line string")
+    """The file of a filter, written and read back line by line by tasks."""
+    path = f"{own_folder(spark)}/file-{uuid.uuid4().hex}/x.csv"
+    jobs.export_csv(places(spark, d), PlaceFilter(state="ASIA"), path, ["id", "category", "reviews", "rating"])
+    return lines_of(spark, path, CRLF).select("n", F.regexp_replace("value", f"^{BOM}", "").alias("line"))
+
+
+def _swap(pattern: str, text: str) -> Callable[[Column], Column]:
+    return lambda c: F.regexp_replace(c, pattern, text)
 
 
 @query(
@@ -890,14 +891,14 @@ def csv_file(spark: SparkSession, d: str) -> DataFrame:
     f"CASE WHEN rating IS NULL THEN '' ELSE {_PLAIN.format('rating')} END, '|', coalesce(CAST(reviews AS VARCHAR), '')) FROM (SELECT *, row_number() OVER (PARTITION BY lower(email_1) ORDER BY reviews DESC NULLS LAST, id) AS rn FROM places WHERE email_1 IS NOT NULL AND email_1 <> '') WHERE rn = 1"
 )
 def leads_workbook(spark: SparkSession, d: str) -> DataFrame:
-    """The workbook of leads, read back row by row."""
-    with tempfile.TemporaryDirectory() as folder:
-        jobs.export_leads(places(spark, d), PlaceFilter(), f"{folder}/x.xlsx")
-        with zipfile.ZipFile(f"{folder}/x.xlsx") as z:
-            sheet = ElementTree.fromstring(z.read("xl/worksheets/sheet1.xml"))
-    space = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
-    rows = [(int(r.get("r")), "|".join("".join(c.itertext()) for c in r.iter(f"{space}c"))) for r in sheet.iter(f"{space}row")]
-    return spark.createDataFrame(rows, "n long, cells string")
+    """The workbook of leads, written and read back row by row by tasks: its archive is stored as it is, so the sheet's rows are found in it by their ends."""
+    path = f"{own_folder(spark)}/file-{uuid.uuid4().hex}/x.xlsx"
+    jobs.export_leads(places(spark, d), PlaceFilter(), path)
+    rows = lines_of(spark, path, "</row>").select(F.regexp_extract("value", '<row r="([0-9]+)">', 1).alias("n"), F.regexp_extract("value", "(?s)<row [^>]*>(.*)$", 1).alias("cells"))
+    cells = F.regexp_extract_all("cells", F.lit("(?s)<c(?:/>|(?: [^>]*)?>(.*?)</c>)"), F.lit(1))
+    for pattern, sign in (("<[^>]*>", ""), ("&quot;", '"'), ("&gt;", ">"), ("&lt;", "<"), ("&amp;", "&")):
+        cells = F.transform(cells, _swap(pattern, sign))
+    return rows.filter("n <> ''").select(F.col("n").cast("long").alias("n"), F.array_join(cells, "|").alias("cells"))
 
 
 _SEEDS = "s AS (SELECT n_regionkey AS region, n_nationkey AS k, n_name, 40 + n_nationkey * 0.07::DOUBLE AS lat, -100 + n_nationkey * 0.09::DOUBLE AS lng, CASE WHEN n_regionkey < 2 THEN 22 ELSE 7 END AS r FROM nation WHERE 40 + n_nationkey * 0.07 <= 41.2), b AS (SELECT *, CASE WHEN r = 22 THEN 0 ELSE k END AS g, lng - r / (111 * cos(radians(lat))) AS w, lat - r / 111.0::DOUBLE AS sth, lng + r / (111 * cos(radians(lat))) AS e, lat + r / 111.0::DOUBLE AS n FROM s), h AS (SELECT region, g, min(w) AS w, min(sth) AS s, max(e) AS e, max(n) AS n, arg_min(n_name, k) AS first FROM b GROUP BY region, g)"
@@ -1059,8 +1060,7 @@ def job_run(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT id, site FROM places WHERE site IS NOT NULL AND reviews >= 5 ORDER BY reviews DESC NULLS LAST, id")
 def places_iterated(spark: SparkSession, d: str) -> DataFrame:
     """All matching places in order, as the service hands them out."""
-    rows = [(r["id"], r["site"]) for r in Service(spark, _store(spark, d)).iterate(PlaceFilter(has_website=True, min_reviews=5))]
-    return spark.createDataFrame(rows, "id string, site string")
+    return Service(spark, _store(spark, d)).matching(PlaceFilter(has_website=True, min_reviews=5)).select("id", "site")
 
 
 def queries() -> dict[str, Query]:

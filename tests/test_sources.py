@@ -1,6 +1,7 @@
 import io
 import json
 import zipfile
+import zlib
 
 import pytest
 from pyspark.sql import functions as F
@@ -11,7 +12,7 @@ from placemill.operators.filters import PlaceFilter, QuickFilter
 from placemill.operators.store import PlaceStore
 from placemill.plans import jobs
 from placemill.schema import PLACE_COLUMNS, PLACE_SCHEMA, as_places
-from placemill.sources import captures, sinks, tables
+from placemill.sources import captures, onefile, sinks, tables
 from placemill.streaming import enrichment
 from tests.places import body, node, stored
 
@@ -119,6 +120,47 @@ def test_xlsx():
     assert 'name="L&amp;D"' in z.read("xl/workbook.xml").decode()
 
 
+def test_one_file_of_many_tasks(spark, tmp_path):
+    path = tmp_path / "sub" / "x.csv"
+    rows = spark.range(5000).select(F.col("id").cast("string").alias("id"), F.concat(F.lit("é, "), "id").alias("name")).repartition(7)
+    assert sinks.write_csv(rows.orderBy(F.col("id").cast("long")), f"file://{path}", ["id", "name"]) == 5000
+    assert path.read_bytes().decode() == "\ufeffid,name\r\n" + "".join(f'{i},"é, {i}"\r\n' for i in range(5000))
+    assert [p.name for p in path.parent.iterdir()] == ["x.csv"]  # no piece is left
+    got = [tuple(r) for r in onefile.lines_of(spark, f"file://{path}", "\r\n").orderBy("n").collect()]
+    assert len(got) == 5001 and got[5000] == (5000, '4999,"é, 4999"')
+    assert sinks.write_csv(rows.limit(0), str(path), ["id"]) == 0 and path.read_bytes().decode() == "\ufeffid\r\n"
+    with pytest.raises(ValueError):
+        sinks.write_csv(rows, "s3a://bucket/x.csv", ["id"])
+
+
+def test_lines_across_splits(spark, tmp_path):
+    (tmp_path / "l.txt").write_text("".join(f"line {i}\n" for i in range(9000)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "10000")
+    try:
+        got = onefile.lines_of(spark, f"file://{tmp_path}/l.txt", "\n").orderBy("n").collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert [(r.n, r.value) for r in got] == [(i, f"line {i}") for i in range(9000)]
+
+
+def test_joined_crc():
+    for a, b in ((b"", b""), (b"a", b""), (b"", b"xyz"), (b"first", b"second" * 1000)):
+        assert onefile.joined_crc(zlib.crc32(a), zlib.crc32(b), len(b)) == zlib.crc32(a + b)
+
+
+def test_workbook_of_many_tasks(spark, tmp_path):
+    path = tmp_path / "x.xlsx"
+    rows = spark.range(3000).select(F.when(F.col("id") % 3 > 0, F.concat(F.lit('a & <"'), "id")).alias("name"), (F.col("id") / 2).alias("n"), "id").repartition(6).orderBy("id")
+    assert sinks.write_workbook(rows, ["name", "n", "gone"], str(path), "L&D") == 3000
+    z = zipfile.ZipFile(path)
+    assert z.testzip() is None and all(i.compress_type == zipfile.ZIP_STORED for i in z.infolist()) and len(z.namelist()) == 5
+    out = io.BytesIO()
+    sinks.write_xlsx((r.asDict() for r in rows.collect()), ["name", "n", "gone"], out, "L&D")
+    for name in z.namelist():
+        assert z.read(name) == zipfile.ZipFile(out).read(name)
+    assert sinks.write_workbook(rows.limit(0), ["name"], str(path)) == 0 and b'<row r="1">' in zipfile.ZipFile(path).read("xl/worksheets/sheet1.xml")
+
+
 def test_file_names():
     assert sinks.file_name("Glass, BC!", "2024-01-01", "csv") == "glass-bc-2024-01-01.csv" and sinks.file_name("!!", "d", "xlsx", prefix="leads-", fallback="leads") == "leads-leads-d.xlsx"
 
