@@ -95,15 +95,21 @@ def in_view(places: DataFrame, asked: PlaceFilter, north: float, south: float, e
 
 
 def clusters(seen: DataFrame, east: float, west: float) -> DataFrame:
-    """Counts and mean positions by grid cell; the grid follows the span of longitude on both axes."""
+    """Counts and mean positions by grid cell; the grid follows the span of longitude on both axes.
+
+    Positions are added up as decimals, to 15 places of a degree, so a mean does not depend on the order of rows or tasks.
+    """
+    mean = lambda c: F.avg(F.col(c).cast("decimal(25,15)")).cast("double")
     size = max(1e-6, east - west) / GRID_DIVISIONS
     cells = seen.groupBy(map_cell(F.col("latitude"), F.lit(size)).alias("y"), map_cell(F.col("longitude"), F.lit(size)).alias("x"))
-    return cells.agg(F.count("*").alias("count"), F.avg("latitude").alias("lat"), F.avg("longitude").alias("lng")).drop("y", "x")
+    return cells.agg(F.count("*").alias("count"), mean("latitude").alias("lat"), mean("longitude").alias("lng")).drop("y", "x")
 
 
-def geo_view(places: DataFrame, asked: PlaceFilter, north: float, south: float, east: float, west: float, threshold: int = POINT_THRESHOLD) -> tuple[str, DataFrame]:
-    """"points" with pins where the view holds few places, else "clusters". Counting stops past the threshold."""
+def geo_view(places: DataFrame, asked: PlaceFilter, north: float, south: float, east: float, west: float, threshold: int | None = POINT_THRESHOLD) -> tuple[str, DataFrame]:
+    """"points" with pins where the view holds few places, else "clusters". Counting stops past the threshold; without one, all are pins."""
     seen = in_view(places, asked, north, south, east, west)
+    if threshold is None:
+        return "points", seen.orderBy(F.col("reviews").desc_nulls_last(), "id").select(*pins())
     if seen.select(F.lit(1)).limit(threshold + 1).count() <= threshold:
         return "points", seen.orderBy(F.col("reviews").desc_nulls_last(), "id").limit(threshold).select(*pins())
     return "clusters", clusters(seen, east, west)
