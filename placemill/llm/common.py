@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from placemill import ship
 from placemill.storage import shared_dir, written
 
-__all__ = ["ASCII_SPACE", "SENT_ROWS", "WORD", "connected_components", "keyed", "parts", "read_table", "shared_dir", "text_key", "tidy", "with_text", "without", "written"]
+__all__ = ["ASCII_SPACE", "SENT_ROWS", "WORD", "connected_components", "keyed", "parts", "read_table", "sent", "shared_dir", "text_key", "tidy", "with_text", "without", "written"]
 
 #: ASCII white space as every contract here names it: ``[\x20\x09-\x0D]``; a word is a run of other characters.
 ASCII_SPACE = " \t\n\x0b\x0c\r"
@@ -43,6 +43,11 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.struct("*").alias("whole"), F.col("doc_id").cast("long").alias("id"), text_key().alias("key"))
 
 
+def sent(keys: DataFrame, most: int = SENT_ROWS) -> DataFrame:
+    """Written rows of keys as a broadcast if they are few, so that what they are joined with is not shuffled for them; longer lists as they are."""
+    return F.broadcast(keys) if keys.count() <= most else keys
+
+
 def without(docs: DataFrame, dropped: DataFrame, most: int = SENT_ROWS) -> DataFrame:
     """``docs`` but for the rows that written ``dropped(id, key)`` names; null ids are equal."""
     gone = dropped.select(F.col("id").alias("d_id"), F.col("key").alias("d_key"))

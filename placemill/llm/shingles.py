@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from placemill.llm.common import connected_components, one_of_each, text_key, tidy, with_text, written
+from placemill.llm.common import SENT_ROWS, connected_components, one_of_each, sent, text_key, tidy, with_text, written
 from placemill.llm.simhash import shingle_hashes
 
 BANDS, BAND_ROWS = 32, 5
@@ -156,15 +156,16 @@ def _to_pivots(spots: DataFrame, pivots: DataFrame, least: float) -> DataFrame:
     return met.select(F.col("p.h").alias("a"), F.col("p.id").alias("a_id"), F.col("h").alias("b"), F.col("id").alias("b_id"))
 
 
-def components(signed: DataFrame, docs: DataFrame, words: int, least: float, cell_pairs: int = CELL_PAIRS) -> DataFrame:
+def components(signed: DataFrame, docs: DataFrame, words: int, least: float, cell_pairs: int = CELL_PAIRS, most: int = SENT_ROWS) -> DataFrame:
     """``signed(doc_id, h, n, bands)`` -> ``h, component``: the smallest doc_id that links lead to from a class."""
     classes = written(signed.groupBy("h", "n").agg(F.min("doc_id").alias("id"), F.first("bands").alias("bands")), "classes")
     cells = classes.filter("id is not null").select("h", "id", "n", F.col("h").alias("label"), F.explode("bands").alias("cell"))
     # written apart, so that Spark can split a full cell's rows in the join
     counts = written(cells.groupBy("cell").agg(F.count("*").alias("members")).filter("members > 1"), "counts")
-    shared = written(cells.join(counts, "cell"), "cells")
+    shared = written(cells.join(sent(counts, most), "cell"), "cells")
     texts = with_text(docs.withColumn("doc_id", F.col("doc_id").cast("long")), "doc_id")
-    texts = written(texts.join(shared.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi"), "texts")
+    ids = written(shared.select(F.col("id").alias("doc_id")).distinct(), "ids")
+    texts = written(texts.join(sent(ids, most), "doc_id", "left_semi"), "texts")
     pairs, dense = _ends(shared.filter(F.col("members") <= cell_pairs), least), shared.filter(F.col("members") > cell_pairs)
     crowded = not dense.isEmpty()
     if crowded:

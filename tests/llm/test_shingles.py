@@ -5,6 +5,7 @@ import pytest
 
 import corpus_pipeline
 from placemill.llm import shingles
+from placemill.llm.common import written
 from tests.llm.helpers import documents, empty, odd
 
 
@@ -98,6 +99,26 @@ def test_prefixes_lose_no_link(spark):
     assert links == wanted
 
 
+def test_few_keys_go_to_the_documents(spark, monkeypatch):
+    """Only cells of several documents and their members meet the rest, so neither all cells nor all texts are shuffled for them; longer lists give the same rows."""
+    rnd = random.Random(6)
+    base = [" ".join(word(rnd) for _ in range(60)) for _ in range(20)]
+    docs = documents(spark, list(enumerate([*base, *(changed(rnd, t, 1) for t in base[:5])])))
+    signed = written(shingles.signatures(docs, 5), "signed")
+    plans, write = {}, shingles.written
+
+    def seen(df, tag):
+        plans[tag] = df._jdf.queryExecution().optimizedPlan().toString()
+        return write(df, tag)
+
+    monkeypatch.setattr(shingles, "written", seen)
+    found = {}
+    for most in (1 << 20, 1):
+        found[most] = sorted(map(tuple, shingles.components(signed, docs, 5, 0.8, most=most).collect()))
+        assert all(("strategy=broadcast" in plans[tag]) == (most > 1) for tag in ("cells", "texts"))
+    assert found[1] == found[1 << 20] and len({c for _, c in found[1]}) == 20
+
+
 def test_repeated_ids_and_null_ids(spark):
     """Rows that share a doc_id are told apart by their texts; a row without one stays and names no component."""
     rnd = random.Random(5)
