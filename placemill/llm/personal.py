@@ -5,7 +5,8 @@ documents, and spans put into other snippets of these documents, as the patterns
 addresses of version six), beside things that only look alike (dates, times, versions, amounts, digests, plain numbers).
 
 Every text is read whole, in windows of WINDOW characters that overlap by two margins. Each window is decoded; a character's tag comes from the window in which it stands farthest from an edge, the tags of a text are put
-together to one sequence and spans are taken from that, so one that a window's edge cuts is whole again, whatever its length. Spans that overlap a base span, are very short or long, lack what their kind can't be without, or win by little against no tag are dropped: base spans stay as they are.
+together to one sequence and spans are taken from that, so one that a window's edge cuts is whole again, whatever its length. The net runs on the windows in which a stretch of LONGEST characters may have what its kind can't be without (``may_hold``), and
+on the next one where a run of tags reaches a window's edge; elsewhere none of its spans could count, so the spans are those of all windows. Spans that overlap a base span, are very short or long, lack what their kind can't be without, or win by little against no tag are dropped: base spans stay as they are.
 
 Each pattern is matched in linear time (for instance from its ``@`` backwards), as texts may be one run of millions of letters; tests hold them against the plain expressions.
 
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from placemill.llm.common import parts, tidy, with_text
-from placemill.llm.tagger import KINDS, Net, classes, decode, scores, trained
+from placemill.llm.tagger import KINDS, Net, chars_in, classes, decode, scores, trained
 
 Span = tuple[str, int, int]
 
@@ -44,7 +45,7 @@ SHORTEST, LONGEST, LEAD = 7, 80, 6.0
 
 _AT = re.compile(r"@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
-_DOTTED = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++)++")
+_DOTTED = re.compile(r"[0-9](?<![0-9]{2})[0-9]*+(?:\.[0-9]++)++")
 _DIGITS = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PLUS = re.compile(r"\+[0-9][\x20().0-9-]++")
 
@@ -237,6 +238,33 @@ def holds(kind: str, piece: str) -> bool:
     return 7 <= len(digits) <= 15
 
 
+_WORD = chars_in("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789_")
+_DIGITS_, _COLONS, _STOPS, _SIGNS, _A, _D, _O, _T = (np.flatnonzero(chars_in(chars)) for chars in ("0123456789", ":", ".", "@", "aA", "dD", "oO", "tT"))
+
+
+def _are(seen: np.ndarray, kinds: np.ndarray) -> np.ndarray:
+    return np.logical_or.reduce([seen == k for k in kinds])
+
+
+def may_hold(seen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends, each ascending, of the parts of a text, given by its classes, in which all stretches of LONGEST characters at most lie that may be ones that ``holds``."""
+    digits, colons = np.flatnonzero(_are(seen, _DIGITS_)), np.flatnonzero(_are(seen, _COLONS))
+    first = np.flatnonzero(np.diff(digits, prepend=-2) > 1)
+    last = np.append(first[1:], len(digits))[: len(first)] - 1
+    # a word "at", or one that a stretch may cut to it (what is not ASCII may end a word), with a stop or "dot" in reach
+    a, d, o, t = (_are(seen, kinds) for kinds in (_A, _D, _O, _T))
+    pairs = np.flatnonzero(a[:-1] & t[1:])
+    whole = ~np.concatenate((_WORD[seen], [False, False]))  # at -1, too
+    at = np.sort(np.concatenate((pairs[whole[pairs - 1] | whole[pairs + 2]], np.flatnonzero(_are(seen, _SIGNS)))))
+    stops = np.sort(np.concatenate((np.flatnonzero(_are(seen, _STOPS)), np.flatnonzero(d[:-2] & o[1:-1] & t[2:]))))
+    at = at[np.searchsorted(stops, at + LONGEST) > np.searchsorted(stops, at - LONGEST)]
+    # seven digits, four groups of them, seven colons: the first and the last character that a stretch has to reach
+    low = np.concatenate((digits[:-6], digits[last][:-3], colons[:-6], at))
+    high = np.concatenate((digits[6:], digits[first][3:], colons[6:], at))
+    close = high - low < LONGEST
+    return np.sort(high[close]) + 1 - LONGEST, np.sort(low[close]) + LONGEST
+
+
 # Windows
 
 
@@ -248,6 +276,7 @@ class Finder:
     window: int = WINDOW
     margin: int = MARGIN
     lead: float = LEAD
+    everywhere: bool = False
 
     def windows(self, length: int) -> list[tuple[int, int]]:
         """Starts and ends that cover a text, each but the last ``window`` long, two neighbours sharing two margins."""
@@ -258,7 +287,35 @@ class Finder:
         """Of each text a tag a character, and what it has over no tag."""
         seen = [classes(t) for t in texts]
         out = [(np.zeros(len(s), np.uint8), np.zeros(len(s), np.float32)) for s in seen]
-        every = sorted(((b - a, k, a, b) for k, s in enumerate(seen) for a, b in self.windows(len(s))), reverse=True)
+        every = [(k, a, b) for k, s in enumerate(seen) for a, b in self.windows(len(s))]
+        own = np.array([self.own(a, b, len(seen[k])) for k, a, b in every], np.int64).reshape(-1, 2)
+        # all texts in one row, with gaps that no stretch crosses
+        gap = classes("|" * LONGEST)
+        begins = np.cumsum([0, *(len(s) + LONGEST for s in seen)])[[k for k, *_ in every]] if every else np.zeros(0, np.int64)
+        starts, ends = may_hold(np.concatenate([part for s in seen for part in (s, gap)] or [gap]))
+        may = np.searchsorted(starts, begins + own[:, 1]) > np.searchsorted(ends, begins + own[:, 0], "right")
+        now = [w for w, yes in zip(every, may | self.everywhere, strict=True) if yes]
+        rest = [w for w, yes in zip(every, may | self.everywhere, strict=True) if not yes]
+        while now:
+            tagged = self._decoded(now, seen, out)
+            now = [w for w in rest if w[0] in tagged and self._reached(out[w[0]][0], *w[1:])]
+            taken = set(now)
+            rest = [w for w in rest if w not in taken]
+        return out
+
+    def own(self, a: int, b: int, length: int) -> tuple[int, int]:
+        """The characters of a text that take their tags from this window."""
+        return a if a == 0 else a + self.margin, b if b == length else b - self.margin
+
+    def _reached(self, tags: np.ndarray, a: int, b: int) -> bool:
+        """Whether a run of tags ends where a window begins, or begins where it ends."""
+        low, high = self.own(a, b, len(tags))
+        return bool(low > 0 and tags[low - 1] or high < len(tags) and tags[high])
+
+    def _decoded(self, every: list[tuple[int, int, int]], seen: list[np.ndarray], out: list[tuple[np.ndarray, np.ndarray]]) -> set[int]:
+        """Puts the tags of windows into ``out``; the texts that have any."""
+        tagged = set()
+        every = sorted(((b - a, k, a, b) for k, a, b in every), reverse=True)
         for first in range(0, len(every), TOGETHER):
             some = every[first : first + TOGETHER]
             lengths = np.array([n for n, *_ in some])
@@ -267,12 +324,12 @@ class Finder:
                 grid[:n, lane] = seen[k][a:b]
             best, gain = decode(self.net, scores(self.net, grid, lengths), lengths)
             for lane in np.flatnonzero(best.any(axis=0)):
-                n, k, a, b = some[lane]
-                low = 0 if a == 0 else self.margin
-                high = n if b == len(seen[k]) else n - self.margin
-                out[k][0][a + low : a + high] = best[low:high, lane]
-                out[k][1][a + low : a + high] = gain[low:high, lane]
-        return out
+                _, k, a, b = some[lane]
+                low, high = self.own(a, b, len(seen[k]))
+                out[k][0][low:high] = best[low - a : high - a, lane]
+                out[k][1][low:high] = gain[low - a : high - a, lane]
+                tagged.add(k)
+        return tagged
 
     def added(self, text: str, tags: np.ndarray, gain: np.ndarray, base: list[Span]) -> list[Span]:
         """The net's spans that count."""

@@ -44,6 +44,13 @@ def classes(text: str) -> np.ndarray:
     return found
 
 
+def chars_in(chars: str) -> np.ndarray:
+    """Of each class, whether it has any of these ASCII characters."""
+    found = np.zeros(N_CLASSES, bool)
+    found[TABLE[[ord(c) for c in chars]]] = True
+    return found
+
+
 def _sum_exp(x: np.ndarray, axis: int) -> np.ndarray:
     top = x.max(axis=axis, keepdims=True)
     return np.log(np.exp(x - top).sum(axis=axis)) + np.squeeze(top, axis)
@@ -124,17 +131,23 @@ def scores(net: Net, seen: np.ndarray, lengths: np.ndarray | None = None) -> np.
 def decode(net: Net, found: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The best tags ``time, window`` of given scores, and what each step of the best path has over no tag there.
 
-    Windows that can't have a tag are not decoded: a run of tags gains at most what its steps gain at their best, and the best transitions.
+    Windows that can't have a tag are not decoded: no run of tags, with what its steps gain at their best and the best transitions into, within and out of runs, gains anything over no tag.
     """
     time, _, n = found.shape
     best, gain = np.zeros((time, n), np.uint8), np.zeros((time, n), np.float32)
     over = found[:, 1:].max(axis=1) - found[:, 0]
-    over[np.arange(time)[:, None] >= lengths] = -1e9
-    slack = max(0.0, float((net.moves - net.moves[0, 0]).max()))
-    sums = np.cumsum(over + slack, axis=0, dtype=np.float64)
-    low = np.minimum.accumulate(np.vstack([np.zeros((1, n)), sums[:-1]]), axis=0)
-    edge = 2 * float(np.abs(net.ends).max()) * 2
-    may = np.flatnonzero((sums - low).max(axis=0) + slack + edge > 0)
+    still = net.moves[0, 0]
+    enter, stay, leave = (float(part.max() - still) for part in (net.moves[0, 1:], net.moves[1:, 1:], net.moves[1:, 0]))
+    first, last = (float(end[1:].max() - end[0]) for end in net.ends)
+    sums = np.cumsum(over + stay, axis=0, dtype=np.float64)
+    gained = np.empty_like(sums)  # of the run of tags that begins best, once it has reached a step
+    gained[0], gained[1:] = first, enter - sums[:-1]
+    np.maximum.accumulate(gained, axis=0, out=gained)
+    gained += sums
+    gained += leave - stay
+    gained[lengths - 1, np.arange(n)] += last - leave
+    gained[np.arange(time)[:, None] >= lengths] = -1e9
+    may = np.flatnonzero(gained.max(axis=0) > -1e-2)  # a hair for rounding
     if not len(may):
         return best, gain
     some, lens = found[:, :, may], lengths[may]

@@ -191,3 +191,29 @@ def test_training_is_repeatable(spark, small):
     assert pool == personal.snippets(docs.repartition(7)) and len(pool) <= 2 * personal.FIT_SNIPPETS
     one, two = (tagger.trained(personal.snippet_batches(pool, made=300), 4, 5, 1) for _ in range(2))
     assert all(np.array_equal(a, b) for a, b in zip(one.all(), two.all(), strict=True))
+
+
+def test_net_runs_where_spans_may_be(finder, monkeypatch):
+    """The windows left out change no span, whatever the net is, and prose is mostly left out."""
+    rnd, rng = random.Random(8), np.random.default_rng(8)
+    texts = ["", "at", ".at", "12.at", "1" * 3000, ":" * 900, "@." * 900, "é" * 900 + "at." + "é" * 900]
+    for k in range(120):
+        pieces = [rnd.choice((prose(rnd, rnd.randint(1, 120)), personal.look_alike(rng), personal.made_span(rng, personal.KINDS[k % 4]), "stat. ion", "attic.", "dot", "AT", "«at» dot")) for _ in range(rnd.randint(1, 12))]
+        texts.append(rnd.choice((" ", " ", ". ", "")).join(pieces))
+    greedy = tagger.Net(*(p.copy() for p in finder.net.all()))
+    greedy.bias[1:] += 6  # tags long runs that cross windows
+    for net in (finder.net, greedy):
+        some, every = (personal.Finder(net, window=100, margin=10, lead=0.0, everywhere=e).spans(texts) for e in (False, True))
+        assert some == every and any(more for _, more in some)
+    lanes = []
+    monkeypatch.setattr(personal, "scores", lambda net, seen, lengths: lanes.append(len(lengths)) or tagger.scores(net, seen, lengths))
+    plain = [prose(rnd, 2000) for _ in range(4)]
+    assert all(base == [] for base, _ in finder.spans(plain)) and sum(lanes) < sum(len(finder.windows(len(t))) for t in plain) / 2
+
+
+@given(st.text(st.sampled_from("atdoATDO.@:019 _-é"), max_size=120), st.integers(0, 120), st.integers(7, 80))
+def test_may_hold(text, at, length):
+    piece = text[at : at + length]
+    if any(personal.holds(kind, piece) for kind in personal.KINDS):
+        starts, ends = personal.may_hold(tagger.classes(text))
+        assert sum(starts < at + len(piece)) > sum(ends <= at) and sum(starts <= at) > sum(ends < at + len(piece))
