@@ -1,8 +1,6 @@
 """Near-dedup by the Jaccard similarity of word shingles: documents link when it reaches a threshold.
 
-Candidates come from MinHash: BANDS bands of BAND_ROWS minima, and documents that agree in a whole band share its cell. Two sets of
-similarity 0.8 share none with a chance of 3e-6, and of 0.9 with less than 1e-12; that is all that the candidates lose. Each pair is then
-decided on the shingles themselves, so nothing links below the threshold.
+Candidates come from SimHash over the same shingles, by counts of fingerprint segments in grids (``gridjoin.py``). Each pair is then decided on the shingles themselves, so nothing links below the threshold.
 
 A cell of more than CELL_PAIRS documents is first compared with a pivot of its own, in linear size: the document that meets most others in all
 its cells, which is the one the others are copies of where it is there. What this joins needs no further comparison. Documents of cells
@@ -25,14 +23,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from placemill.llm import gridjoin
 from placemill.llm.common import SENT_ROWS, connected_components, one_of_each, sent, text_key, tidy, with_text, written
 from placemill.llm.simhash import shingle_hashes
 
-BANDS, BAND_ROWS = 32, 5
 CELL_PAIRS = 32
 #: A document in more pairs than this has its text sent once for each so many of them.
 PAIRS_A_COPY = 64
-_FACTORS = np.random.default_rng(42).integers(0, 1 << 63, (BANDS * BAND_ROWS, 1), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def shingle_set(text: bytes, words: int) -> np.ndarray:
@@ -43,34 +40,24 @@ def digest(found: np.ndarray) -> int:
     return int(np.array([xxhash.xxh64_intdigest(found.tobytes())], np.uint64).view(np.int64)[0])
 
 
-def bands(found: np.ndarray) -> np.ndarray:
-    """One hash a band; none of an empty set."""
-    if not len(found):
-        return np.empty(0, np.int64)
-    least = np.full(len(_FACTORS), np.iinfo(np.uint64).max, np.uint64)
-    for at in range(0, len(found), 512):
-        np.minimum(least, (_FACTORS * found[at : at + 512]).min(axis=1), out=least)
-    return np.fromiter((xxhash.xxh64_intdigest(row.tobytes(), k) for k, row in enumerate(least.reshape(BANDS, BAND_ROWS))), np.uint64, BANDS).view(np.int64)
-
-
 def similarity(a: np.ndarray, b: np.ndarray) -> float:
     both = len(np.intersect1d(a, b, assume_unique=True))
     return both / (len(a) + len(b) - both) if len(a) or len(b) else 1.0
 
 
 def signatures(docs: DataFrame, words: int) -> DataFrame:
-    """``doc_id, key, h, n, bands``: the text's key, the set's digest, its size, its bands."""
+    """``doc_id, key, h, n, bits``: the text's key, the set's digest, its size, its fingerprint."""
 
     def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [shingle_set(t.as_py(), words) for t in batch.column(2).cast(pa.binary())]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array([digest(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([bands(s) for s in sets], pa.list_(pa.int64()))],
-                names=["doc_id", "key", "h", "n", "bands"],
+                [batch.column(0), batch.column(1), pa.array([digest(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([gridjoin.fingerprint(s).view(np.int64) for s in sets], pa.list_(pa.int64()))],
+                names=["doc_id", "key", "h", "n", "bits"],
             )
 
     rows = with_text(docs.withColumn("doc_id", F.col("doc_id").cast("long")), "doc_id").select("doc_id", text_key().alias("key"), "text")
-    return rows.mapInArrow(tidy(fn), "doc_id long, key long, h long, n long, bands array<long>")
+    return rows.mapInArrow(tidy(fn), "doc_id long, key long, h long, n long, bits array<long>")
 
 
 def _sizes_allow(x: Column, y: Column, least: float) -> Column:
@@ -149,7 +136,7 @@ def _ends(rows: DataFrame, least: float) -> DataFrame:
 def _to_pivots(spots: DataFrame, pivots: DataFrame, least: float) -> DataFrame:
     """The pairs of a pivot and a document of its cell that have sizes that allow a link.
 
-    A document gathers the pivots of its cells, one a band, before it meets them, so a pivot that several of its cells share meets it once.
+    A document gathers the pivots of its cells before it meets them, so a pivot that several of its cells share meets it once.
     """
     own = spots.join(pivots, "cell").groupBy("h", "id", "n").agg(F.collect_set("p").alias("p"))
     met = own.select("h", "id", "n", F.explode("p").alias("p")).filter("p.h <> h").filter(_sizes_allow(F.col("p.n"), F.col("n"), least))
@@ -157,12 +144,12 @@ def _to_pivots(spots: DataFrame, pivots: DataFrame, least: float) -> DataFrame:
 
 
 def components(signed: DataFrame, docs: DataFrame, words: int, least: float, cell_pairs: int = CELL_PAIRS, most: int = SENT_ROWS) -> DataFrame:
-    """``signed(doc_id, h, n, bands)`` -> ``h, component``: the smallest doc_id that links lead to from a class."""
-    classes = written(signed.groupBy("h", "n").agg(F.min("doc_id").alias("id"), F.first("bands").alias("bands")), "classes")
-    cells = classes.filter("id is not null").select("h", "id", "n", F.col("h").alias("label"), F.explode("bands").alias("cell"))
+    """``signed(doc_id, h, n, bits)`` -> ``h, component``: the smallest doc_id that links lead to from a class."""
+    classes = written(signed.groupBy("h", "n").agg(F.min("doc_id").alias("id"), F.first("bits").alias("bits")), "classes")
+    met = written(gridjoin.cells(classes.filter("id is not null and n > 0").select("h", "bits"), cell_pairs), "met").distinct()
     # written apart, so that Spark can split a full cell's rows in the join
-    counts = written(cells.groupBy("cell").agg(F.count("*").alias("members")).filter("members > 1"), "counts")
-    shared = written(cells.join(sent(counts, most), "cell"), "cells")
+    who = written(classes.select("h", "id", "n").join(met.select("h").distinct(), "h"), "who")
+    shared = written(met.join(sent(who, most), "h").select("h", "id", "n", F.col("h").alias("label"), "cell", "members"), "cells")
     texts = with_text(docs.withColumn("doc_id", F.col("doc_id").cast("long")), "doc_id")
     ids = written(shared.select(F.col("id").alias("doc_id")).distinct(), "ids")
     texts = written(texts.join(sent(ids, most), "doc_id", "left_semi"), "texts")
