@@ -28,6 +28,7 @@ from placemill.llm.common import SENT_ROWS, connected_components, one_of_each, s
 from placemill.llm.simhash import shingle_hashes
 
 CELL_PAIRS = 32
+PIVOTS = 4
 #: A document in more pairs than this has its text sent once for each so many of them.
 PAIRS_A_COPY = 64
 
@@ -136,9 +137,9 @@ def _ends(rows: DataFrame, least: float) -> DataFrame:
 def _to_pivots(spots: DataFrame, pivots: DataFrame, least: float) -> DataFrame:
     """The pairs of a pivot and a document of its cell that have sizes that allow a link.
 
-    A document gathers the pivots of its cells before it meets them, so a pivot that several of its cells share meets it once.
+    A document gathers the pivots of its cells before it meets them, so a pivot that several of its cells share meets it once, and it meets the PIVOTS of them that meet most others; what they leave apart meets by prefix.
     """
-    own = spots.join(pivots, "cell").groupBy("h", "id", "n").agg(F.collect_set("p").alias("p"))
+    own = spots.join(pivots, "cell").groupBy("h", "id", "n").agg(F.slice(F.sort_array(F.collect_set("p"), False), 1, PIVOTS).alias("p"))
     met = own.select("h", "id", "n", F.explode("p").alias("p")).filter("p.h <> h").filter(_sizes_allow(F.col("p.n"), F.col("n"), least))
     return met.select(F.col("p.h").alias("a"), F.col("p.id").alias("a_id"), F.col("h").alias("b"), F.col("id").alias("b_id"))
 
@@ -159,7 +160,7 @@ def components(signed: DataFrame, docs: DataFrame, words: int, least: float, cel
         # how many meet a class in all its cells; a text that others are copies of agrees with them in most bands, each of them in fewer
         met = written(dense.groupBy("h").agg(F.sum("members").alias("met")), "met")
         dense = written(dense.drop("members").join(met, "h"), "dense")
-        pivots = written(dense.groupBy("cell").agg(F.min_by(F.struct("h", "id", "n"), F.struct(-F.col("met"), "h")).alias("p")), "pivots")
+        pivots = written(dense.groupBy("cell").agg(F.min_by(F.struct("met", "h", "id", "n"), F.struct(-F.col("met"), "h")).alias("p")), "pivots")
         pairs = pairs.union(_to_pivots(dense, pivots, least)).distinct()
     joined = connected_components(verified(pairs, texts, words, least))
     if crowded:
