@@ -6,8 +6,9 @@ the Manhattan distance of the counts drops most of them, the Hamming distance of
 
 Two sets of similarity 0.8 have bits that agree with a chance of 0.848 (the angle of sets of one size). The tables' words and segments overlap, so the loss is simulated rather than computed; README has it.
 
-Pairs that meet come as cells of two. A fingerprint with more than ``cell_pairs`` others makes no pairs: it and all it meets become one cell, as do the members of a fine cell of more than RUN,
-so a large group of near copies costs rows in proportion to its size.
+Pairs that meet come as cells of two. More than ``cell_pairs`` fingerprints that lead to each other within a table make no pairs, nor do the members of a fine cell of more than RUN: they become one crowd, one row each.
+A large group of which each table brings only a few of a member's others together is a crowd, too, so it costs rows in proportion to its size however loose it is.
+A crowd is named by the least hash in it, so those of several tables often share a name.
 """
 
 from __future__ import annotations
@@ -111,7 +112,7 @@ def _groups(n: int, sides: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
 
 
 def met(cell: np.ndarray, x: np.ndarray, y: np.ndarray, cell_pairs: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
-    """Of rows of whole coarse cells the pairs that meet in some fine grid, and the rows of each crowd."""
+    """Of rows of whole coarse cells the pairs that meet in some fine grid, and the rows of each crowd, first the one that meets most others."""
     n, cx, cy = len(cell), counts(x), counts(y)
     base, pairs, size, stars = cell.astype(np.uint64) * _MIX[0], [np.empty(0, np.int64)], 0, []
     for mx, my in MASKS:
@@ -139,27 +140,35 @@ def met(cell: np.ndarray, x: np.ndarray, y: np.ndarray, cell_pairs: int) -> tupl
             pairs = [np.unique(np.concatenate(pairs))]
             size = 0
     a, b = np.divmod(np.unique(np.concatenate(pairs)), n)
-    crowded = np.bincount(np.concatenate((a, b)), minlength=n) > cell_pairs
-    for i, j in stars:
-        crowded[i], crowded[j] = True, True
-    dense = crowded[a] | crowded[b]
-    label = _groups(n, [*stars, (a[dense], b[dense])])
-    order = np.argsort(label, kind="stable")
-    crowds = np.split(order, np.flatnonzero(np.diff(label[order])) + 1)
-    return a[~dense], b[~dense], [c for c in crowds if len(c) > 1]
+    edges = [*stars, (a, b)]
+    label = _groups(n, edges)
+    crowded = np.bincount(label, minlength=n) > max(cell_pairs, 2)
+    for i, _ in stars:
+        crowded[label[i[0]]] = True
+    dense = crowded[label]
+    meets = np.bincount(np.concatenate([end for edge in edges for end in edge]), minlength=n)
+    order = np.flatnonzero(dense)
+    order = order[np.lexsort((-meets[order], label[order]))]
+    crowds = np.split(order, np.flatnonzero(np.diff(label[order])) + 1) if len(order) else []
+    return a[~dense[a]], b[~dense[a]], crowds
 
 
 def cells(prints: DataFrame, cell_pairs: int) -> DataFrame:
-    """``prints(h, bits)`` -> ``cell, h, members``: pairs that meet, as cells of two, and crowds; a pair may come from several tables."""
+    """``prints(h, bits)`` -> ``cell, h, p, members``: pairs that meet, as cells of two, p the other end, and crowds, p the one that meets most others; a pair or a crowd's row may come from several tables."""
 
     def one(rows: pa.Table) -> pa.RecordBatch:
         cell, h, x, y = (rows.column(k).to_numpy() for k in range(4))
         a, b, crowds = met(cell, x.view(np.uint64), y.view(np.uint64), cell_pairs)
         low, high = np.minimum(h[a], h[b]).view(np.uint64), np.maximum(h[a], h[b]).view(np.uint64)
-        pair = low * _MIX[3] + (high ^ (high >> np.uint64(29))) * _MIX[4]
-        named = [np.repeat(((cell[c[:1]].astype(np.uint64) + ONE) * _MIX[5]) ^ (h[c].view(np.uint64).min(keepdims=True) * _MIX[6]), len(c)) for c in crowds]
-        found = [np.concatenate(part) for part in ([pair, pair, *named], [h[a], h[b], *(h[c] for c in crowds)], [np.full(2 * len(a), 2), *(np.full(len(c), len(c)) for c in crowds)])]
-        return pa.RecordBatch.from_arrays([pa.array(found[0].view(np.int64)), pa.array(found[1]), pa.array(found[2].astype(np.int64))], names=["cell", "h", "members"])
+        pair = (low * _MIX[3] + (high ^ (high >> np.uint64(29))) * _MIX[4]).view(np.int64)
+        size = [np.full(len(c), len(c)) for c in crowds]
+        found = [
+            [pair, pair, *(np.repeat(h[c].min(), len(c)) for c in crowds)],
+            [h[a], h[b], *(h[c] for c in crowds)],
+            [h[b], h[a], *(np.repeat(h[c[0]], len(c)) for c in crowds)],
+            [np.full(2 * len(a), 2), *size],
+        ]
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(part).astype(np.int64)) for part in found], names=["cell", "h", "p", "members"])
 
     def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, rows = [], 0
@@ -176,4 +185,4 @@ def cells(prints: DataFrame, cell_pairs: int) -> DataFrame:
         if held:
             yield one(pa.Table.from_batches(held))
 
-    return dealt(prints).repartition("cell").sortWithinPartitions("cell").mapInArrow(tidy(fn), "cell long, h long, members long")
+    return dealt(prints).repartition("cell").sortWithinPartitions("cell").mapInArrow(tidy(fn), "cell long, h long, p long, members long")

@@ -2,11 +2,11 @@
 
 Candidates come from SimHash over the same shingles, by counts of fingerprint segments in grids (``gridjoin.py``). Each pair is then decided on the shingles themselves, so nothing links below the threshold.
 
-A cell of more than CELL_PAIRS documents is first compared with a pivot of its own, in linear size: the document that meets most others in all
-its cells, which is the one the others are copies of where it is there. What this joins needs no further comparison. Documents of cells
+More than CELL_PAIRS documents that a table of the grids joins make no pairs there but a crowd, a row each; crowds that share a member are one. Each document of a crowd is first compared with
+at most PIVOTS others: those that met most others in the crowds of its tables, where a text that the others are copies of is found if it is there. What this joins needs no further comparison. Documents of crowds
 that are still apart after that meet by the overlap that a link needs, not by cell: the shingles of all such documents are put in one order, rarest first, and of two
 sets that reach the threshold the larger has one of the smaller's first (1 - 2t / (1 + t)) n + 1 among its own first (1 - t) n + 1 (t the threshold, n a set's size).
-Shingles of one document alone come first and meet nothing, so copies of one text with many changes of their own have no place left for what all of them share, and never meet.
+Shingles of one document or one component alone come first and meet nothing, so copies of one text with many changes of their own have no place left for what all of them share, and never meet.
 Where two meet, their places bound the overlap once more. No candidate that could link is left out.
 
 Equal shingle sets are one class from the start. Cases: null and empty texts are one class; a text of fewer words than a shingle is
@@ -92,7 +92,10 @@ def verified(pairs: DataFrame, texts: DataFrame, words: int, least: float) -> Da
 
 def prefixes(members: DataFrame, texts: DataFrame, words: int, least: float) -> DataFrame:
     """``members(h, id, n, label)`` -> ``s, h, id, n, label, place``: of each set, in the order rarest first, the shingles by which a larger or equal set has to know it,
-    and those by which it has to know a smaller one, but for shingles that no other member has."""
+    and those by which it has to know a smaller one, but for shingles that no member of another label has.
+
+    A set that has more shingles to itself than a link leaves room for reaches no other and goes before any shingle is joined. Shingles of one label come first in the order, as no pair to be found shares them.
+    """
 
     def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -102,9 +105,14 @@ def prefixes(members: DataFrame, texts: DataFrame, words: int, least: float) ->
                     yield pa.RecordBatch.from_arrays([pa.array([h]), pa.array([found.view(np.int64)], pa.list_(pa.int64()))], names=["h", "s"])
 
     sets = members.join(texts, F.col("id") == F.col("doc_id")).select("h", "text").mapInArrow(tidy(fn), "h long, s array<long>")
-    each = written(sets.dropDuplicates(["h"]), "sets").select("h", F.explode("s").alias("s"))
+    sets = written(sets.dropDuplicates(["h"]), "sets")
+    alone = sets.select("h", F.explode("s").alias("s")).groupBy("s").agg(F.count("*").alias("sets"), F.min("h").alias("h")).filter("sets = 1").groupBy("h").agg(F.count("*").alias("alone"))
+    able = members.join(alone, "h", "left").withColumn("first", F.coalesce("alone", F.lit(0)) + 1).filter(_within("first", least))
+    able = written(able.select("h", "label"), "able")
+    each = sets.join(able, "h").select("h", "label", F.explode("s").alias("s"))
     # written apart, so that Spark can split a common shingle's rows in the join
-    known = written(each.groupBy("s").agg(F.count("*").alias("sets")).filter("sets > 1"), "known")
+    known = each.groupBy("s").agg(F.count("*").alias("sets"), F.min("label").alias("low"), F.max("label").alias("high"))
+    known = written(known.filter("low <> high").select("s", "sets"), "known")
     own = Window.partitionBy("h")
     ranked = each.join(known, "s").select("h", "s", F.row_number().over(own.orderBy("sets", "s")).alias("at"), F.count("*").over(own).alias("shared"))
     placed = ranked.join(members, "h").withColumn("place", F.col("n") - F.col("shared") + F.col("at"))
@@ -127,45 +135,49 @@ def _known(rows: DataFrame, least: float) -> DataFrame:
     return met.select(F.col("x_h").alias("a"), F.col("x_id").alias("a_id"), F.col("y_h").alias("b"), F.col("y_id").alias("b_id")).distinct()
 
 
-def _ends(rows: DataFrame, least: float) -> DataFrame:
-    """The pairs of a table ``cell, h, id, n`` that share a cell and have sizes that allow a link."""
-    x, y = (rows.select("cell", *(F.col(c).alias(f"{a}_{c}") for c in ("h", "id", "n"))) for a in "xy")
-    met = x.join(y, "cell").filter("x_h < y_h").filter(_sizes_allow(F.col("x_n"), F.col("y_n"), least))
-    return met.select(F.col("x_h").alias("a"), F.col("x_id").alias("a_id"), F.col("y_h").alias("b"), F.col("y_id").alias("b_id")).distinct()
+def _allowed(pairs: DataFrame, who: DataFrame, least: float) -> DataFrame:
+    """The pairs ``a, b`` whose sizes allow a link, with the doc_ids of ``who(h, id, n)``."""
+    x, y = (who.select(F.col("h").alias(a), F.col("id").alias(f"{a}_id"), F.col("n").alias(f"{a}_n")) for a in "ab")
+    return pairs.join(x, "a").join(y, "b").filter(_sizes_allow(F.col("a_n"), F.col("b_n"), least)).select("a", "a_id", "b", "b_id")
 
 
-def _to_pivots(spots: DataFrame, pivots: DataFrame, least: float) -> DataFrame:
-    """The pairs of a pivot and a document of its cell that have sizes that allow a link.
+def _to_pivots(crowds: DataFrame) -> DataFrame:
+    """The pairs of a pivot and a document of its crowd.
 
-    A document gathers the pivots of its cells before it meets them, so a pivot that several of its cells share meets it once, and it meets the PIVOTS of them that meet most others; what they leave apart meets by prefix.
+    A document gathers the pivots of its tables before it meets them, so a pivot that several tables name meets it once, and it meets the PIVOTS of them that stand for most; what they leave apart meets by prefix.
     """
-    own = spots.join(pivots, "cell").groupBy("h", "id", "n").agg(F.slice(F.sort_array(F.collect_set("p"), False), 1, PIVOTS).alias("p"))
-    met = own.select("h", "id", "n", F.explode("p").alias("p")).filter("p.h <> h").filter(_sizes_allow(F.col("p.n"), F.col("n"), least))
-    return met.select(F.col("p.h").alias("a"), F.col("p.id").alias("a_id"), F.col("h").alias("b"), F.col("id").alias("b_id"))
+    own = crowds.groupBy("h", "p").agg(F.sum("members").alias("met")).groupBy("h").agg(F.slice(F.sort_array(F.collect_list(F.struct("met", "p")), False), 1, PIVOTS).alias("best"))
+    return own.select(F.explode("best.p").alias("a"), F.col("h").alias("b")).filter("a <> b")
+
+
+def _one_crowd(crowds: DataFrame) -> DataFrame:
+    """``crowds(cell, h)`` -> ``h, cell``: crowds that share a member become one, so each document is in one. Only their names are joined, through the least name of each document."""
+    spots = written(crowds.select("h", "cell").distinct().withColumn("least", F.min("cell").over(Window.partitionBy("h"))), "spots")
+    names = connected_components(spots.select(F.col("cell").alias("a"), F.col("least").alias("b")).filter("a <> b").distinct())
+    return spots.select("h", "least").distinct().join(names, F.col("least") == F.col("node"), "left").select("h", F.coalesce("component", "least").alias("cell"))
 
 
 def components(signed: DataFrame, docs: DataFrame, words: int, least: float, cell_pairs: int = CELL_PAIRS, most: int = SENT_ROWS) -> DataFrame:
     """``signed(doc_id, h, n, bits)`` -> ``h, component``: the smallest doc_id that links lead to from a class."""
     classes = written(signed.groupBy("h", "n").agg(F.min("doc_id").alias("id"), F.first("bits").alias("bits")), "classes")
-    met = written(gridjoin.cells(classes.filter("id is not null and n > 0").select("h", "bits"), cell_pairs), "met").distinct()
-    # written apart, so that Spark can split a full cell's rows in the join
+    met = written(gridjoin.cells(classes.filter("id is not null and n > 0").select("h", "bits"), cell_pairs), "met")
+    crowds = met.filter("members > 2")
+    crowded = not crowds.isEmpty()
+    pairs = met.filter("members = 2 and h < p").select(F.col("h").alias("a"), F.col("p").alias("b"))
+    pairs = written((pairs.union(_to_pivots(crowds)) if crowded else pairs).distinct(), "ends")
+    # written apart, so that Spark can split the rows of one that many meet in the join
     who = written(classes.select("h", "id", "n").join(met.select("h").distinct(), "h"), "who")
-    shared = written(met.join(sent(who, most), "h").select("h", "id", "n", F.col("h").alias("label"), "cell", "members"), "cells")
+    pairs = written(_allowed(pairs, sent(who, most), least), "cells")
+    if crowded:
+        dense = written(_one_crowd(crowds).join(sent(who, most), "h").select("h", "id", "n", "cell"), "dense")
     texts = with_text(docs.withColumn("doc_id", F.col("doc_id").cast("long")), "doc_id")
-    ids = written(shared.select(F.col("id").alias("doc_id")).distinct(), "ids")
+    ids = pairs.select(F.col("a_id").alias("doc_id")).union(pairs.select(F.col("b_id").alias("doc_id")))
+    ids = written((ids.union(dense.select(F.col("id").alias("doc_id"))) if crowded else ids).distinct(), "ids")
     texts = written(texts.join(sent(ids, most), "doc_id", "left_semi"), "texts")
-    pairs, dense = _ends(shared.filter(F.col("members") <= cell_pairs), least), shared.filter(F.col("members") > cell_pairs)
-    crowded = not dense.isEmpty()
-    if crowded:
-        # how many meet a class in all its cells; a text that others are copies of agrees with them in most bands, each of them in fewer
-        met = written(dense.groupBy("h").agg(F.sum("members").alias("met")), "met")
-        dense = written(dense.drop("members").join(met, "h"), "dense")
-        pivots = written(dense.groupBy("cell").agg(F.min_by(F.struct("met", "h", "id", "n"), F.struct(-F.col("met"), "h")).alias("p")), "pivots")
-        pairs = pairs.union(_to_pivots(dense, pivots, least)).distinct()
     joined = connected_components(verified(pairs, texts, words, least))
     if crowded:
-        spots = dense.drop("label").join(joined, F.col("h") == F.col("node"), "left").select("h", "id", "n", F.coalesce("component", "h").alias("label"), "cell")
-        spots = written(spots, "spots")
+        spots = dense.join(joined, F.col("h") == F.col("node"), "left").select("h", "id", "n", F.coalesce("component", "h").alias("label"), "cell")
+        spots = written(spots, "labelled")
         apart = written(spots.groupBy("cell").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("cell"), "apart")
         if not apart.isEmpty():
             rest = written(spots.join(apart, "cell").select("h", "id", "n", "label").distinct(), "rest")

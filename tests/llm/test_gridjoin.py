@@ -64,3 +64,24 @@ def test_near_stage_links_what_the_grids_meet(spark, monkeypatch):
     cells = gridjoin.cells
     monkeypatch.setattr(gridjoin, "cells", lambda *a: cells(*a).filter("false"))
     assert corpus_pipeline.near_stage(spark, documents(spark, rows), "").count() == 10
+
+
+def test_rows_of_a_loose_group_grow_with_its_size(spark):
+    """Members of which each table brings only some together are a crowd of a row a table; a class of them has one name, and pairs are few."""
+    rng = np.random.default_rng(7)
+    base = rng.integers(0, 1 << 63, 200, dtype=np.uint64)
+    rows = []
+    for k in range(900):  # similarity 0.5 to each other
+        kept = rng.permutation(base)[:164]
+        rows.append((k, gridjoin.fingerprint(np.concatenate((kept, rng.integers(0, 1 << 63, 36, dtype=np.uint64)))).view(np.int64).tolist()))
+    pairs, crowd = {}, {}
+    for n in (300, 900):
+        found = gridjoin.cells(spark.createDataFrame(rows[:n], "h long, bits array<long>"), 32)
+        pairs[n] = found.filter("members = 2 and h < p").select("h", "p").distinct().count()
+        crowds = found.filter("members > 2")
+        assert crowds.count() <= gridjoin.TABLES * n
+        named = shingles._one_crowd(crowds)
+        crowd[n] = named.count(), named.select("cell").distinct().count()
+        assert crowd[n][0] == crowds.select("h").distinct().count()
+    assert pairs[900] <= 3 * pairs[300]
+    assert crowd[900][0] > 850 and crowd[900][1] == 1

@@ -99,6 +99,20 @@ def test_prefixes_lose_no_link(spark):
     assert links == wanted
 
 
+def test_sets_that_can_reach_no_other_are_not_joined(spark, monkeypatch):
+    """A member with too many shingles of its own has no row in the join of shingles, nor has a shingle of one component alone."""
+    rnd = random.Random(8)
+    base = " ".join(word(rnd) for _ in range(120))
+    rows = [changed(rnd, base, 1) for _ in range(6)] + [changed(rnd, base, 9) for _ in range(30)]
+    sets = [shingles.shingle_set(t.encode(), 5) for t in rows]
+    hs = [shingles.digest(s) for s in sets]
+    members = spark.createDataFrame([(h, i, len(s), hs[0] if i < 6 else h) for i, (h, s) in enumerate(zip(hs, sets, strict=True))], "h long, id long, n long, label long")
+    seen, write = {}, shingles.written
+    monkeypatch.setattr(shingles, "written", lambda df, tag: seen.setdefault(tag, write(df, tag)))
+    found = shingles.prefixes(members, spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string"), 5, 0.8)
+    assert {r.h for r in seen["able"].collect()} == set(hs[:6]) and seen["known"].isEmpty() and found.isEmpty()
+
+
 def test_few_keys_go_to_the_documents(spark, monkeypatch):
     """Only cells of several documents and their members meet the rest, so neither all cells nor all texts are shuffled for them; longer lists give the same rows."""
     rnd = random.Random(6)
